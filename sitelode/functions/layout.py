@@ -20,7 +20,10 @@ def spread_small(df: DataFrame, *columns: str) -> DataFrame:
 
     One small file is one scan task. Above the size limit the scan has enough
     splits already and `df` is returned as it is, without a shuffle.
+    A stream is never spread.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if estimated_bytes(df) > SPREAD_BYTES_PER_CORE * cores:
         return df

@@ -7,6 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sitelode.functions.layout import spread_small
 from sitelode.functions.scalars import row_id, ts
 from sitelode.schema import CASCADED, NOW, TABLES
 
@@ -73,20 +74,23 @@ def search_sites(
     return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 
-def _gram_key(query: Column) -> Column:
-    """One literal piece of a query, at most GRAM long, from its longest wildcard-free run."""
-    runs = F.filter(F.split(F.lower(query), r"\\.|[%_]"), lambda r: F.length(r) > 0)
-    best = F.element_at(F.array_sort(F.transform(runs, lambda r: F.struct((-F.length(r)).alias("n"), r.alias("r")))), 1)
-    return F.coalesce(F.substring(best["r"], 1, GRAM), F.lit(""))
+def _literal_runs(query: Column) -> Column:
+    """The wildcard-free pieces of a query."""
+    return F.filter(F.split(query, r"\\.|[%_]"), lambda r: F.length(r) > 0)
+
+
+def _gram_key(runs: Column) -> Column:
+    """One literal piece of a query, at most GRAM long, from its longest run; '' without any."""
+    longest = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))
+    return F.coalesce(F.substring(longest["r"], 1, GRAM), F.lit(""))
 
 
 def _grams(text: Column) -> Column:
     """All distinct pieces of 0..GRAM characters of a text."""
-    lowered = F.lower(text)
 
     def pieces(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(lowered) - (n - 1), F.lit(1)))
-        return F.transform(starts, lambda i: F.substring(lowered, i, F.lit(n)))
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
 
     per_length = [pieces(n) for n in range(1, GRAM + 1)]
     return F.array_distinct(F.concat(F.array(F.lit("")), *per_length))
@@ -102,17 +106,24 @@ def search_batch(sites: DataFrame, queries: DataFrame, limit: int = 100) -> Data
     The rank is limited before the shuffle, so a query that hits a large part of
     the table sends `limit` rows per task, not all its hits.
     """
-    filed = queries.select(
-        "query_id",
-        F.coalesce("query", F.lit("")).alias("query"),
-        F.coalesce(_gram_key(F.col("query")), F.lit("")).alias("gram"),
+    lowered = queries.select("query_id", F.lower(F.coalesce("query", F.lit(""))).alias("query"))
+    filed = lowered.withColumn("runs", _literal_runs(F.col("query"))).withColumns(
+        {"gram": _gram_key(F.col("runs")), "has_wildcard": F.col("query").rlike(r"[%_\\]")}
     )
-    texts = F.concat_ws("\n", *[F.col(c) for c in SEARCHED])
-    pieces = sites.select(
-        "site_id", "last_checked", *SEARCHED, F.explode(_grams(texts)).alias("gram")
+    low = [f"_{c}" for c in SEARCHED]
+    texts = spread_small(
+        sites.select("site_id", "last_checked", *[F.lower(c).alias(f"_{c}") for c in SEARCHED]), "site_id"
     )
+    texts = texts.withColumn("_all", F.concat_ws("\n", *low))
+    pieces = texts.select("*", F.explode(_grams(F.col("_all"))).alias("gram"))
     like = F.concat(F.lit("%"), F.col("query"), F.lit("%"))
-    hit = F.col("title").ilike(like) | F.col("description").ilike(like) | F.col("address").ilike(like)
+    plain, pattern = F.lit(False), F.lit(False)
+    for column in low:
+        plain = plain | F.coalesce(F.contains(F.col(column), F.col("query")), F.lit(False))
+        pattern = pattern | F.coalesce(F.like(F.col(column), like), F.lit(False))
+    # the pattern is compiled per row, so plain containment of its pieces is tested first
+    promising = F.forall("runs", lambda r: F.contains(F.col("_all"), r))
+    hit = F.when(~F.col("has_wildcard"), plain).when(promising, pattern).otherwise(False)
     rank = Window.partitionBy("query_id").orderBy(F.desc_nulls_first("last_checked"), F.asc("site_id"))
     return (
         pieces.join(filed, "gram")
@@ -228,7 +239,7 @@ def cascade_delete(tables: Mapping[str, DataFrame], keys: DataFrame) -> tuple[di
     Returns the remaining tables and the refused keys.
     """
     wanted = keys.select("site_id").distinct()
-    owners = tables["content_hashes"].select("site_id")
+    owners = tables["content_hashes"].select("site_id").distinct()
     refused = wanted.join(owners, "site_id", "left_semi")
     deleted = wanted.join(owners, "site_id", "left_anti")
     remaining = {

@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sitelode.functions.layout import HOT_ROWS, sliced_running_sum
+from sitelode.functions.layout import HOT_ROWS, sliced_running_sum, spread_small
 from sitelode.functions.scalars import iso_text, row_id, seconds_between, ts
 from sitelode.operators.quality import fill_defaults
 
@@ -56,7 +56,7 @@ def job_event_fold(events: DataFrame, seq: str = "seq") -> DataFrame:
     ended = status.isin("completed", "failed")
     has_error = ended & F.col("error_message").isNotNull() & (F.col("error_message") != "")
     has_links = ended & F.col("discovered_links").isNotNull()
-    return events.groupBy("job_id").agg(
+    return spread_small(events, "job_id").groupBy("job_id").agg(
         F.max_by("status", order).alias("new_status"),
         F.max_by("ts", F.when(status == "running", order)).alias("new_started_at"),
         F.max_by("ts", F.when(ended, order)).alias("new_completed_at"),

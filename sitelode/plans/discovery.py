@@ -62,7 +62,10 @@ def discovery_run(
     row, and gets a job for every linked page up to `max_pages`.
     """
     seeds = seed_parse(seed_lines)
-    targets = links.select(F.col("src_address").alias("src"), host_of("url").alias("dst"), "url")
+    # read once per round and once for the pages, and often parsed out of stored HTML
+    targets = materialize(
+        links.select(F.col("src_address").alias("src"), host_of("url").alias("dst"), "url").na.drop(), "links"
+    )
     reach = link_bfs(
         targets.select("src", "dst"), seeds.filter("is_valid").select(F.col("address").alias("node")), max_depth
     ).withColumnRenamed("node", "address")
@@ -81,7 +84,7 @@ def discovery_run(
     )
 
     root_page = fresh.select("address", "depth", F.concat(F.lit("http://"), "address", F.lit("/")).alias("url"))
-    linked = fresh.join(targets.select(F.col("dst").alias("address"), "url").distinct(), "address")
+    linked = fresh.join(targets.select(F.col("dst").alias("address"), "url"), "address")
     pages = root_page.unionByName(linked.select("address", "depth", "url")).distinct()
     capped = page_cap(pages, "address", ("depth", "url"), max_pages)
     jobs = create_crawl_jobs(
@@ -108,6 +111,8 @@ def classify_run(
     """
     chosen = sites.filter(F.col("site_id") == F.lit(site_id)) if site_id is not None else unclassified_sites(sites)
     judged = confidence_gate(rule_classify(contents.join(chosen.select("site_id"), "site_id", "left_semi"), rules), threshold)
+    # both results below come from the verdicts, so the texts are read once
+    judged = materialize(judged.select("site_id", "category", "confidence", "accepted", "requires_review"), "verdicts")
     rows = judged.select(
         row_id("site_id", F.lit(RULE_MODEL_VERSION), ts(as_of)).alias("id"),
         "site_id",
