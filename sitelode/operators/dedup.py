@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sitelode.functions.layout import spread_small
 from sitelode.functions.scalars import content_hash, words
+from sitelode.session import materialize
 
 BITS = 60
 HALF = BITS // 2
@@ -13,6 +14,7 @@ HASH_HEX = 15  # 15 hex digits of md5 are 60 bits
 MAX_DISTANCE = 3
 BANDS = MAX_DISTANCE + 1  # three different bits cannot touch all four bands
 HOT_BUCKET = 1000
+SPLITS = 5  # bands of 15, 11, 8, 6 and 5 bits
 
 
 def exact_dups(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -77,21 +79,24 @@ def _without_band(value: Column, index: int, width: int) -> Column:
     return F.shiftleft(high, index * width) + low
 
 
-def near_dups(groups: DataFrame, hot_bucket: int = HOT_BUCKET, levels: int = 3) -> DataFrame:
+def near_dups(groups: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """Pairs of groups (from `simhash_groups`) whose hashes differ in 1 to 3 bits.
 
     Works on distinct hashes, so copies never pair with each other. Two hashes at
     most 3 bits apart agree in one of four bands and meet in that band's bucket.
     A bucket with more than `hot_bucket` hashes is split by the same argument on
-    the remaining bits, up to `levels` times; a pair is kept only in the first
-    band in which it agrees, so none is found twice and no distinct is needed.
+    the remaining bits. A pair is kept only in the first band in which it agrees,
+    so none is found twice and no distinct is needed. After the last split a
+    bucket shares 45 bits: it cannot hold more than 2^15 hashes.
+
+    Give written groups (`materialize`): they are read once per split.
     """
     entries = groups.select("simhash", "rep", "n", F.col("simhash").alias("rest0"))
     keys: list[str] = []
     widths: list[int] = []
     left = BITS
     found = None
-    for level in range(levels):
+    for level in range(SPLITS):
         width = left // BANDS
         rest, band, value = f"rest{level}", f"band{level}", f"value{level}"
         bands = F.array(*[_band(F.col(rest), i, width) for i in range(BANDS)])
@@ -99,16 +104,20 @@ def near_dups(groups: DataFrame, hot_bucket: int = HOT_BUCKET, levels: int = 3)
         keys += [band, value]
         widths.append(width)
         left -= width
-        if level == levels - 1:
-            settled = entries
-        else:
+        settled, crowded = entries, None
+        if level < SPLITS - 1:
             sizes = entries.groupBy(*keys).agg(F.count("*").alias("_size"))
-            crowded = sizes.filter(F.col("_size") > hot_bucket).drop("_size")
-            settled = entries.join(crowded, keys, "left_anti")
-            cut = F.coalesce(*[F.when(F.col(band) == i, _without_band(F.col(rest), i, width)) for i in range(BANDS)])
-            entries = entries.join(crowded, keys, "left_semi").withColumn(f"rest{level + 1}", cut)
+            crowded = materialize(sizes.filter(F.col("_size") > hot_bucket).drop("_size"), "crowded")
+            if crowded.isEmpty():
+                crowded = None
+            else:
+                settled = entries.join(crowded, keys, "left_anti")
         pairs = _bucket_pairs(settled, keys, widths)
         found = pairs if found is None else found.unionByName(pairs)
+        if crowded is None:
+            break
+        cut = F.coalesce(*[F.when(F.col(band) == i, _without_band(F.col(rest), i, width)) for i in range(BANDS)])
+        entries = entries.join(crowded, keys, "left_semi").withColumn(f"rest{level + 1}", cut)
     return found
 
 
