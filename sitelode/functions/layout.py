@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SPREAD_BYTES_PER_CORE = 32 * 1024 * 1024
 HOT_ROWS = 2_000_000
+ID_BLOCK = 1_000_000
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -35,22 +36,21 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows).drop("_rows")
 
 
-def with_slices(
-    df: DataFrame, keys: Sequence[str], slices: Sequence[Column], hot_rows: int = HOT_ROWS
-) -> tuple[DataFrame, list[str]]:
+def mark_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
+    """Add `_hot`. The hot key set is bounded by rows / hot_rows, hence the broadcast."""
+    hot = hot_keys(df.select(*keys), keys, hot_rows).withColumn("_hot", F.lit(True))
+    return df.join(F.broadcast(hot), list(keys), "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+
+
+def add_slices(marked: DataFrame, slices: Sequence[Column], prefix: str) -> tuple[DataFrame, list[str]]:
     """Add slice numbers that cut the rows of hot keys into ordered pieces.
 
     `slices` are integer expressions that never decrease along the window order.
-    Rows of other keys all get slice 0, so they stay in one piece. The hot key
-    set is bounded by rows / hot_rows, hence the broadcast.
+    Rows of other keys all get slice 0, so they stay in one piece.
     """
-    hot = hot_keys(df.select(*keys), keys, hot_rows).withColumn("_hot", F.lit(True))
-    joined = df.join(F.broadcast(hot), list(keys), "left").withColumn(
-        "_hot", F.coalesce("_hot", F.lit(False))
-    )
-    names = [f"_slice{i}" for i in range(len(slices))]
+    names = [f"_{prefix}_{i}" for i in range(len(slices))]
     cut = {n: F.when(F.col("_hot"), s.cast("bigint")).otherwise(F.lit(0)) for n, s in zip(names, slices)}
-    return joined.withColumns(cut), names
+    return marked.withColumns(cut), names
 
 
 def sliced_lag(
@@ -58,33 +58,48 @@ def sliced_lag(
     keys: Sequence[str],
     order: Sequence[str],
     value: str,
-    slices: Sequence[Column],
+    levels: Sequence[Sequence[Column]],
     out: str,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """`lag(value)` over (keys, order) without putting a hot key into one task.
 
     Adds the struct column `out` with field `v`; it is null on the first row of a
-    key. Inside a slice it is an ordinary window; the first row of a later slice
-    takes the last value of the slice before it.
+    key. `levels` lists slice expressions from fine to coarse; a fine slice lies
+    within one coarse slice. Inside a slice the value comes from an ordinary
+    window; the first row of a slice takes the last value of the slice before it,
+    which is the same question over the slices, asked one level up.
     """
-    cut, names = with_slices(df, keys, slices, hot_rows)
-    part = [*keys, *names]
-    local = cut.withColumn(
-        "_local", F.lag(F.struct(F.col(value).alias("v"))).over(Window.partitionBy(*part).orderBy(*order))
-    )
+    cut = mark_hot(df, keys, hot_rows)
+    names: list[list[str]] = []
+    for number, slices in enumerate(levels):
+        cut, added = add_slices(cut, slices, f"slice{number}")
+        names.append(added)
+    rows = cut.withColumn("_value", F.struct(F.col(value).alias("v")))
+    looked_up = _lag_by_level(rows, list(keys), list(order), names, out)
+    return looked_up.drop("_value", "_hot", *[n for level in names for n in level])
+
+
+def _lag_by_level(
+    rows: DataFrame, keys: list[str], order: list[str], names: list[list[str]], out: str
+) -> DataFrame:
+    if not names:
+        return rows.withColumn(out, F.lag("_value").over(Window.partitionBy(*keys).orderBy(*order)))
+    here, coarser = names[0], [n for level in names[1:] for n in level]
+    part = [*keys, *here]
+    local = rows.withColumn("_local", F.lag("_value").over(Window.partitionBy(*part).orderBy(*order)))
     ends = (
-        cut.filter("_hot")
-        .groupBy(*part)
-        .agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_end"))
-    )
-    carry = ends.select(
-        *part, F.lag("_end").over(Window.partitionBy(*keys).orderBy(*names)).alias("_carry")
+        rows.filter("_hot")
+        .groupBy(*part, *coarser)
+        .agg(F.max_by("_value", F.struct(*order)).alias("_value"))
+        .withColumn("_hot", F.lit(True))
     )
+    earlier = _lag_by_level(ends, keys, here, names[1:], "_earlier")
+    carry = earlier.select(*part, F.col("_earlier").alias("_carry"))
     return (
         local.join(carry, part, "left")
         .withColumn(out, F.coalesce("_local", "_carry"))
-        .drop("_local", "_carry", "_hot", *names)
+        .drop("_local", "_carry")
     )
 
 
@@ -98,7 +113,7 @@ def sliced_running_sum(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Running sum over (keys, order), hot keys cut into slices as in `sliced_lag`."""
-    cut, names = with_slices(df, keys, slices, hot_rows)
+    cut, names = add_slices(mark_hot(df, keys, hot_rows), slices, "slice")
     part = [*keys, *names]
     upto = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
@@ -110,3 +125,11 @@ def sliced_running_sum(
         .withColumn(out, F.col("_local") + F.coalesce("_carry", F.lit(0)))
         .drop("_local", "_carry", "_hot", *names)
     )
+
+
+def id_block(df: DataFrame, column: str, rows: int = ID_BLOCK) -> list[Column]:
+    """Slices along the order of an id: blocks of numbers, or the first characters of a text."""
+    if dict(df.dtypes)[column] in ("bigint", "int"):
+        return [F.floor(F.col(column) / rows)]
+    first, second, third, fourth = (F.ascii(F.substring(column, i, 1)).cast("bigint") for i in (1, 2, 3, 4))
+    return [F.shiftleft(first, 42) + F.shiftleft(second, 21) + third, fourth]

@@ -6,12 +6,11 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sitelode.functions.layout import HOT_ROWS, sliced_running_sum, spread_small
+from sitelode.functions.layout import HOT_ROWS, id_block, sliced_running_sum, spread_small
 from sitelode.functions.scalars import iso_text, row_id, seconds_between, ts
 from sitelode.operators.quality import fill_defaults
 
 MIN_DELAY_MS, MAX_DELAY_MS = 1000, 5000
-ID_BLOCK = 1_000_000
 
 
 def _due(jobs: DataFrame, as_of: datetime | str) -> DataFrame:
@@ -144,15 +143,6 @@ def delay_ms(job_id: Column, low: int = MIN_DELAY_MS, high: int = MAX_DELAY_MS)
     return F.lit(low) + F.pmod(number, F.lit(high - low + 1))
 
 
-def _id_slice(jobs: DataFrame, job_id: str) -> Column:
-    """A number that never decreases along the order of the job id."""
-    column = F.col(job_id)
-    if dict(jobs.dtypes)[job_id] in ("bigint", "int"):
-        return F.floor(column / ID_BLOCK)
-    first, second, third = (F.ascii(F.substring(column, i, 1)).cast("bigint") for i in (1, 2, 3))
-    return F.shiftleft(first, 42) + F.shiftleft(second, 21) + third
-
-
 def politeness_schedule(
     jobs: DataFrame,
     host: str = "host",
@@ -171,7 +161,7 @@ def politeness_schedule(
         [host],
         [F.desc_nulls_first("priority"), F.asc("job_id")],
         "delay_ms",
-        [-F.coalesce(F.col("priority"), F.lit(2**31 - 1)).cast("bigint"), _id_slice(jobs, "job_id")],
+        [-F.coalesce(F.col("priority"), F.lit(2**31 - 1)).cast("bigint"), *id_block(jobs, "job_id")],
         "start_ms",
         hot_rows,
     )

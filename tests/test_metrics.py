@@ -62,12 +62,19 @@ def test_change_detect_with_hot_sites_equals_plain_window(spark):
         (F.col("id") * 7919 % 5).cast("string").alias("raw_content_hash"),
         (F.lit(NOW).cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id") * 104729 % 9000)).alias("discovered_at"),
     )
+    # a third of all rows in one site, part of them at one moment, with and without fractions
+    moment = F.col("discovered_at") + F.make_dt_interval(secs=(F.col("id") % 7 / 7).cast("decimal(8,6)"))
+    moved_to = F.when(F.col("id") % 12 == 0, F.lit(NOW).cast("timestamp_ntz")).otherwise(moment)
+    frame = frame.withColumn("discovered_at", moved_to)
     before = F.lag("raw_content_hash").over(Window.partitionBy("site_id").orderBy("discovered_at", "id"))
     moved = F.col("before") != F.col("raw_content_hash")
     wanted = frame.withColumn("before", before).groupBy("site_id").agg(
         F.count("*"), F.count_if(moved), F.max(F.when(moved, F.col("discovered_at")))
     )
-    assert changes(frame, hot_rows=40) == {r[0]: tuple(r[1:]) for r in wanted.collect()}
+    expected = {r[0]: tuple(r[1:]) for r in wanted.collect()}
+    assert changes(frame, hot_rows=40) == expected and changes(frame) == expected
+    texts = frame.withColumn("id", F.lpad(F.col("id").cast("string"), 6, "0"))
+    assert changes(texts, hot_rows=40) == expected
 
 
 def test_resource_state_bounds(spark):
