@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sitelode.session import materialize
+
 SPREAD_BYTES_PER_CORE = 32 * 1024 * 1024
 HOT_ROWS = 2_000_000
 ID_BLOCK = 1_000_000
@@ -31,26 +33,24 @@ def spread_small(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(cores, *columns)
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
-    """Keys with more than `hot_rows` rows: at most rows / hot_rows of them."""
-    return df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows).drop("_rows")
-
-
-def mark_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
-    """Add `_hot`. The hot key set is bounded by rows / hot_rows, hence the broadcast."""
-    hot = hot_keys(df.select(*keys), keys, hot_rows).withColumn("_hot", F.lit(True))
-    return df.join(F.broadcast(hot), list(keys), "left").withColumn("_hot", F.coalesce("_hot", F.lit(False)))
+def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary keys, and rows of keys with more than `hot_rows` rows (None without any).
 
+    Counts the keys once, in a job of its own. There are at most rows / hot_rows
+    hot keys, hence the broadcast; the ordinary rows carry nothing extra.
+    """
+    counted = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows)
+    hot = materialize(counted.select(*keys), "hot")
+    if hot.isEmpty():
+        return df, None
+    listed = F.broadcast(hot)
+    return df.join(listed, list(keys), "left_anti"), df.join(listed, list(keys), "left_semi")
 
-def add_slices(marked: DataFrame, slices: Sequence[Column], prefix: str) -> tuple[DataFrame, list[str]]:
-    """Add slice numbers that cut the rows of hot keys into ordered pieces.
 
-    `slices` are integer expressions that never decrease along the window order.
-    Rows of other keys all get slice 0, so they stay in one piece.
-    """
+def with_slices(df: DataFrame, slices: Sequence[Column], prefix: str) -> tuple[DataFrame, list[str]]:
+    """Add slice numbers: integer expressions that never decrease along the window order."""
     names = [f"_{prefix}_{i}" for i in range(len(slices))]
-    cut = {n: F.when(F.col("_hot"), s.cast("bigint")).otherwise(F.lit(0)) for n, s in zip(names, slices)}
-    return marked.withColumns(cut), names
+    return df.withColumns({n: s.cast("bigint") for n, s in zip(names, slices)}), names
 
 
 def sliced_lag(
@@ -66,18 +66,21 @@ def sliced_lag(
 
     Adds the struct column `out` with field `v`; it is null on the first row of a
     key. `levels` lists slice expressions from fine to coarse; a fine slice lies
-    within one coarse slice. Inside a slice the value comes from an ordinary
-    window; the first row of a slice takes the last value of the slice before it,
-    which is the same question over the slices, asked one level up.
+    within one coarse slice. Inside a slice of a hot key the value comes from an
+    ordinary window; the first row of a slice takes the last value of the slice
+    before it, which is the same question over the slices, asked one level up.
     """
-    cut = mark_hot(df, keys, hot_rows)
+    valued = df.withColumn("_value", F.struct(F.col(value).alias("v")))
+    ordinary, hot = split_hot(valued, keys, hot_rows)
+    result = _lag_by_level(ordinary, list(keys), list(order), [], out).drop("_value")
+    if hot is None:
+        return result
     names: list[list[str]] = []
     for number, slices in enumerate(levels):
-        cut, added = add_slices(cut, slices, f"slice{number}")
+        hot, added = with_slices(hot, slices, f"slice{number}")
         names.append(added)
-    rows = cut.withColumn("_value", F.struct(F.col(value).alias("v")))
-    looked_up = _lag_by_level(rows, list(keys), list(order), names, out)
-    return looked_up.drop("_value", "_hot", *[n for level in names for n in level])
+    looked_up = _lag_by_level(hot, list(keys), list(order), names, out)
+    return result.unionByName(looked_up.select(result.columns))
 
 
 def _lag_by_level(
@@ -88,12 +91,7 @@ def _lag_by_level(
     here, coarser = names[0], [n for level in names[1:] for n in level]
     part = [*keys, *here]
     local = rows.withColumn("_local", F.lag("_value").over(Window.partitionBy(*part).orderBy(*order)))
-    ends = (
-        rows.filter("_hot")
-        .groupBy(*part, *coarser)
-        .agg(F.max_by("_value", F.struct(*order)).alias("_value"))
-        .withColumn("_hot", F.lit(True))
-    )
+    ends = rows.groupBy(*part, *coarser).agg(F.max_by("_value", F.struct(*order)).alias("_value"))
     earlier = _lag_by_level(ends, keys, here, names[1:], "_earlier")
     carry = earlier.select(*part, F.col("_earlier").alias("_carry"))
     return (
@@ -113,17 +111,22 @@ def sliced_running_sum(
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Running sum over (keys, order), hot keys cut into slices as in `sliced_lag`."""
-    cut, names = add_slices(mark_hot(df, keys, hot_rows), slices, "slice")
+    def running(columns: Sequence[str]) -> Column:
+        window = Window.partitionBy(*columns).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return F.sum(value).over(window)
+
+    ordinary, hot = split_hot(df, keys, hot_rows)
+    result = ordinary.withColumn(out, running(keys))
+    if hot is None:
+        return result
+    cut, names = with_slices(hot, slices, "slice")
     part = [*keys, *names]
-    upto = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = cut.groupBy(*part).agg(F.sum(value).alias("_total"))
     before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    local = cut.withColumn("_local", F.sum(value).over(upto))
-    totals = cut.filter("_hot").groupBy(*part).agg(F.sum(value).alias("_total"))
     carry = totals.select(*part, F.sum("_total").over(before).alias("_carry"))
-    return (
-        local.join(carry, part, "left")
-        .withColumn(out, F.col("_local") + F.coalesce("_carry", F.lit(0)))
-        .drop("_local", "_carry", "_hot", *names)
+    summed = cut.withColumn("_local", running(part)).join(carry, part, "left")
+    return result.unionByName(
+        summed.withColumn(out, F.col("_local") + F.coalesce("_carry", F.lit(0))).select(result.columns)
     )
 
 
