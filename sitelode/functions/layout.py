@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sitelode.session import materialize
 
 SPREAD_BYTES_PER_CORE = 32 * 1024 * 1024
+SPREAD_BYTES_PER_TASK = 64 * 1024
 HOT_ROWS = 2_000_000
 ID_BLOCK = 1_000_000
+LOWEST_SLICE = -(1 << 63)
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -19,7 +21,7 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def spread_small(df: DataFrame, *columns: str) -> DataFrame:
-    """Hash a small input over all cores before work that is heavy per row.
+    """Hash a small input over the cores before work that is heavy per row.
 
     One small file is one scan task. Above the size limit the scan has enough
     splits already and `df` is returned as it is, without a shuffle.
@@ -27,10 +29,16 @@ def spread_small(df: DataFrame, *columns: str) -> DataFrame:
     """
     if df.isStreaming:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if estimated_bytes(df) > SPREAD_BYTES_PER_CORE * cores:
+    cores, size = df.sparkSession.sparkContext.defaultParallelism, estimated_bytes(df)
+    parts = min(cores, size // SPREAD_BYTES_PER_TASK)
+    if size > SPREAD_BYTES_PER_CORE * cores or parts < 2:
         return df
-    return df.repartition(cores, *columns)
+    return df.repartition(parts, *columns)
+
+
+def has_at_most(df: DataFrame, rows: int) -> bool:
+    """Whether `df` has no more than `rows` rows; stops reading when it has more."""
+    return df.limit(rows + 1).count() <= rows
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
@@ -44,13 +52,18 @@ def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFr
     if hot.isEmpty():
         return df, None
     listed = F.broadcast(hot)
-    return df.join(listed, list(keys), "left_anti"), df.join(listed, list(keys), "left_semi")
+    ordinary, crowded = (df.join(listed, list(keys), how).select(df.columns) for how in ("left_anti", "left_semi"))
+    return ordinary, crowded
 
 
 def with_slices(df: DataFrame, slices: Sequence[Column], prefix: str) -> tuple[DataFrame, list[str]]:
-    """Add slice numbers: integer expressions that never decrease along the window order."""
+    """Add slice numbers: integer expressions that never decrease along the window order.
+
+    A null comes first in that order, so it gets the lowest number.
+    """
     names = [f"_{prefix}_{i}" for i in range(len(slices))]
-    return df.withColumns({n: s.cast("bigint") for n, s in zip(names, slices)}), names
+    numbers = {n: F.coalesce(s.cast("bigint"), F.lit(LOWEST_SLICE)) for n, s in zip(names, slices)}
+    return df.withColumns(numbers), names
 
 
 def sliced_lag(

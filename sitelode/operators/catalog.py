@@ -7,11 +7,12 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sitelode.functions.layout import spread_small
+from sitelode.functions.layout import has_at_most, spread_small
 from sitelode.functions.scalars import row_id, ts
 from sitelode.schema import CASCADED, NOW, TABLES
 
 GRAM = 3
+BROADCAST_QUERIES = 50_000
 SEARCHED = ("title", "description", "address")
 
 
@@ -110,6 +111,8 @@ def search_batch(sites: DataFrame, queries: DataFrame, limit: int = 100) -> Data
     filed = lowered.withColumn("runs", _literal_runs(F.col("query"))).withColumns(
         {"gram": _gram_key(F.col("runs")), "has_wildcard": F.col("query").rlike(r"[%_\\]")}
     )
+    # exploded texts are far larger than the optimizer expects and must not be broadcast
+    filed = F.broadcast(filed) if has_at_most(queries, BROADCAST_QUERIES) else filed.hint("merge")
     low = [f"_{c}" for c in SEARCHED]
     texts = spread_small(
         sites.select("site_id", "last_checked", *[F.lower(c).alias(f"_{c}") for c in SEARCHED]), "site_id"

@@ -43,19 +43,12 @@ def text_simhash(documents: DataFrame, key: str = "doc_id", text: str = "text")
     """
     word = spread_small(documents.select(key, text), key).select(key, F.explode(words(text)).alias("word"))
     number = F.conv(F.substring(F.md5("word"), 1, HASH_HEX), 16, 10).cast("bigint")
-    pair = F.lit(1 | (1 << HALF))
-    sums = word.select(key, number.alias("h")).groupBy(key).agg(
-        F.count("*").alias("n"),
-        *[F.sum(F.shiftrightunsigned("h", j).bitwiseAND(pair)).alias(f"s{j}") for j in range(HALF)],
-    )
-    simhash = F.lit(0).cast("bigint")
-    low_half = F.lit((1 << HALF) - 1)
-    for j in range(HALF):
-        low = F.col(f"s{j}").bitwiseAND(low_half)
-        high = F.shiftrightunsigned(F.col(f"s{j}"), HALF)
-        for bit, ones in ((j, low), (j + HALF, high)):
-            simhash = simhash + F.when(ones * 2 > F.col("n"), F.lit(1 << bit)).otherwise(F.lit(0))
-    return sums.select(key, simhash.alias("simhash"))
+    pair, low_half = 1 | (1 << HALF), (1 << HALF) - 1
+    counts = [F.expr(f"sum(shiftrightunsigned(h, {j}) & {pair}L)").alias(f"s{j}") for j in range(HALF)]
+    sums = word.select(key, number.alias("h")).groupBy(key).agg(F.count("*").alias("n"), *counts)
+    bits = [f"if(2 * (s{j} & {low_half}L) > n, {1 << j}L, 0L)" for j in range(HALF)]
+    bits += [f"if(2 * shiftrightunsigned(s{j}, {HALF}) > n, {1 << (j + HALF)}L, 0L)" for j in range(HALF)]
+    return sums.select(key, F.expr(" + ".join(bits)).alias("simhash"))
 
 
 def simhash_groups(hashes: DataFrame, key: str = "doc_id") -> DataFrame:

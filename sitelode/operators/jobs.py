@@ -161,7 +161,7 @@ def politeness_schedule(
         [host],
         [F.desc_nulls_first("priority"), F.asc("job_id")],
         "delay_ms",
-        [-F.coalesce(F.col("priority"), F.lit(2**31 - 1)).cast("bigint"), *id_block(jobs, "job_id")],
+        [-F.col("priority").cast("bigint"), *id_block(jobs, "job_id")],
         "start_ms",
         hot_rows,
     )

@@ -104,7 +104,7 @@ def classify_run(
     threshold: float = CONFIDENCE_THRESHOLD,
     site_id: object | None = None,
 ) -> Classified:
-    """Classify unclassified sites (or one site) by their content (site_id, text).
+    """Classify unclassified sites (or one site) by their content, one (site_id, text) row per site.
 
     Every classified site gets a classification row. The site takes the category
     when the confidence passes the gate, and is marked for review otherwise.

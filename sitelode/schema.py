@@ -64,6 +64,8 @@ class Table:
 
 _TS = "timestamp_ntz"
 
+# --- fixed values: the tables ------------------------------------------------------
+
 TABLES: dict[str, Table] = {
     "sites": Table(
         key="site_id",

@@ -114,7 +114,7 @@ def write_atomic(spark: SparkSession, root: str, tables: Mapping[str, DataFrame]
 
     The version directory is claimed by creating a file that must not exist, and
     counts only once its commit marker is there. After an error the old version
-    stays current.
+    stays current. Two writers need a file system whose create is atomic, as HDFS's is.
     """
     fs, _ = _filesystem(spark, root)
     version = max(_versions(spark, root), default=0) + 1

@@ -71,7 +71,9 @@ def test_search_wildcards_are_live_unless_escaped(spark):
     assert ids(catalog.search_sites(frame, "0% s", escape=True)) == [3]
 
 
-def test_search_batch_equals_single_searches(spark):
+@pytest.mark.parametrize("broadcast_up_to", [50_000, 3])
+def test_search_batch_equals_single_searches(spark, monkeypatch, broadcast_up_to):
+    monkeypatch.setattr(catalog, "BROADCAST_QUERIES", broadcast_up_to)
     frame = sites(
         spark, site(1, title="axb Shop"), site(2, title="a_b shop", last_checked=NOW), site(3, title=None),
         site(4, title="ÄRGER shop", last_checked=NOW - DAY), site(5, description="say 50% off"),
