@@ -111,14 +111,18 @@ def search_batch(sites: DataFrame, queries: DataFrame, limit: int = 100) -> Data
     filed = lowered.withColumn("runs", _literal_runs(F.col("query"))).withColumns(
         {"gram": _gram_key(F.col("runs")), "has_wildcard": F.col("query").rlike(r"[%_\\]")}
     )
-    # exploded texts are far larger than the optimizer expects and must not be broadcast
-    filed = F.broadcast(filed) if has_at_most(queries, BROADCAST_QUERIES) else filed.hint("merge")
     low = [f"_{c}" for c in SEARCHED]
     texts = spread_small(
         sites.select("site_id", "last_checked", *[F.lower(c).alias(f"_{c}") for c in SEARCHED]), "site_id"
-    )
-    texts = texts.withColumn("_all", F.concat_ws("\n", *low))
-    pieces = texts.select("*", F.explode(_grams(F.col("_all"))).alias("gram"))
+    ).withColumn("_all", F.concat_ws("\n", *low))
+    gram = F.explode(_grams(F.col("_all"))).alias("gram")
+    # exploded texts are far larger than the optimizer expects: never broadcast, and
+    # shuffled without the texts themselves
+    if has_at_most(queries, BROADCAST_QUERIES):
+        candidates = texts.select("*", gram).join(F.broadcast(filed), "gram")
+    else:
+        met = texts.select("site_id", gram).join(filed.hint("merge"), "gram")
+        candidates = met.join(texts, "site_id")
     like = F.concat(F.lit("%"), F.col("query"), F.lit("%"))
     plain, pattern = F.lit(False), F.lit(False)
     for column in low:
@@ -129,8 +133,7 @@ def search_batch(sites: DataFrame, queries: DataFrame, limit: int = 100) -> Data
     hit = F.when(~F.col("has_wildcard"), plain).when(promising, pattern).otherwise(False)
     rank = Window.partitionBy("query_id").orderBy(F.desc_nulls_first("last_checked"), F.asc("site_id"))
     return (
-        pieces.join(filed, "gram")
-        .filter(hit)
+        candidates.filter(hit)
         .select("query_id", "site_id", "last_checked", F.row_number().over(rank).alias("rank"))
         .filter(F.col("rank") <= limit)
     )
@@ -167,7 +170,7 @@ def site_upsert(
     unknown = [c for c in updates.columns if c not in (seq, "address") and c not in sites.columns]
     if unknown:
         raise ValueError(f"unknown site columns: {unknown}")
-    given = [c for c in updates.columns if c not in (seq, "address", "site_id")]
+    given = [c for c in updates.columns if c not in (seq, "address")]
     folded = updates.groupBy("address").agg(
         F.count("*").alias("_rows"),
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(seq))).alias(c) for c in given],
@@ -187,6 +190,7 @@ def site_upsert(
         elif name == "site_id":
             fresh = new_id if new_id is not None else row_id(address)
             value = F.when(in_sites, old_value).otherwise(fresh.cast(dict(sites.dtypes)[name]))
+            value = F.coalesce("u.site_id", value) if name in given else value
         elif name == "last_checked":
             stamped = in_sites | (F.col("_rows") > 1)
             value = F.when(~in_batch, old_value).when(stamped, now).otherwise(supplied)

@@ -104,15 +104,23 @@ def audit_filter(
     until: datetime | str | None = None,
     status: str | None = None,
 ) -> DataFrame:
-    """Audit rows by component and action, or by time range [since, until) and status."""
+    """Audit rows by component and action, or by time range [since, until) and status.
+
+    On a table written by day (column `day`) a time range reads only its days.
+    """
     found = logs
+    by_day = "day" in logs.columns
     for column, wanted in (("component", component), ("action", action), ("status", status)):
         if wanted:
             found = found.filter(F.col(column) == wanted)
     if since is not None:
         found = found.filter(F.col("created_at") >= ts(since))
+        if by_day:
+            found = found.filter(F.col("day") >= ts(since).cast("date"))
     if until is not None:
         found = found.filter(F.col("created_at") < ts(until))
+        if by_day:
+            found = found.filter(F.col("day") <= ts(until).cast("date"))
     return found
 
 

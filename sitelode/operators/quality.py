@@ -83,6 +83,21 @@ def unique_check(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return whole.groupBy(*columns).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def declared_unique_check(df: DataFrame, table: str) -> DataFrame:
+    """(table_name, key_columns, n_keys): keys in conflict, per declared unique constraint."""
+    spec = TABLES[table]
+    counts = None
+    for columns in ((spec.key,), *spec.unique):
+        if not set(columns) <= set(df.columns):
+            continue
+        broken = unique_check(df, columns).agg(F.count("*").alias("n_keys"))
+        part = broken.select(F.lit(table).alias("table_name"), F.lit(",".join(columns)).alias("key_columns"), "n_keys")
+        counts = part if counts is None else counts.unionByName(part)
+    if counts is None:
+        raise ValueError(f"no unique column of {table} given")
+    return counts
+
+
 def orphan_check(sites: DataFrame, children: Mapping[str, DataFrame]) -> DataFrame:
     """(table_name, site_id, n) of references to sites that do not exist.
 

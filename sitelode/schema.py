@@ -205,6 +205,12 @@ TABLES: dict[str, Table] = {
     ),
 }
 
+# --- fixed values: column names in a relational database that differ from ours ----------
+SOURCE_NAMES = {
+    "sites": {"id": "site_id", "onion_address": "address"},
+    "crawl_jobs": {"id": "job_id"},
+}
+
 # tables whose site_id references sites; those removed together with a site
 SITE_CHILDREN = ("discovery_results", "classifications", "safety_checks", "crawl_jobs", "content_hashes")
 CASCADED = ("discovery_results", "classifications", "safety_checks", "crawl_jobs")

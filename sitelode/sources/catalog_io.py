@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sitelode.functions.scalars import iso_text
-from sitelode.schema import TABLES, table_schema
+from sitelode.schema import SOURCE_NAMES, TABLES, table_schema
 
 COMMITTED = "_COMMITTED"
 
@@ -45,9 +45,18 @@ def load_jdbc(
         reader = reader.options(
             partitionColumn=partition_column, lowerBound=lower, upperBound=upper, numPartitions=partitions
         )
-    wanted = table_schema(table, key_type)
-    frame = reader.load()
-    return frame.select(*[F.col(f.name).cast(f.dataType) for f in wanted if f.name in frame.columns])
+    return from_source(reader.load(), table, key_type)
+
+
+def from_source(frame: DataFrame, table: str, key_type: str = "string") -> DataFrame:
+    """Rows of a relational table in our column names and types; missing columns are null."""
+    named = frame.withColumnsRenamed(SOURCE_NAMES.get(table, {}))
+    return named.select(
+        *[
+            (F.col(f.name) if f.name in named.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in table_schema(table, key_type)
+        ]
+    )
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, **options: str) -> None:

@@ -66,3 +66,15 @@ def test_schemas_of_all_tables():
     assert sites["site_id"].dataType.simpleString() == "bigint"
     assert sites["first_seen"].dataType.simpleString() == "timestamp_ntz"
     assert table_schema("system_metrics")["tor_traffic_read"].dataType.simpleString() == "bigint"
+
+
+def test_declared_unique_constraints(spark):
+    frame = spark.createDataFrame(
+        [(1, "a", "h", "en"), (2, "a", "h", "en"), (3, "b", "h", None), (3, "c", "h", None)],
+        "site_id int, address string, title_hash string, language string",
+    )
+    found = {r.key_columns: r.n_keys for r in quality.declared_unique_check(frame, "sites").collect()}
+    assert found == {"site_id": 1, "address": 1, "title_hash,language": 1}
+    hashes = spark.createDataFrame([(1, 1, "title"), (2, 1, "title")], "id int, site_id int, hash_type string")
+    found = {r.key_columns: r.n_keys for r in quality.declared_unique_check(hashes, "content_hashes").collect()}
+    assert found == {"id": 0, "site_id,hash_type": 1}

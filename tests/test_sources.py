@@ -1,11 +1,13 @@
 import json
+import re
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from sitelode.operators.metrics import audit_filter
 from sitelode.operators.quality import fill_defaults
-from sitelode.schema import TABLES
+from sitelode.schema import TABLES, table_schema
 from sitelode.session import materialize, shared_dir
 from sitelode.sources import catalog_io
 from sitelode.sources.text_lists import read_lines, seed_parse
@@ -82,6 +84,18 @@ def test_audit_layout_prunes_days(spark, tmp_path):
     day = spark.read.parquet(path).filter("day = DATE '2024-05-03'")
     assert [r.component for r in day.collect()] == ["b"]
     assert "PartitionFilters: [isnotnull(day" in day._jdf.queryExecution().executedPlan().toString()
+    ranged = audit_filter(spark.read.parquet(path), since="2024-05-02 13:00:00", until="2024-05-04 00:00:00")
+    assert [r.component for r in ranged.collect()] == ["b"]
+    plan = ranged._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*day[^\]]* >= 2024-05-02", plan)
+
+
+def test_relational_names_and_types(spark):
+    frame = spark.createDataFrame([("7", "a.onion", NOW, True, 5)], "id string, onion_address string, first_seen timestamp_ntz, is_honeypot boolean, extra int")
+    sites = catalog_io.from_source(frame, "sites")
+    assert sites.schema == table_schema("sites") and sites.first().address == "a.onion"
+    job = catalog_io.from_source(frame.select("id"), "crawl_jobs", "bigint").first()
+    assert job.job_id == 7 and job.status is None
 
 
 def test_seed_file(spark, tmp_path):
