@@ -13,6 +13,7 @@ SPREAD_BYTES_PER_TASK = 64 * 1024
 HOT_ROWS = 2_000_000
 ID_BLOCK = 1_000_000
 LOWEST_SLICE = -(1 << 63)
+SALTS = 4096
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -41,6 +42,25 @@ def has_at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def top_per_group(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int, rank: str = "rank"
+) -> DataFrame:
+    """The first `limit` rows of every key in `order`, with their rank from 1.
+
+    Up to Spark's group-limit threshold the rank is limited in each task before
+    the shuffle. Above it the rows of a key are first limited in salted parts.
+    """
+    def first(rows: DataFrame, part: Sequence[str]) -> DataFrame:
+        window = Window.partitionBy(*part).orderBy(*order)
+        return rows.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= limit)
+
+    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if limit <= threshold:
+        return first(df, keys)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+    return first(first(salted, [*keys, "_salt"]).drop(rank, "_salt"), keys)
+
+
 def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
     """Rows of ordinary keys, and rows of keys with more than `hot_rows` rows (None without any).
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from sitelode.functions.layout import has_at_most, spread_small
+from sitelode.functions.layout import has_at_most, spread_small, top_per_group
 from sitelode.functions.scalars import row_id, ts
 from sitelode.schema import CASCADED, NOW, TABLES
 
@@ -104,8 +104,8 @@ def search_batch(sites: DataFrame, queries: DataFrame, limit: int = 100) -> Data
     only the queries filed under pieces it contains, by an equi-join, and the
     full pattern then decides. Only a query made of nothing but wildcards is
     filed under the empty piece and meets every site, as it has to.
-    The rank is limited before the shuffle, so a query that hits a large part of
-    the table sends `limit` rows per task, not all its hits.
+    A query that hits a large part of the table sends `limit` rows per task to
+    the ranking, not all its hits.
     """
     lowered = queries.select("query_id", F.lower(F.coalesce("query", F.lit(""))).alias("query"))
     filed = lowered.withColumn("runs", _literal_runs(F.col("query"))).withColumns(
@@ -131,12 +131,8 @@ def search_batch(sites: DataFrame, queries: DataFrame, limit: int = 100) -> Data
     # the pattern is compiled per row, so plain containment of its pieces is tested first
     promising = F.forall("runs", lambda r: F.contains(F.col("_all"), r))
     hit = F.when(~F.col("has_wildcard"), plain).when(promising, pattern).otherwise(False)
-    rank = Window.partitionBy("query_id").orderBy(F.desc_nulls_first("last_checked"), F.asc("site_id"))
-    return (
-        candidates.filter(hit)
-        .select("query_id", "site_id", "last_checked", F.row_number().over(rank).alias("rank"))
-        .filter(F.col("rank") <= limit)
-    )
+    found = candidates.filter(hit).select("query_id", "site_id", "last_checked")
+    return top_per_group(found, ["query_id"], [F.desc_nulls_first("last_checked"), F.asc("site_id")], limit)
 
 
 def unclassified_sites(sites: DataFrame) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from sitelode.functions.layout import top_per_group
 from sitelode.functions.scalars import as_col, one_of, words
 from sitelode.session import scratch_path
 
@@ -70,6 +71,7 @@ def link_bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFram
     `edges` has (src, dst), `seeds` has (node). Every round is written to the
     shared folder as depth=<d> and the nodes seen so far are read back from
     there, so the plan does not grow and a lost executor repeats one round only.
+    For many rounds give an edge table bucketed by `src`: it is then never shuffled.
     """
     spark = edges.sparkSession
     root = scratch_path(spark, "reach")
@@ -95,9 +97,8 @@ def link_bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFram
 
 
 def page_cap(pages: DataFrame, host: str = "host", order: Sequence[str] = ("depth", "url"), cap: int = PAGES_PER_SITE) -> DataFrame:
-    """At most `cap` pages per host, in `order`; limited per task before the shuffle."""
-    rank = Window.partitionBy(host).orderBy(*order)
-    return pages.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= cap)
+    """At most `cap` pages per host, in `order`, with their rank."""
+    return top_per_group(pages, [host], [F.asc(c) for c in order], cap)
 
 
 def lang_detect(

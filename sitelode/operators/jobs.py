@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from sitelode.functions.layout import HOT_ROWS, id_block, sliced_running_sum, spread_small
+from sitelode.functions.layout import HOT_ROWS, id_block, sliced_running_sum, spread_small, top_per_group
 from sitelode.functions.scalars import iso_text, row_id, seconds_between, ts
 from sitelode.operators.quality import fill_defaults
 
@@ -27,9 +27,8 @@ def pending_jobs(jobs: DataFrame, as_of: datetime | str, limit: int = 10) -> Dat
 
 
 def pending_jobs_per_site(jobs: DataFrame, as_of: datetime | str, per_site: int) -> DataFrame:
-    """The first `per_site` due jobs of every site; the rank is limited before the shuffle."""
-    rank = Window.partitionBy("site_id").orderBy(*_job_order())
-    return _due(jobs, as_of).withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= per_site)
+    """The first `per_site` due jobs of every site, in the order of `pending_jobs`."""
+    return top_per_group(_due(jobs, as_of), ["site_id"], _job_order(), per_site)
 
 
 def create_crawl_jobs(requests: DataFrame, as_of: datetime | str) -> DataFrame:

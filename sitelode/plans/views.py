@@ -10,6 +10,7 @@ import re
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 AS_OF_SITES = "2000-12-31 00:00:00"
 AS_OF_JOBS = "1999-01-01 00:00:00"
@@ -149,6 +150,9 @@ def _needs(name: str) -> tuple[str, ...]:
     )
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 class Fixture:
     """Frames over one folder of fixture tables; each is built when asked for."""
 
@@ -165,7 +169,11 @@ class Fixture:
         return self._frames[name]
 
     def _base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A fixture table; its schema is read from the file once per process."""
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     def _view(self, name: str) -> DataFrame:
         text = _spark_text(name)

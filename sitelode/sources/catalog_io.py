@@ -73,12 +73,15 @@ def layout_by_address(sites: DataFrame, partitions: int) -> DataFrame:
     return sites.repartition(partitions, "address")
 
 
-def save_bucketed(sites: DataFrame, table: str, buckets: int) -> None:
-    """Save as a table bucketed by address; joins on address then need no shuffle of it."""
+def save_bucketed(df: DataFrame, table: str, buckets: int, column: str = "address") -> None:
+    """Save as a table bucketed by `column`; joins on it then need no shuffle of the table.
+
+    Meant for sites by address, and for link tables by `src` before deep searches.
+    """
     (
-        sites.repartition(buckets, "address")
-        .write.bucketBy(buckets, "address")
-        .sortBy("address")
+        df.repartition(buckets, column)
+        .write.bucketBy(buckets, column)
+        .sortBy(column)
         .mode("overwrite")
         .saveAsTable(table)
     )

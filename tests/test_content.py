@@ -57,6 +57,14 @@ def test_page_cap(spark):
     capped = content.page_cap(frame)
     assert {r.host: r.n for r in capped.groupBy("host").agg(F.count("*").alias("n")).collect()} == {"h0": 50, "h1": 50}
     assert content.page_cap(frame, cap=1).filter("host = 'h1'").first().url == "1"
+    wanted = {tuple(r) for r in capped.collect()}
+    threshold = "spark.sql.optimizer.windowGroupLimitThreshold"
+    spark.conf.set(threshold, "10")  # a cap above the threshold takes the salted way
+    try:
+        salted = content.page_cap(frame)
+        assert {tuple(r) for r in salted.collect()} == wanted and salted.columns == capped.columns
+    finally:
+        spark.conf.unset(threshold)
 
 
 def test_language(spark):

@@ -74,6 +74,13 @@ def test_address_layouts(spark):
     assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString().replace("ReusedExchange", "")
     spark.sql("DROP TABLE sites_by_address")
 
+    edges = spark.range(300).select((F.col("id") % 30).alias("src"), F.col("id").alias("dst"))
+    catalog_io.save_bucketed(edges, "edges_by_src", 4, "src")
+    frontier = spark.range(20).withColumnRenamed("id", "src").hint("merge")
+    step = spark.table("edges_by_src").join(frontier, "src")
+    assert step.count() == 200 and step._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
+    spark.sql("DROP TABLE edges_by_src")
+
 
 def test_audit_layout_prunes_days(spark, tmp_path):
     logs = spark.createDataFrame(
