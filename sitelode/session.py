@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
     """A local session for tests and the benchmark; clusters bring their own."""
     settings = {
@@ -37,9 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    made = tempfile.mkdtemp(prefix="sitelode-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL_DIRS:
+        _LOCAL_DIRS[application] = tempfile.mkdtemp(prefix="sitelode-")
+    return _LOCAL_DIRS[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -13,6 +13,15 @@ def pages(spark, url="https://Site.ONION/dir/page?x=/y", html=PAGE):
     return spark.createDataFrame([(1, url, html)], "page_id int, url string, html string")
 
 
+def test_hosts(spark):
+    urls = {
+        "http://Abc.Onion": "abc.onion", "https://user:pw@h.org:8080/x@y": "h.org", "ftp://h.org?x=//z": "h.org",
+        "http://h.org/a b|c": "h.org", "http://[::1]:80/": "[::1]", "h.org/x": None, "/rel": None, "http:///x": None, "": None,
+    }
+    frame = spark.createDataFrame([(u,) for u in urls], "url string")
+    assert [r[0] for r in frame.select(content.host_of("url")).collect()] == list(urls.values())
+
+
 def test_page_extract(spark):
     row = content.page_extract(pages(spark)).first()
     assert (row.host, row.title, row.language) == ("site.onion", "A &amp; B", "fr")
