@@ -156,7 +156,7 @@ SELECT bucket_start, round(CAST(rpm AS DOUBLE), 6) AS requests_per_minute, round
 FROM b WHERE bucket_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM request_log)""",
 )
 def stream_request_metrics(fx: Fixture):
-    log = streams.file_stream(fx.spark, fx.folder, "events.parquet").select(
+    log = streams.table_stream(fx.spark, f"{fx.folder}/events.parquet").select(
         "ts", (F.col("event_type") == "error").alias("is_error"), F.col("value").alias("response_time")
     )
     root = scratch_path(fx.spark, "metrics-stream")
@@ -172,7 +172,7 @@ def stream_request_metrics(fx: Fixture):
     FOLD,
 )
 def stream_job_state(fx: Fixture):
-    lines = streams.file_stream(fx.spark, fx.folder, "lineitem.parquet")
+    lines = streams.table_stream(fx.spark, f"{fx.folder}/lineitem.parquet")
     events = Fixture(fx.spark, fx.folder, {"lineitem": lines}).job_events
     root = scratch_path(fx.spark, "job-stream")
     streams.run_updates(streams.stream_job_state(events), f"{root}/rows", f"{root}/state").awaitTermination()
@@ -182,7 +182,7 @@ def stream_job_state(fx: Fixture):
 
 @query("stream_new_addresses", "SELECT DISTINCT address FROM site_updates")
 def stream_new_addresses(fx: Fixture):
-    events = streams.file_stream(fx.spark, fx.folder, "events.parquet")
+    events = streams.table_stream(fx.spark, f"{fx.folder}/events.parquet")
     live = Fixture(fx.spark, fx.folder, {"events": events})
     found = live.site_updates.select("address", (ts("2024-01-01 00:00:00") + F.make_dt_interval(secs=F.col("seq"))).alias("discovered_at"))
     root = scratch_path(fx.spark, "address-stream")

@@ -108,6 +108,11 @@ def _filesystem(spark: SparkSession, path: str):
     return made.getFileSystem(spark._jsc.hadoopConfiguration()), made
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, made = _filesystem(spark, path)
+    return bool(fs.getFileStatus(made).isDirectory())
+
+
 def _versions(spark: SparkSession, root: str) -> dict[int, bool]:
     """Version numbers under `root` and whether each was committed."""
     fs, base = _filesystem(spark, root)

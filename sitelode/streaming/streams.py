@@ -7,6 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sitelode.operators.jobs import job_event_fold
 from sitelode.operators.metrics import request_aggregates
+from sitelode.sources.catalog_io import is_folder
 
 
 def event_time(column: Column | str) -> Column:
@@ -21,10 +22,13 @@ def zone_free(column: Column) -> Column:
     return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
 
 
-def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Parquet files `name` of a folder as a stream, with their own schema."""
-    schema = spark.read.parquet(f"{folder}/{name}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+def table_stream(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """A Parquet table, a folder of files or one file, as a stream with its own schema."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).options(**options)
+    if is_folder(spark, path):
+        return reader.parquet(path)
+    folder, name = path.rsplit("/", 1)
+    return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def stream_request_metrics(log: DataFrame, minutes: int = 60, watermark: str = "10 minutes") -> DataFrame:

@@ -18,6 +18,16 @@ def batches(spark, tmp_path, schema, *parts):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder), folder
 
 
+def test_table_stream_takes_a_folder_or_one_file(spark, tmp_path):
+    spark.range(50).repartition(3).write.parquet(str(tmp_path / "folder"))
+    single = next((tmp_path / "folder").glob("part-*.parquet"))
+    for name, path in (("folder", tmp_path / "folder"), ("file", single)):
+        stream = streams.table_stream(spark, str(path), maxFilesPerTrigger="1")
+        out = str(tmp_path / f"out-{name}")
+        streams.run_append(stream, out, str(tmp_path / f"state-{name}")).awaitTermination()
+        assert spark.read.parquet(out).count() == spark.read.parquet(str(path)).count()
+
+
 def test_job_state_stream_equals_batch(spark, tmp_path):
     parts = [
         [(1, 1, NOW, "running", None, None), (2, 2, NOW, "running", None, None)],
