@@ -6,7 +6,6 @@ from datetime import datetime
 from itertools import combinations
 
 import pytest
-from pyspark.sql import functions as F
 
 from sitelode.operators import dedup
 

@@ -1,7 +1,6 @@
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from sitelode.operators import classify, safety
 from sitelode.operators.classify import Rule
