@@ -1 +1,11 @@
-"""Operators for training-data corpora. Nothing else in the library imports this subpackage."""
+"""Operators for training-data corpora. Nothing else in the library imports this subpackage.
+
+Functions that run in Python workers travel with their code, so the workers need
+only the public libraries, not this package on their path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

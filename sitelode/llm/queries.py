@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitelode.llm import decontaminate, packing, secrets, sharding
+from sitelode.llm import decontaminate, packing, secrets, sharding, toxicity, wavelet
 from sitelode.llm.common import table
+from sitelode.session import scratch_path
 
 SHARDS = 24
 
@@ -40,7 +41,33 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_token_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    wavelet.write_tokens(table(spark, sf_dir, "documents"), path)
+    return wavelet.read_documents(spark, path)
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
+    """Trained on labelled documents outside the held-out third."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~_held_out())
+    return toxicity.fit_sample(labels.join(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id"))
+
+
+def _held_out():
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = toxicity_model(spark, sf_dir)
+    scored = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), model)
+    return scored.select(
+        "doc_id", _held_out().alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        F.col("toxic").alias("flagged_by_language"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_secret_scan, op4_sharding, op7_best_fit_packing, op8_decontamination)
+    for f in (op2_secret_scan, op4_sharding, op7_best_fit_packing, op8_decontamination, op9_toxicity, op10_token_wavelet)
 }
