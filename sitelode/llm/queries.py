@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitelode.llm import decontaminate, packing, secrets, sharding, toxicity, wavelet
+from sitelode.llm import decontaminate, ego_join, packing, secrets, sharding, toxicity, wavelet
 from sitelode.llm.common import table
 from sitelode.session import scratch_path
 
 SHARDS = 24
 
 
+def op1_embedding_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda x: x["kind"] != secrets.ENTROPY_KIND)
@@ -69,5 +73,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_secret_scan, op4_sharding, op7_best_fit_packing, op8_decontamination, op9_toxicity, op10_token_wavelet)
+    for f in (op1_embedding_near_dup, op2_secret_scan, op4_sharding, op7_best_fit_packing, op8_decontamination, op9_toxicity, op10_token_wavelet)
 }
