@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitelode.llm import decontaminate, ego_join, packing, secrets, sharding, toxicity, wavelet
+from sitelode.llm import decontaminate, ego_join, ngram_join, packing, secrets, sharding, toxicity, wavelet
 from sitelode.llm.common import table
 from sitelode.session import scratch_path
 
@@ -37,6 +37,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked_texts(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_token_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
     """Trained on labelled documents outside the held-out third."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~_held_out())
-    return toxicity.fit_sample(labels.join(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id"))
+    return toxicity.fit_sample(labels, table(spark, sf_dir, "documents"))
 
 
 def _held_out():
@@ -73,5 +77,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_embedding_near_dup, op2_secret_scan, op4_sharding, op7_best_fit_packing, op8_decontamination, op9_toxicity, op10_token_wavelet)
+    for f in (op1_embedding_near_dup, op2_secret_scan, op4_sharding, op5_ngram_join, op7_best_fit_packing, op8_decontamination, op9_toxicity, op10_token_wavelet)
 }

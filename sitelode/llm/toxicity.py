@@ -196,22 +196,26 @@ def _fit(model, places, word, prefix, offsets, toxic, chosen, rng) -> None:
         model.out_bias -= RATE * error.sum() * 4
 
 
-def fit_sample(labelled: DataFrame, *, label: str = "toxic", text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS) -> ToxicityModel:
-    """Train on a bounded sample of labelled rows: at most `rows` of each class, by the hash of `key`.
-
-    The sample, at most twice `rows` texts, is all that reaches the driver. Rows
-    without a label are left out; a null text is an empty one. Without rows of
-    both classes the model scores all texts alike.
+def fit_sample(
+    labels: DataFrame, docs: DataFrame, *, label: str = "toxic", text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS
+) -> ToxicityModel:
+    """Train on a bounded sample of labelled rows: at most `rows` labels of each class, by the hash of `key`.
+
+    The sampled keys, at most twice `rows`, are broadcast to find their texts, so
+    texts are not shuffled; the sampled texts are all that reaches the driver.
+    Labels other than 0 and 1, null keys and labels without a text are left out; a null text is an empty one.
+    Without texts of both classes the model scores all texts alike.
     """
-    known = labelled.filter(F.col(label).isin(0, 1)).select(
-        F.col(label).cast("int").alias("label"), F.coalesce(F.col(text), F.lit("")).alias("text"),
-        F.col(lang).alias("lang"), F.xxhash64(key).alias("_order"),
+    known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(
+        F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"), F.xxhash64(key).alias("_order")
     )
-    taken = [known.filter(F.col("label") == v).orderBy("_order", "text").limit(rows) for v in (1, 0)]
-    sample = taken[0].unionByName(taken[1]).orderBy("_order", "text").toArrow()
-    toxic = sample["label"].to_numpy().astype(np.int64)
-    texts = pa.concat_arrays([c.cast(pa.large_string()) for c in sample["text"].chunks]) if len(toxic) else pa.array([], pa.large_string())
-    return train(texts, toxic, sample["lang"].to_pylist())
+    taken = [known.filter(F.col("_label") == v).orderBy("_order", "_key").limit(rows) for v in (1, 0)]
+    chosen = F.broadcast(taken[0].unionByName(taken[1]))
+    found = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.col(lang).alias("_lang"))
+    sample = found.join(chosen, "_key").orderBy("_order", "_label", "_text").toArrow()
+    toxic = sample["_label"].to_numpy().astype(np.int64)
+    texts = pa.concat_arrays([c.cast(pa.large_string()) for c in sample["_text"].chunks]) if len(toxic) else pa.array([], pa.large_string())
+    return train(texts, toxic, sample["_lang"].to_pylist())
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text", lang: str = "lang") -> DataFrame:
