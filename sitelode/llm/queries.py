@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitelode.llm import decontaminate, ego_join, ngram_join, packing, secrets, sharding, toxicity, wavelet
+from sitelode.llm import decontaminate, ego_join, ngram_join, packing, repeats, secrets, sharding, toxicity, wavelet
 from sitelode.llm.common import table
 from sitelode.session import scratch_path
 
@@ -31,6 +31,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = sharding.with_text_size(table(spark, sf_dir, "documents").select("doc_id", "text"))
     dealt = sharding.shard(docs, "doc_id", SHARDS, carry=["size", "text_crc32"], order=["text_crc32", "size"])
@@ -77,5 +81,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_embedding_near_dup, op2_secret_scan, op4_sharding, op5_ngram_join, op7_best_fit_packing, op8_decontamination, op9_toxicity, op10_token_wavelet)
+    for f in (op1_embedding_near_dup, op2_secret_scan, op3_repeats, op4_sharding, op5_ngram_join, op7_best_fit_packing, op8_decontamination, op9_toxicity, op10_token_wavelet)
 }
