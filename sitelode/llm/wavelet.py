@@ -20,7 +20,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 SHARD_TOKENS = 1 << 20
 BLOCK = 512
-CACHED_WORDS = 800_000
+CACHED_WORDS = 1_200_000
 
 
 class WaveletMatrix:
@@ -114,52 +114,96 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def word_encoder(path: str, end_id: int) -> WordEncoder:
+    """The encoder of this worker process: tasks that follow each other keep its words.
+
+    It hangs on the tokenizers module, which lives as long as the process does.
+    """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_word_encoders", {})
+    if (path, end_id) not in kept:
+        kept[path, end_id] = WordEncoder(tokenizers.Tokenizer.from_file(path), end_id)
+    return kept[path, end_id]
+
+
 class WordEncoder:
     """Ids of whole texts through the ids of their words.
 
-    For a tokenizer that drops white space, the ids of a text are the ids of its
-    words in order, so each distinct word is encoded once. The cache is emptied
-    when it is full; that costs time, not results.
+    For a tokenizer that drops white space, lower-cases and separates letters from
+    other signs, the ids of a text are the ids of its words in order, and a final
+    stop or comma after a letter or digit is a word of its own. So each distinct
+    word is encoded once. All words are forgotten when there are too many; that
+    costs time, not results.
     """
 
-    def __init__(self, path: str, end_id: int):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+    END, NOTHING = 0, 1
 
-        self.encode, self.end_id = Tokenizer.from_file(path).encode_batch, end_id
-        self._empty()
+    def __init__(self, tokenizer, end_id: int):
+        self.encode, self.end_id = tokenizer.encode_batch, end_id
+        self._forget()
 
-    def _empty(self) -> None:
-        """Only the end mark: number 0."""
+    def _forget(self) -> None:
         self.numbers: dict[str, int] = {}
-        self.flat, self.lengths = np.array([self.end_id], np.uint32), np.array([1])
+        self.flat, self.lengths, self.starts = np.array([self.end_id], np.uint32), np.array([1, 0]), np.array([0, 1])
 
-    def _learn(self, new: list[str]) -> None:
-        coded = [e.ids for e in self.encode(new, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-        flat = np.fromiter(chain.from_iterable(coded), np.uint32, int(lengths.sum()))
+    def _add(self, new: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
         self.numbers.update(zip(new, range(len(self.lengths), len(self.lengths) + len(new))))
         self.flat, self.lengths = np.concatenate([self.flat, flat]), np.concatenate([self.lengths, lengths])
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def _expanded(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of known words in a row, and where each word's ids end."""
+        counts = self.lengths[numbers]
+        ends = np.cumsum(counts)
+        shifts = np.repeat(self.starts[numbers] - (ends - counts), counts)
+        shifts += np.arange(len(shifts))
+        return self.flat[shifts], ends
+
+    def _learn(self, words_now: list[str]) -> None:
+        plain, whole, stems, tails = [], [], [], []
+        for word in words_now:
+            tail = word[-1] if word[-1] in ".," and word[-2:-1].isascii() and word[-2:-1].isalnum() else ""
+            stem = word[:-1] if tail else word
+            stem = stem.lower() if "<" not in stem and stem.isascii() else stem
+            if stem == word:
+                plain.append(word)
+            else:
+                whole.append(word)
+                stems.append(stem)
+                tails.append(tail)
+        new = [w for w in dict.fromkeys([*plain, *stems, ".", ","]) if w not in self.numbers]
+        coded = [e.ids for e in self.encode(new, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        self._add(new, np.fromiter(chain.from_iterable(coded), np.uint32, int(lengths.sum())), lengths)
+        if whole:
+            pairs = np.empty(2 * len(whole), np.int64)
+            pairs[0::2] = [self.numbers[w] for w in stems]
+            pairs[1::2] = [self.numbers[t] if t else self.NOTHING for t in tails]
+            flat, ends = self._expanded(pairs)
+            self._add(whole, flat, np.diff(ends[1::2], prepend=0))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text, the end id included."""
         places, distinct, offsets = words(texts, lower=False)
         known = distinct.to_pylist()
         if len(self.numbers) + len(known) > CACHED_WORDS:
-            self._empty()
+            self._forget()
         self._learn([w for w in known if w not in self.numbers])
         number = np.fromiter(map(self.numbers.__getitem__, known), np.int64, len(known))
-        ended = np.insert(number[places], offsets[1:], 0)
-        starts = np.cumsum(self.lengths) - self.lengths
-        counts = self.lengths[ended]
-        ends = np.cumsum(counts)
-        ids = self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[ended] - (ends - counts), counts)]
-        closing = offsets[1:] + np.arange(len(offsets) - 1)
-        return ids, np.diff(np.concatenate([[0], ends[closing]]))
+        n_texts = len(offsets) - 1
+        closing = offsets[1:] + np.arange(n_texts)
+        ended = np.full(len(places) + n_texts, self.END, np.int64)
+        inner = np.ones(len(ended), bool)
+        inner[closing] = False
+        ended[inner] = number[places]
+        ids, ends = self._expanded(ended)
+        return ids, np.diff(ends[closing], prepend=0)
 
 
 def _shard_rows(batches: Iterable[pa.RecordBatch], path: str, end_id: int, levels: int, most: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    encoder, part, number = WordEncoder(path, end_id), TaskContext.get().partitionId(), 0
+    encoder, part, number = word_encoder(path, end_id), TaskContext.get().partitionId(), 0
     held: list[tuple[list, np.ndarray, np.ndarray]] = []
 
     def close() -> pa.RecordBatch:
