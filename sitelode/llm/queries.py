@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitelode.llm import decontaminate, ego_join, ngram_join, packing, repeats, secrets, sharding, toxicity, wavelet
+from sitelode.llm import decontaminate, ego_join, licenses, ngram_join, packing, repeats, secrets, sharding, toxicity, wavelet
 from sitelode.llm.common import table
 from sitelode.session import scratch_path
 
@@ -45,6 +45,18 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked_texts(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a source is a repository; every hundredth id is the license file of its directory, every thousandth that of the language folder."""
+    number, named = F.col("doc_id"), F.col("doc_id").cast("string")
+    folder = F.concat_ws("/", "source", "lang")
+    path = (
+        F.when(number % 1000 == 0, F.concat(folder, F.lit("/LICENSE-"), named))
+        .when(number % 100 == 0, F.concat(folder, F.lit("/"), (number / 100).cast("bigint").cast("string"), F.lit("/LICENSE")))
+        .otherwise(F.concat(folder, F.lit("/"), F.floor(number / 100).cast("string"), F.lit("/"), named))
+    )
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").withColumn("path", path), keep=("doc_id",))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -81,5 +93,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_embedding_near_dup, op2_secret_scan, op3_repeats, op4_sharding, op5_ngram_join, op7_best_fit_packing, op8_decontamination, op9_toxicity, op10_token_wavelet)
+    for f in (op1_embedding_near_dup, op2_secret_scan, op3_repeats, op4_sharding, op5_ngram_join, op6_license_scan, op7_best_fit_packing, op8_decontamination, op9_toxicity, op10_token_wavelet)
 }
