@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from sitelode.llm.arrowtext import chain, shingle_sets, slices
+from sitelode.llm.arrowtext import chain, shingle_sets, slices, sorted_inside
 from sitelode.llm.common import SHINGLE_WORDS, SIMILAR_PERCENT, components
 from sitelode.session import materialize
 
@@ -66,7 +66,7 @@ def _signatures(values, offsets, hot: np.ndarray, light: int, percent: int) -> t
         at = np.minimum(np.searchsorted(hot, values), len(hot) - 1)
         is_hot = hot[at] == values
     kind = np.where(is_hot, 2, np.where(counted, 0, 1))
-    order = np.lexsort((values, kind, owner))
+    order = sorted_inside(owner, values, kind)
     rank = np.arange(len(values)) - offsets[owner]
     posts = n >= ceil(percent * (light + 1) / 100)
     chosen = (rank < prefix_length(n, percent)[owner]) & posts[owner]
@@ -152,6 +152,20 @@ def _size_fits(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _possible(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, na, b, nb) without those that share too few prefix shingles to be linked.
+
+    Whichever prefix ends earlier in the common order, all that the sets share up to there is in both prefixes,
+    and after it the set has only its rest. So the shared prefix shingles and the
+    larger rest bound the overlap from above. Small sets, which may post subsets, all pass.
+    """
+    keys = members.select("key", F.col("row").alias("a")), members.select("key", F.col("row").alias("b"))
+    shared = pairs.join(keys[0], "a").join(keys[1], ["key", "b"]).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
+    rest = F.ceil(F.greatest("na", "nb") * percent / 100) - 1
+    return shared.filter((F.least("na", "nb") <= 2 * MOST_LIGHT) | (F.col("shared") + rest >= need)).select("a", "b")
+
+
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, length: int, percent: int) -> DataFrame:
     """The pairs (a, b) of rows whose sets have the wanted Jaccard similarity, counted on whole sets.
 
@@ -163,24 +177,28 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, length: int, p
     texts = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
 
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             for piece in slices(batch):
                 values, offsets = shingle_sets(piece.column("text"), length)
                 whole = [values[offsets[i] : offsets[i + 1]].tobytes() for i in range(piece.num_rows)]
-                for start in range(0, len(whole), 512):
-                    part = whole[start : start + 512]
+                found = {xxhash.xxh3_128_digest(w): w for w in whole}
+                new = [(k, w) for k, w in found.items() if k not in seen]
+                seen.update(k for k, _ in new)
+                for start in range(0, len(new), 512):
+                    part = new[start : start + 512]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([xxhash.xxh3_128_digest(w) for w in part], pa.binary()), pa.array(part, pa.binary())],
-                        names=["print", "members"],
+                        [pa.array([k for k, _ in part], pa.binary()), pa.array([w for _, w in part], pa.binary())], names=["print", "members"]
                     )
 
-    members = materialize(
-        texts.mapInArrow(packed, "print binary, members binary").join(wanted.select("row", "print"), "print")
-        .dropDuplicates(["row"]).select("row", "members"),
-        "sets",
+    members = texts.mapInArrow(packed, "print binary, members binary").dropDuplicates(["print"])
+    members = materialize(members, "sets")
+    prints = wanted.select("row", "print")
+    named = pairs.join(prints.select(F.col("row").alias("a"), F.col("print").alias("pa")), "a").join(
+        prints.select(F.col("row").alias("b"), F.col("print").alias("pb")), "b"
     )
-    left = pairs.join(members.select(F.col("row").alias("a"), F.col("members").alias("set_a")), "a")
-    both = left.join(members.select(F.col("row").alias("b"), F.col("members").alias("set_b")), "b")
+    left = named.join(members.select(F.col("print").alias("pa"), F.col("members").alias("set_a")), "pa").drop("pa")
+    both = left.join(members.select(F.col("print").alias("pb"), F.col("members").alias("set_b")), "pb")
 
     def similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,7 +261,7 @@ def linked_texts(
             by = F.struct(F.xxhash64(F.col("row"), F.lit(number)).alias("h"), "row")
             centre = placed.groupBy("key").agg(F.min_by(F.struct("row", "n", "c"), by).alias("m"))
             found = placed.join(centre, "key").filter((F.col("c") != F.col("m.c")) & _size_fits("n", "m.n", percent)).select(
-                F.least("row", "m.row").alias("a"), F.greatest("row", "m.row").alias("b")
+                F.col("row").alias("a"), F.col("n").alias("na"), F.col("m.row").alias("b"), F.col("m.n").alias("nb")
             )
         else:
             kinds = placed.select("key", "c").distinct()
@@ -251,9 +269,11 @@ def linked_texts(
             one = placed.select("key", "c", F.col("row").alias("x"), F.col("n").alias("nx"))
             other = placed.select("key", F.col("c").alias("d"), F.col("row").alias("y"), F.col("n").alias("ny"))
             found = meet.join(one, ["key", "c"]).join(other, ["key", "d"]).filter(_size_fits("nx", "ny", percent)).select(
-                F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")
+                F.col("x").alias("a"), F.col("nx").alias("na"), F.col("y").alias("b"), F.col("ny").alias("nb")
             )
-        found = found.distinct()
+        low = F.col("a") < F.col("b")
+        found = found.select(*(F.when(low, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("na", "nb"), ("b", "a"), ("nb", "na"))))
+        found = _possible(found.distinct(), members, percent)
         if checked is not None:
             found = found.join(checked, ["a", "b"], "left_anti")
         found = materialize(found, "candidates")
