@@ -96,4 +96,4 @@ def _ranked(shingles: DataFrame) -> DataFrame:
 def decontaminated(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
     """The rows of `docs` that contain no benchmark item, with all their columns. Rows with a null id go when a null-id text has a hit."""
     hits = contained_items(docs, items, doc_id=doc_id, **options).select(F.col(doc_id).alias("_hit")).distinct()
-    return docs.join(hits, docs[doc_id].eqNullSafe(F.col("_hit")), "left_anti")
+    return docs.join(hits, docs[doc_id].eqNullSafe(hits["_hit"]), "left_anti")

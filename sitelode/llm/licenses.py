@@ -64,7 +64,7 @@ class Templates:
         pair, times = np.unique(owner[known] * size + code[known], return_counts=True)
         who, term = pair // size, pair % size
         value = times * self.idf[term]
-        squares = np.bincount(who, weights=value**2, minlength=len(texts))
+        squares = np.bincount(who, weights=value**2, minlength=len(texts)).astype(np.float64)  # whole numbers when empty
         squares += self.unknown**2 * np.bincount(owner[code == -1], minlength=len(texts))
         top, cosine = np.zeros(len(texts), np.int64), np.zeros(len(texts))
         for k, weights in enumerate(self.weights):

@@ -112,12 +112,12 @@ def find_secrets(
     candidate string that no allow-list pattern fits and that has a window of
     `window` characters of one class with at least that class's Shannon entropy.
     Offsets count code points, ends are exclusive. A null or empty text has no
-    spans. Rows, repeated ones too, and all other columns are kept.
+    spans. Rows, repeated ones too, and all other columns are kept; a former column `out` is replaced.
 
     Everything happens inside the row: no shuffle, and a text without any match is only read
     once per pattern.
     """
-    whole = "_whole"
+    whole = "__whole_text"
     df = df.withColumn(whole, F.coalesce(F.col(text), F.lit("")))
     parts = []
     empty = "CAST(array() AS array<struct<start:int,kind_no:int,kind:string,end:int>>)"

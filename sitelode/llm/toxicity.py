@@ -222,10 +222,11 @@ def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text", lang: st
     """Add score, threshold (of the language, else the common one) and toxic (score >= threshold).
 
     The score depends on the whole text alone; the language only picks the
-    threshold. Null and empty texts are scored as empty. All rows and columns are
-    kept, so `docs` must not have columns of these names. Texts are scored in slices of
+    threshold. Null and empty texts are scored as empty. All rows are kept, and all columns but former
+    ones of these three names, which are replaced. Texts are scored in slices of
     bounded bytes in the tasks that read them; nothing is shuffled.
     """
+    docs = docs.drop("score", "threshold", "toxic")
     schema = docs.select("*").schema.add("score", "double").add("threshold", "double").add("toxic", "boolean")
 
     def scored(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
