@@ -18,7 +18,7 @@ from sitelode.session import materialize
 #: Share of the hash range whose shingles are counted; prefixes take a quarter of a set, so they nearly always lie in it.
 COUNTED = int(0.3 * 2**64)
 #: A shingle in more sets than this goes to the end of the order. At most HOT_KEYS of the commonest do; only speed depends on both.
-HOT_COUNT, HOT_KEYS = 30, 1 << 19
+HOT_COUNT, HOT_KEYS = 15, 1 << 19
 MOST_LIGHT = 12
 STAR_ROUNDS = 2
 
@@ -152,18 +152,43 @@ def _size_fits(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _possible(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, na, b, nb) without those that share too few prefix shingles to be linked.
+def _distinct_lists(postings: DataFrame) -> DataFrame:
+    """Postings (key, row, n, times) with one key for all keys that have the same rows; `times` counts them.
+
+    The shingles of a passage have nearly all the same list. Lists are the same
+    when size, sum and exclusive or of the hashes of their rows are.
+    """
+    lists = postings.groupBy("key").agg(
+        F.count("*").alias("_n"), F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("_sum"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("_xor")
+    ).filter("_n > 1")
+    kept = lists.groupBy("_n", "_sum", "_xor").agg(F.min("key").alias("key"), F.count("*").alias("times"))
+    return postings.join(kept.select("key", "times"), "key")
+
+
+def _long_enough(percent: int):
+    """Whether a pair can be linked at all, from `shared`: the prefix shingles that both sets have, and the sizes.
 
     Whichever prefix ends earlier in the common order, all that the sets share up to there is in both prefixes,
     and after it the set has only its rest. So the shared prefix shingles and the
     larger rest bound the overlap from above. Small sets, which may post subsets, all pass.
     """
-    keys = members.select("key", F.col("row").alias("a")), members.select("key", F.col("row").alias("b"))
-    shared = pairs.join(keys[0], "a").join(keys[1], ["key", "b"]).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / (100 + percent))
     rest = F.ceil(F.greatest("na", "nb") * percent / 100) - 1
-    return shared.filter((F.least("na", "nb") <= 2 * MOST_LIGHT) | (F.col("shared") + rest >= need)).select("a", "b")
+    return (F.least("na", "nb") <= 2 * MOST_LIGHT) | (F.col("shared") + rest >= need)
+
+
+def _shared_counts(pairs: DataFrame, postings: DataFrame) -> DataFrame:
+    """Pairs (a, na, b, nb) with `shared`, the prefix shingles that both have."""
+    keys = postings.select("key", "times", F.col("row").alias("a")), postings.select("key", F.col("row").alias("b"))
+    met = pairs.join(keys[0], "a").join(keys[1], ["key", "b"])
+    return met.groupBy("a", "na", "b", "nb").agg(F.sum("times").alias("shared"))
+
+
+def _ordered(met: DataFrame, row: str, n: str, other: str, other_n: str, *keep: str) -> DataFrame:
+    """Pairs as (a, na, b, nb) with a < b."""
+    first = F.col(row) < F.col(other)
+    named = (("a", row, other), ("na", n, other_n), ("b", other, row), ("nb", other_n, n))
+    return met.select(*(F.when(first, F.col(x)).otherwise(F.col(y)).alias(name) for name, x, y in named), *keep)
 
 
 def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, length: int, percent: int) -> DataFrame:
@@ -242,17 +267,14 @@ def linked_texts(
     sets = full.join(first.select(F.col("set").alias("row")), "row").select("row", "doc_id", "print")
     by_set = raw.join(of_set, "row").select("key", F.col("set").alias("row"), "n").distinct()
     members = materialize(by_set, "postings")
-    crowded = materialize(
-        members.groupBy("key").agg(F.min("row").alias("_a"), F.max("row").alias("_b")).filter("_a < _b").select("key"), "lists"
-    )
-    members = materialize(members.join(crowded, "key"), "shared-postings")
+    members = materialize(_distinct_lists(members), "shared-postings")
     links, checked = None, None
     component = None
     for number in range(STAR_ROUNDS + 1):
         placed = members if component is None else members.join(
             component.select(F.col("node").alias("row"), "component"), "row", "left"
         )
-        placed = placed.withColumn("c", F.col("row") if component is None else F.coalesce("component", "row")).select("key", "row", "n", "c")
+        placed = placed.withColumn("c", F.col("row") if component is None else F.coalesce("component", "row")).select("key", "row", "n", "times", "c")
         if component is not None:
             placed = materialize(placed, "placed")
             open_keys = placed.groupBy("key").agg(F.min("c").alias("_a"), F.max("c").alias("_b")).filter("_a < _b").select("key")
@@ -260,20 +282,18 @@ def linked_texts(
         if number < STAR_ROUNDS:
             by = F.struct(F.xxhash64(F.col("row"), F.lit(number)).alias("h"), "row")
             centre = placed.groupBy("key").agg(F.min_by(F.struct("row", "n", "c"), by).alias("m"))
-            found = placed.join(centre, "key").filter((F.col("c") != F.col("m.c")) & _size_fits("n", "m.n", percent)).select(
-                F.col("row").alias("a"), F.col("n").alias("na"), F.col("m.row").alias("b"), F.col("m.n").alias("nb")
-            )
+            met = placed.join(centre, "key").filter((F.col("c") != F.col("m.c")) & _size_fits("n", "m.n", percent))
+            pairs = _ordered(met, "row", "n", "m.row", "m.n").distinct()
+            found = _shared_counts(pairs, members)
         else:
             kinds = placed.select("key", "c").distinct()
             meet = kinds.join(kinds.select("key", F.col("c").alias("d")), "key").filter("c < d")
-            one = placed.select("key", "c", F.col("row").alias("x"), F.col("n").alias("nx"))
+            one = placed.select("key", "c", "times", F.col("row").alias("x"), F.col("n").alias("nx"))
             other = placed.select("key", F.col("c").alias("d"), F.col("row").alias("y"), F.col("n").alias("ny"))
-            found = meet.join(one, ["key", "c"]).join(other, ["key", "d"]).filter(_size_fits("nx", "ny", percent)).select(
-                F.col("x").alias("a"), F.col("nx").alias("na"), F.col("y").alias("b"), F.col("ny").alias("nb")
-            )
-        low = F.col("a") < F.col("b")
-        found = found.select(*(F.when(low, F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("a", "b"), ("na", "nb"), ("b", "a"), ("nb", "na"))))
-        found = _possible(found.distinct(), members, percent)
+            met = meet.join(one, ["key", "c"]).join(other, ["key", "d"]).filter(_size_fits("nx", "ny", percent))
+            # every list that two sets of different components share is among these
+            found = _ordered(met, "x", "nx", "y", "ny", "times").groupBy("a", "na", "b", "nb").agg(F.sum("times").alias("shared"))
+        found = found.filter(_long_enough(percent)).select("a", "b")
         if checked is not None:
             found = found.join(checked, ["a", "b"], "left_anti")
         found = materialize(found, "candidates")

@@ -98,12 +98,13 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids in order: the stable partitions undone from the lowest plane up."""
-        now = np.zeros(self.length, np.uint32)
+        kind = np.uint16 if self.levels <= 16 else np.uint32
+        now = np.zeros(self.length, kind)
         for level in reversed(range(self.levels)):
             ones = np.unpackbits(self.planes[level], bitorder="little")[: self.length].view(bool)
             above = np.empty_like(now)
             above[~ones] = now[: self.zeros[level]]
-            above[ones] = now[self.zeros[level] :] | np.uint32(1 << (self.levels - 1 - level))
+            above[ones] = now[self.zeros[level] :] | kind(1 << (self.levels - 1 - level))
             now = above
         return now
 
@@ -146,19 +147,19 @@ class WordEncoder:
 
     def _forget(self) -> None:
         self.numbers: dict[str, int] = {}
-        self.flat, self.lengths, self.starts = np.array([self.end_id], np.uint32), np.array([1, 0]), np.array([0, 1])
+        self.flat, self.lengths, self.starts = np.array([self.end_id], np.uint32), np.array([1, 0], np.int32), np.array([0, 1], np.int32)
 
     def _add(self, new: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
         self.numbers.update(zip(new, range(len(self.lengths), len(self.lengths) + len(new))))
-        self.flat, self.lengths = np.concatenate([self.flat, flat]), np.concatenate([self.lengths, lengths])
-        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat, self.lengths = np.concatenate([self.flat, flat]), np.concatenate([self.lengths, lengths.astype(np.int32)])
+        self.starts = np.cumsum(self.lengths, dtype=np.int32) - self.lengths
 
     def _expanded(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of known words in a row, and where each word's ids end."""
         counts = self.lengths[numbers]
-        ends = np.cumsum(counts)
-        shifts = np.repeat(self.starts[numbers] - (ends - counts), counts)
-        shifts += np.arange(len(shifts))
+        ends = np.cumsum(counts, dtype=np.int64)
+        shifts = np.repeat((self.starts[numbers] - (ends - counts)).astype(np.int32), counts)
+        shifts += np.arange(len(shifts), dtype=np.int32)
         return self.flat[shifts], ends
 
     def _learn(self, words_now: list[str]) -> None:
