@@ -163,17 +163,15 @@ class WordEncoder:
         return self.flat[shifts], ends
 
     def _learn(self, words_now: list[str]) -> None:
-        plain, whole, stems, tails = [], [], [], []
-        for word in words_now:
-            tail = word[-1] if word[-1] in ".," and word[-2:-1].isascii() and word[-2:-1].isalnum() else ""
-            stem = word[:-1] if tail else word
-            stem = stem.lower() if "<" not in stem and stem.isascii() else stem
-            if stem == word:
-                plain.append(word)
-            else:
-                whole.append(word)
-                stems.append(stem)
-                tails.append(tail)
+        given = pa.array(words_now, pa.large_string())
+        ended = pc.match_substring_regex(given, "[A-Za-z0-9][.,]$")
+        cut = pc.if_else(ended, pc.utf8_slice_codeunits(given, 0, -1), given)
+        foldable = pc.and_(pc.string_is_ascii(given), pc.invert(pc.match_substring(given, "<")))
+        stem = pc.if_else(foldable, pc.ascii_lower(cut), cut)
+        other = pc.not_equal(stem, given)
+        plain, whole = given.filter(pc.invert(other)).to_pylist(), given.filter(other).to_pylist()
+        stems = stem.filter(other).to_pylist()
+        tails = [w[-1] if e else "" for w, e in zip(whole, ended.filter(other).to_pylist())]
         new = [w for w in dict.fromkeys([*plain, *stems, ".", ","]) if w not in self.numbers]
         coded = [e.ids for e in self.encode(new, add_special_tokens=False)]
         lengths = np.fromiter(map(len, coded), np.int64, len(coded))
