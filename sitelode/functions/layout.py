@@ -1,40 +1,40 @@
-"""Partitioning helpers: spreading small inputs, and exact windows over hot keys."""
+"""Partitioning helpers: spreading small inputs, and exact windows over keys of any size."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sitelode.session import materialize
 
-SPREAD_BYTES_PER_CORE = 32 * 1024 * 1024
+SPREAD_BYTES = 1024 * 1024 * 1024
 SPREAD_BYTES_PER_TASK = 64 * 1024
-HOT_ROWS = 2_000_000
-ID_BLOCK = 1_000_000
-LOWEST_SLICE = -(1 << 63)
-SALTS = 4096
+SALTS = 256
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; runs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def input_bytes(df: DataFrame, files: Sequence[str]) -> int:
+    """Total size of some files, from their listing."""
+    listed = df.sparkSession.read.format("binaryFile").load(list(files))
+    return listed.agg(F.sum("length")).first()[0] or 0
 
 
 def spread_small(df: DataFrame, *columns: str) -> DataFrame:
     """Hash a small input over the cores before work that is heavy per row.
 
-    One small file is one scan task. Above the size limit the scan has enough
-    splits already and `df` is returned as it is, without a shuffle.
-    A stream is never spread.
+    One small file is one scan task. An input with as many files as cores, or
+    above `SPREAD_BYTES` in all, has enough splits already and is returned as it
+    is, without a shuffle; so is one that reads no files. A stream is never spread.
     """
     if df.isStreaming:
         return df
-    cores, size = df.sparkSession.sparkContext.defaultParallelism, estimated_bytes(df)
-    parts = min(cores, size // SPREAD_BYTES_PER_TASK)
-    if size > SPREAD_BYTES_PER_CORE * cores or parts < 2:
+    files, cores = df.inputFiles(), df.sparkSession.sparkContext.defaultParallelism
+    if not files or len(files) >= cores:
         return df
-    return df.repartition(parts, *columns)
+    size = input_bytes(df, files)
+    parts = min(cores, size // SPREAD_BYTES_PER_TASK)
+    return df if size > SPREAD_BYTES or parts < 2 else df.repartition(parts, *columns)
 
 
 def has_at_most(df: DataFrame, rows: int) -> bool:
@@ -47,125 +47,70 @@ def top_per_group(
 ) -> DataFrame:
     """The first `limit` rows of every key in `order`, with their rank from 1.
 
-    Up to Spark's group-limit threshold the rank is limited in each task before
-    the shuffle. Above it the rows of a key are first limited in salted parts.
+    Two steps for all keys alike: the rows of a key are limited in up to `SALTS`
+    parts by task, then together. So a hot key meets as `SALTS` x `limit` rows in the
+    last step, and in each part as what a share of the tasks has left after
+    limiting. The part of a row does not change the result.
     """
     def first(rows: DataFrame, part: Sequence[str]) -> DataFrame:
         window = Window.partitionBy(*part).orderBy(*order)
         return rows.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= limit)
 
-    threshold = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
-    if limit <= threshold:
-        return first(df, keys)
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+    salted = df.withColumn("_salt", F.spark_partition_id() % SALTS)
     return first(first(salted, [*keys, "_salt"]).drop(rank, "_salt"), keys)
 
 
-def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary keys, and rows of keys with more than `hot_rows` rows (None without any).
+def _in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column], parts: int | None) -> DataFrame:
+    """Rows in ranges of (keys, order): `_part` is the range, `_row` the place in it.
 
-    Counts the keys once, in a job of its own. There are at most rows / hot_rows
-    hot keys, hence the broadcast; the ordinary rows carry nothing extra.
+    The ranges come from a sample of the rows, so a key of any size, null too, is
+    cut along its own order into as many ranges as its share of the rows. Written
+    once, so that every later step sees the same places.
     """
-    counted = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > hot_rows)
-    hot = materialize(counted.select(*keys), "hot")
-    if hot.isEmpty():
-        return df, None
-    listed = F.broadcast(hot)
-    ordinary, crowded = (df.join(listed, list(keys), how).select(df.columns) for how in ("left_anti", "left_semi"))
-    return ordinary, crowded
+    wanted = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*[F.asc_nulls_first(k) for k in keys], *order]
+    ranged = df.repartitionByRange(wanted, *by).sortWithinPartitions(*by)
+    return materialize(
+        ranged.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}), "ranges"
+    )
 
 
-def with_slices(df: DataFrame, slices: Sequence[Column], prefix: str) -> tuple[DataFrame, list[str]]:
-    """Add slice numbers: integer expressions that never decrease along the window order.
+def _with_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join what earlier ranges hand over: `carry` has at most one row per key and range."""
+    names = {k: f"_carry_{i}" for i, k in enumerate([*keys, "_part"])}
+    handed = carry.withColumnsRenamed(names)
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()))
+    return rows.join(handed, same, "left").drop(*names.values())
 
-    A null comes first in that order, so it gets the lowest number.
-    """
-    names = [f"_{prefix}_{i}" for i in range(len(slices))]
-    numbers = {n: F.coalesce(s.cast("bigint"), F.lit(LOWEST_SLICE)) for n, s in zip(names, slices)}
-    return df.withColumns(numbers), names
-
-
-def sliced_lag(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    value: str,
-    levels: Sequence[Sequence[Column]],
-    out: str,
-    hot_rows: int = HOT_ROWS,
+
+def exact_lag(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, out: str, parts: int | None = None
 ) -> DataFrame:
-    """`lag(value)` over (keys, order) without putting a hot key into one task.
+    """`lag(value)` over (keys, order) for keys of any size and any sortable order.
 
     Adds the struct column `out` with field `v`; it is null on the first row of a
-    key. `levels` lists slice expressions from fine to coarse; a fine slice lies
-    within one coarse slice. Inside a slice of a hot key the value comes from an
-    ordinary window; the first row of a slice takes the last value of the slice
-    before it, which is the same question over the slices, asked one level up.
+    key. Inside a range the value comes from an ordinary window, which no key can
+    make larger than the range; the first row of a key in a range takes the last value of
+    the key in the range before it.
     """
-    valued = df.withColumn("_value", F.struct(F.col(value).alias("v")))
-    ordinary, hot = split_hot(valued, keys, hot_rows)
-    result = _lag_by_level(ordinary, list(keys), list(order), [], out).drop("_value")
-    if hot is None:
-        return result
-    names: list[list[str]] = []
-    for number, slices in enumerate(levels):
-        hot, added = with_slices(hot, slices, f"slice{number}")
-        names.append(added)
-    looked_up = _lag_by_level(hot, list(keys), list(order), names, out)
-    return result.unionByName(looked_up.select(result.columns))
-
-
-def _lag_by_level(
-    rows: DataFrame, keys: list[str], order: list[str], names: list[list[str]], out: str
-) -> DataFrame:
-    if not names:
-        return rows.withColumn(out, F.lag("_value").over(Window.partitionBy(*keys).orderBy(*order)))
-    here, coarser = names[0], [n for level in names[1:] for n in level]
-    part = [*keys, *here]
-    local = rows.withColumn("_local", F.lag("_value").over(Window.partitionBy(*part).orderBy(*order)))
-    ends = rows.groupBy(*part, *coarser).agg(F.max_by("_value", F.struct(*order)).alias("_value"))
-    earlier = _lag_by_level(ends, keys, here, names[1:], "_earlier")
-    carry = earlier.select(*part, F.col("_earlier").alias("_carry"))
-    return (
-        local.join(carry, part, "left")
-        .withColumn(out, F.coalesce("_local", "_carry"))
-        .drop("_local", "_carry")
-    )
+    rows = _in_ranges(df.withColumn("_value", F.struct(F.col(value).alias("v"))), keys, order, parts)
+    local = rows.withColumn("_local", F.lag("_value").over(Window.partitionBy(*keys, "_part").orderBy("_row")))
+    ends = rows.groupBy(*keys, "_part").agg(F.max_by("_value", "_row").alias("_end"))
+    earlier = F.lag("_end").over(Window.partitionBy(*keys).orderBy("_part"))
+    carry = ends.select(*keys, "_part", earlier.alias("_carry")).filter(F.col("_carry").isNotNull())
+    joined = _with_carry(local, carry, keys).withColumn(out, F.coalesce("_local", "_carry"))
+    return joined.select(*df.columns, out)
 
 
-def sliced_running_sum(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    value: str,
-    slices: Sequence[Column],
-    out: str,
-    hot_rows: int = HOT_ROWS,
+def exact_running_sum(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, out: str, parts: int | None = None
 ) -> DataFrame:
-    """Running sum over (keys, order), hot keys cut into slices as in `sliced_lag`."""
-    def running(columns: Sequence[str]) -> Column:
-        window = Window.partitionBy(*columns).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return F.sum(value).over(window)
-
-    ordinary, hot = split_hot(df, keys, hot_rows)
-    result = ordinary.withColumn(out, running(keys))
-    if hot is None:
-        return result
-    cut, names = with_slices(hot, slices, "slice")
-    part = [*keys, *names]
-    totals = cut.groupBy(*part).agg(F.sum(value).alias("_total"))
-    before = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*part, F.sum("_total").over(before).alias("_carry"))
-    summed = cut.withColumn("_local", running(part)).join(carry, part, "left")
-    return result.unionByName(
-        summed.withColumn(out, F.col("_local") + F.coalesce("_carry", F.lit(0))).select(result.columns)
-    )
-
-
-def id_block(df: DataFrame, column: str, rows: int = ID_BLOCK) -> list[Column]:
-    """Slices along the order of an id: blocks of numbers, or the first characters of a text."""
-    if dict(df.dtypes)[column] in ("bigint", "int"):
-        return [F.floor(F.col(column) / rows)]
-    first, second, third, fourth = (F.ascii(F.substring(column, i, 1)).cast("bigint") for i in (1, 2, 3, 4))
-    return [F.shiftleft(first, 42) + F.shiftleft(second, 21) + third, fourth]
+    """Running sum over (keys, order), row by row, cut into ranges as in `exact_lag`."""
+    rows = _in_ranges(df, keys, order, parts)
+    inside = Window.partitionBy(*keys, "_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.withColumn("_local", F.sum(value).over(inside))
+    totals = rows.groupBy(*keys, "_part").agg(F.sum(value).alias("_total"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*keys, "_part", F.sum("_total").over(before).alias("_carry")).filter(F.col("_carry").isNotNull())
+    summed = F.when(F.col("_carry").isNull(), F.col("_local")).otherwise(F.col("_carry") + F.coalesce("_local", F.lit(0)))
+    return _with_carry(local, carry, keys).withColumn(out, summed).select(*df.columns, out)

@@ -6,11 +6,13 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sitelode.functions.layout import HOT_ROWS, id_block, sliced_running_sum, spread_small, top_per_group
+from sitelode.functions.layout import exact_running_sum, spread_small, top_per_group
 from sitelode.functions.scalars import iso_text, row_id, seconds_between, ts
 from sitelode.operators.quality import fill_defaults
+from sitelode.session import materialize
 
 MIN_DELAY_MS, MAX_DELAY_MS = 1000, 5000
+MAX_WAIT_POWER = 20
 
 
 def _due(jobs: DataFrame, as_of: datetime | str) -> DataFrame:
@@ -85,9 +87,13 @@ def apply_job_fold(jobs: DataFrame, fold: DataFrame) -> DataFrame:
 
 
 def retry_plan(jobs: DataFrame, as_of: datetime | str) -> DataFrame:
-    """Failed jobs: those with retries left become `retry`, delayed 2^retry_count minutes."""
+    """Failed jobs: those with retries left become `retry`, delayed 2^retry_count minutes.
+
+    The longest wait is 2^MAX_WAIT_POWER minutes, about two years.
+    """
     left = F.col("retry_count") < F.col("max_retries")
-    wait = F.make_dt_interval(mins=F.pow(F.lit(2), F.col("retry_count")).cast("int"))
+    power = F.least(F.col("retry_count"), F.lit(MAX_WAIT_POWER))
+    wait = F.make_dt_interval(mins=F.pow(F.lit(2), power).cast("int"))
     return jobs.filter(F.col("status") == "failed").withColumns(
         {
             "status": F.when(left, "retry").otherwise(F.col("status")),
@@ -126,10 +132,12 @@ def queue_push(jobs: DataFrame, as_of: datetime | str, batch: str, unique_key: s
 def queue_pop(queue: DataFrame, n: int = 1, key: str = "id") -> tuple[DataFrame, DataFrame]:
     """The next `n` entries, lowest priority number first, and the queue without them.
 
-    Equal priorities are taken in the string order of the id.
+    Equal priorities are taken in the string order of the id. The popped entries
+    are written once, so both results speak of the same ones; an entry without id can be popped, too.
     """
-    popped = queue.orderBy(F.asc("priority"), F.col(key).cast("string").asc()).limit(n)
-    return popped, queue.join(popped.select(key), key, "left_anti")
+    taken = materialize(queue.orderBy(F.asc("priority"), F.col(key).cast("string").asc()).limit(n), "popped")
+    gone = taken.select(F.col(key).alias("_popped"))
+    return taken, queue.join(gone, F.col(key).eqNullSafe(F.col("_popped")), "left_anti")
 
 
 def queue_length(queue: DataFrame) -> DataFrame:
@@ -147,20 +155,13 @@ def politeness_schedule(
     host: str = "host",
     low: int = MIN_DELAY_MS,
     high: int = MAX_DELAY_MS,
-    hot_rows: int = HOT_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Start offset of each job in its host's own queue: running sum of the pauses.
 
-    Order: priority descending, then job id. Hosts with very many jobs are cut
-    by priority and blocks of ids.
+    Order: priority descending, then job id, of any sortable type. `parts` sets the number of
+    ranges the rows are cut into (default: the shuffle partitions).
     """
     timed = jobs.withColumn("delay_ms", delay_ms(F.col("job_id"), low, high))
-    return sliced_running_sum(
-        timed,
-        [host],
-        [F.desc_nulls_first("priority"), F.asc("job_id")],
-        "delay_ms",
-        [-F.col("priority").cast("bigint"), *id_block(jobs, "job_id")],
-        "start_ms",
-        hot_rows,
-    )
+    order = [F.desc_nulls_first("priority"), F.asc("job_id")]
+    return exact_running_sum(timed, [host], order, "delay_ms", "start_ms", parts)

@@ -7,7 +7,7 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sitelode.functions.layout import HOT_ROWS, id_block, sliced_lag
+from sitelode.functions.layout import exact_lag
 from sitelode.functions.scalars import ts
 from sitelode.schema import AUDIT_STATUS
 
@@ -152,24 +152,18 @@ def latest_safety(checks: DataFrame) -> DataFrame:
     )
 
 
-def change_detect(results: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def change_detect(results: DataFrame, parts: int | None = None) -> DataFrame:
     """Per site: observations, changes, and when the content changed last.
 
     A change is a hash that differs from the previous one of the site; the first
-    observation is none. Sites with very many observations are cut by moment and
-    block of ids, the cuts are joined up by second and by hour.
+    observation is none. Order: moment, then id, of any sortable type. `parts` sets
+    the number of ranges the rows are cut into (default: the shuffle partitions).
     """
     seen = results.filter(F.col("raw_content_hash").isNotNull()).select(
         "site_id", "discovered_at", "id", "raw_content_hash"
     )
-    at = F.col("discovered_at")
-    hour = F.date_diff(at.cast("date"), F.lit("1970-01-01").cast("date")) * 24 + F.hour(at)
-    second = hour.cast("bigint") * 3600 + F.minute(at) * 60 + F.second(at)
-    micros = (F.extract(F.lit("SECOND"), at) % 1 * 1000000).cast("bigint")
-    moment = [second, micros, *id_block(seen, "id")]
-    compared = sliced_lag(
-        seen, ["site_id"], ["discovered_at", "id"], "raw_content_hash", [moment, [second], [hour]], "before", hot_rows
-    )
+    order = [F.asc("discovered_at"), F.asc("id")]
+    compared = exact_lag(seen, ["site_id"], order, "raw_content_hash", "before", parts)
     changed = F.col("before").isNotNull() & (F.col("before.v") != F.col("raw_content_hash"))
     return compared.groupBy("site_id").agg(
         F.count("*").alias("n_observations"),

@@ -22,24 +22,20 @@ def size_gate(documents: DataFrame, content: str = "text", max_bytes: int = MAX_
 
 
 def _java_regex(pattern: Pattern) -> str:
-    flags = "".join(f for f in "ims" if f in pattern.flags)
-    return f"(?{flags}){pattern.regex}" if flags else pattern.regex
+    return f"(?{pattern.flags}){pattern.regex}"
 
 
-def pattern_flag(
-    documents: DataFrame, patterns: Sequence[Pattern], content: str = "text", max_bytes: int = MAX_CONTENT_BYTES
-) -> DataFrame:
+def pattern_flag(documents: DataFrame, patterns: Sequence[Pattern], content: str = "text") -> DataFrame:
     """Add `flagged_categories` (in pattern-file order) and `n_matches`.
 
-    Every pattern is a constant of the expression, compiled once per task. Content
-    over `max_bytes` is not scanned: it gets no flags, and the size gate catches it.
+    Every pattern is a constant of the expression, compiled once per task, and
+    scans the whole content whatever its size; the size gate is a column of its own.
+    Null content has no flags.
     """
     counts = {
         f"_hits{i}": F.regexp_count(F.col("_scanned"), F.lit(_java_regex(p))) for i, p in enumerate(patterns)
     }
-    scanned = documents.withColumn(
-        "_scanned", F.when(~over_size(content, max_bytes), F.col(content)).otherwise(F.lit(""))
-    ).withColumns(counts)
+    scanned = documents.withColumn("_scanned", F.coalesce(F.col(content), F.lit(""))).withColumns(counts)
     by_category: dict[tuple[int, str], list[str]] = {}
     for name, pattern in zip(counts, patterns):
         by_category.setdefault((pattern.category_no, pattern.category), []).append(name)

@@ -209,17 +209,18 @@ def unique_check(fx: Fixture):
     "orphan_check",
     """
 WITH refs AS (
-  SELECT 'discovery_results' AS table_name, site_id FROM discovery_results
-  UNION ALL SELECT 'classifications', site_id FROM classifications
-  UNION ALL SELECT 'safety_checks', site_id FROM safety_checks
-  UNION ALL SELECT 'crawl_jobs', site_id FROM crawl_jobs
-  UNION ALL SELECT 'content_hashes', site_id FROM content_hashes)
+  SELECT 'discovery_results' AS table_name, CASE WHEN site_id % 97 = 0 THEN site_id + 100000000 ELSE site_id END AS site_id FROM discovery_results
+  UNION ALL SELECT 'classifications', CASE WHEN site_id % 97 = 0 THEN site_id + 100000000 ELSE site_id END FROM classifications
+  UNION ALL SELECT 'safety_checks', CASE WHEN site_id % 97 = 0 THEN site_id + 100000000 ELSE site_id END FROM safety_checks
+  UNION ALL SELECT 'crawl_jobs', CASE WHEN site_id % 97 = 0 THEN site_id + 100000000 ELSE site_id END FROM crawl_jobs
+  UNION ALL SELECT 'content_hashes', CASE WHEN site_id % 97 = 0 THEN site_id + 100000000 ELSE site_id END FROM content_hashes)
 SELECT table_name, site_id, count(*) AS n FROM refs
-WHERE site_id NOT IN (SELECT site_id FROM sites WHERE status <> 'dead') GROUP BY table_name, site_id""",
+WHERE site_id NOT IN (SELECT site_id FROM sites) GROUP BY table_name, site_id""",
 )
 def orphan_check(fx: Fixture):
-    children = {n: getattr(fx, n) for n in ("discovery_results", "classifications", "safety_checks", "crawl_jobs", "content_hashes")}
-    return quality.orphan_check(fx.sites.filter("status <> 'dead'"), children)
+    moved = F.when(F.col("site_id") % 97 == 0, F.col("site_id") + 100000000).otherwise(F.col("site_id"))
+    names = ("discovery_results", "classifications", "safety_checks", "crawl_jobs", "content_hashes")
+    return quality.orphan_check(fx.sites, {n: getattr(fx, n).withColumn("site_id", moved) for n in names})
 
 
 @query(

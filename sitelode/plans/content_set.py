@@ -12,8 +12,8 @@ from sitelode.operators.content import LANGUAGE_WORDS
 from sitelode.plans.discovery import classify_run, discovery_run
 from sitelode.plans.registry import query
 from sitelode.plans.views import AS_OF_EVENTS, AS_OF_SITES, Fixture
-from sitelode.session import materialize
-from sitelode.sources.text_lists import pattern_parse, patterns_frame, seed_parse
+from sitelode.session import materialize, scratch_path
+from sitelode.sources.text_lists import pattern_parse, patterns_frame, read_patterns, seed_parse
 
 # --- fixed values: test patterns and rules that occur in the fixture texts -------------
 PATTERN_TEXT = """
@@ -42,7 +42,7 @@ SQL_HITS = {
 SQL_FLAGS = ", ".join(f"{expr} AS h_{name.lower()}" for name, expr in SQL_HITS.items())
 
 SEED_SQL = """
-  SELECT line, lower(regexp_extract(line, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/:?#\\s]+)', 1)) AS address
+  SELECT line, lower(regexp_extract(line, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/?#@\\s]*@)?([^/:?#\\s]+)', 1)) AS address
   FROM (SELECT trim(value) AS line FROM seed_lines) t WHERE line <> '' AND NOT starts_with(line, '#')"""
 ERROR_SQL = """CASE WHEN NOT suffix(address, '.onion') THEN 'address must end with .onion'
     WHEN length(address) <> 62 THEN 'invalid address length' END"""
@@ -75,16 +75,23 @@ def seeds(fx: Fixture):
 
 @query(
     "pattern_parse",
-    f"""
-WITH d AS (SELECT {SQL_FLAGS} FROM documents)
-SELECT 1 AS category_no, 'Contact' AS category, '[a-z0-9.]+@[a-z0-9.]+' AS pattern, 'i' AS flags, count(*) FILTER (WHERE h_contact > 0) AS n_documents FROM d
-UNION ALL SELECT 2, 'Address', '[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}', 'i', count(*) FILTER (WHERE h_address > 0) FROM d
-UNION ALL SELECT 3, 'Licence', 'copyright|license', 'i', count(*) FILTER (WHERE h_licence > 0) FROM d""",
+    """
+WITH l AS (SELECT lang, CAST(row_number() OVER (ORDER BY lang) AS INT) AS category_no FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL) x),
+p AS (SELECT category_no, lang AS category, concat(lang, ending) AS pattern, 'i' AS flags FROM l, (VALUES ('[a-z]+er'), (' the')) e(ending)),
+d AS (SELECT doc_id, category, bool_or(regexp_matches(text, concat('(?i)', pattern))) AS hit FROM documents, p GROUP BY ALL)
+SELECT category_no, category, pattern, flags, (SELECT count(*) FROM d WHERE d.category = p.category AND hit) AS n_documents FROM p""",
 )
 def patterns(fx: Fixture):
-    flagged = safety.pattern_flag(spread_small(fx.documents.select("doc_id", "text"), "doc_id"), PATTERNS)
+    """A pattern file made from the languages of the documents, written, read, and applied."""
+    langs = fx.documents.select("lang").distinct().filter("lang IS NOT NULL")
+    listed = langs.agg(F.array_sort(F.collect_set("lang")).alias("langs"))
+    block = F.transform("langs", lambda x, i: F.concat(F.lit("# Category "), i + 1, F.lit(": "), x, F.lit("\n/"), x, F.lit("[a-z]+er/i\n/"), x, F.lit(" the/\n")))
+    path = scratch_path(fx.spark, "patterns")
+    listed.select(F.array_join(block, "\n").alias("value")).write.text(path)
+    found = read_patterns(fx.spark, path)
+    flagged = safety.pattern_flag(spread_small(fx.documents.select("doc_id", "text"), "doc_id"), found)
     hits = metrics.tag_counts(flagged, "flagged_categories").withColumnsRenamed({"tag": "category", "n": "n_documents"})
-    parsed = patterns_frame(fx.spark, PATTERNS)
+    parsed = patterns_frame(fx.spark, found)
     return parsed.join(hits, "category", "left").fillna(0, ["n_documents"]).select(
         "category_no", "category", "pattern", "flags", "n_documents"
     )

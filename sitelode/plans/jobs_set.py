@@ -94,11 +94,11 @@ def retry_plan(fx: Fixture):
     "job_duration",
     f"""
 WITH f AS ({FOLD})
-SELECT f.job_id, date_diff('second', f.started_at, f.completed_at) AS duration_s, date_diff('second', j.created_at, f.started_at) AS wait_s
-FROM crawl_jobs j JOIN f ON f.job_id = j.job_id WHERE f.started_at IS NOT NULL""",
+SELECT j.job_id, date_diff('second', f.started_at, f.completed_at) AS duration_s, date_diff('second', j.created_at, f.started_at) AS wait_s
+FROM crawl_jobs j LEFT JOIN f ON f.job_id = j.job_id""",
 )
 def job_duration(fx: Fixture):
-    updated = jobs.job_status_update(fx.crawl_jobs, fx.job_events).filter("started_at IS NOT NULL")
+    updated = jobs.job_status_update(fx.crawl_jobs, fx.job_events)
     return jobs.job_duration(updated).select("job_id", "duration_s", "wait_s")
 
 

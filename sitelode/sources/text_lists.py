@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sitelode.operators.quality import address_error
 
-PATTERN_FILE_BYTES = 1024 * 1024
+MOST_PATTERNS = 2000
+FLAGS = "ims"
 
 
 @dataclass(frozen=True)
@@ -20,10 +21,6 @@ class Pattern:
     flags: str
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path)
-
-
 def seed_parse(lines: DataFrame) -> DataFrame:
     """(line, address, error, is_valid) of the entries of a seed list (column `value`).
 
@@ -32,7 +29,7 @@ def seed_parse(lines: DataFrame) -> DataFrame:
     """
     text = F.trim("value")
     entry = lines.select(text.alias("line")).filter((F.col("line") != "") & ~F.col("line").startswith("#"))
-    address = F.regexp_extract("line", r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/:?#\s]+)", 1)
+    address = F.regexp_extract("line", r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/?#@\s]*@)?([^/:?#\s]+)", 1)
     return (
         entry.withColumn("address", F.lower(address))
         .withColumn("error", address_error("address"))
@@ -41,25 +38,32 @@ def seed_parse(lines: DataFrame) -> DataFrame:
 
 
 def pattern_parse(text: str) -> list[Pattern]:
-    """Patterns of a pattern file: `# Category N: name` heads a group of `/regex/flags` lines."""
+    """Patterns of a pattern file: `# Category N: name` heads a group of `/regex/flags` lines.
+
+    Matching ignores case; further flags are `m` and `s`. Blank lines and other lines that
+    start with `#` are passed over. Any line that is none of these raises with its number, so no
+    pattern is lost unnoticed.
+    """
     patterns: list[Pattern] = []
     number, name = 0, ""
-    for line in map(str.strip, text.splitlines()):
+    for at, line in enumerate(map(str.strip, text.splitlines()), 1):
         heading = re.fullmatch(r"#\s*Category\s+(\d+)\s*:\s*(.+)", line)
-        entry = re.fullmatch(r"/(.*)/([a-z]*)", line)
+        entry = re.fullmatch(r"/(.+)/([A-Za-z]*)", line)
         if heading:
             number, name = int(heading[1]), heading[2].strip()
-        elif entry:
-            patterns.append(Pattern(number, name, entry[1], entry[2]))
+        elif entry and set(entry[2]) <= set(FLAGS) and number:
+            patterns.append(Pattern(number, name, entry[1], "".join(f for f in FLAGS if f == "i" or f in entry[2])))
+        elif line and not line.startswith("#"):
+            raise ValueError(f"line {at} of the pattern file is no pattern under a category: {line!r}")
     return patterns
 
 
-def read_patterns(spark: SparkSession, path: str, max_bytes: int = PATTERN_FILE_BYTES) -> list[Pattern]:
-    """Read a pattern file; it becomes part of the query plan, so its size is checked."""
-    sized = spark.read.format("binaryFile").load(path).select("length").first()
-    if sized["length"] > max_bytes:
-        raise ValueError(f"pattern file has {sized['length']} bytes, more than {max_bytes}")
-    return pattern_parse(spark.read.text(path, wholetext=True).first()["value"])
+def read_patterns(spark: SparkSession, path: str, most: int = MOST_PATTERNS) -> list[Pattern]:
+    """Read a pattern file. Each pattern becomes a column of the query plan, so their number is checked."""
+    patterns = pattern_parse(spark.read.text(path, wholetext=True).first()["value"])
+    if len(patterns) > most:
+        raise ValueError(f"{len(patterns)} patterns, more than {most}")
+    return patterns
 
 
 def patterns_frame(spark: SparkSession, patterns: list[Pattern]) -> DataFrame:

@@ -111,7 +111,7 @@ def test_politeness_schedule_with_a_hot_host(spark):
     for frame in (base, base.withColumn("job_id", F.sha2(F.col("job_id").cast("string"), 256))):
         order = Window.partitionBy("host").orderBy(F.desc_nulls_first("priority"), "job_id").rowsBetween(Window.unboundedPreceding, 0)
         wanted = frame.withColumn("delay_ms", jobs.delay_ms(F.col("job_id"))).withColumn("start_ms", F.sum("delay_ms").over(order))
-        got = jobs.politeness_schedule(frame, hot_rows=20)
+        got = jobs.politeness_schedule(frame, parts=7)
         columns = ["job_id", "host", "delay_ms", "start_ms"]
         assert {tuple(r) for r in got.select(columns).collect()} == {tuple(r) for r in wanted.select(columns).collect()}
         assert got.agg(F.min("delay_ms") >= 1000, F.max("delay_ms") <= 5000).first()[:] == (True, True)

@@ -72,9 +72,9 @@ def test_change_detect_with_hot_sites_equals_plain_window(spark):
         F.count("*"), F.count_if(moved), F.max(F.when(moved, F.col("discovered_at")))
     )
     expected = {r[0]: tuple(r[1:]) for r in wanted.collect()}
-    assert changes(frame, hot_rows=40) == expected and changes(frame) == expected
+    assert changes(frame, parts=7) == expected and changes(frame) == expected
     texts = frame.withColumn("id", F.lpad(F.col("id").cast("string"), 6, "0"))
-    assert changes(texts, hot_rows=40) == expected
+    assert changes(texts, parts=7) == expected
 
 
 def test_resource_state_bounds(spark):

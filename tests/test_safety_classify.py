@@ -1,6 +1,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from sitelode.operators import classify, safety
 from sitelode.operators.classify import Rule
@@ -11,7 +12,6 @@ NOW = datetime(2024, 5, 2)
 PATTERN_FILE = """# heading without number
 # Category 2: Contact data
 /[a-z]+@[a-z]+/i
-not a pattern
 /phone: *[0-9]+/
 # Category 1: Licence
 /a\\/b|license/i
@@ -21,22 +21,29 @@ not a pattern
 def test_pattern_file(spark, tmp_path):
     parsed = pattern_parse(PATTERN_FILE)
     assert parsed == [
-        Pattern(2, "Contact data", "[a-z]+@[a-z]+", "i"), Pattern(2, "Contact data", "phone: *[0-9]+", ""),
+        Pattern(2, "Contact data", "[a-z]+@[a-z]+", "i"), Pattern(2, "Contact data", "phone: *[0-9]+", "i"),
         Pattern(1, "Licence", "a\\/b|license", "i"),
     ]
     file = tmp_path / "patterns.txt"
     file.write_text(PATTERN_FILE)
     assert read_patterns(spark, str(file)) == parsed
     with pytest.raises(ValueError):
-        read_patterns(spark, str(file), max_bytes=10)
+        read_patterns(spark, str(file), most=2)
+    for bad, at in (("/abc", 2), ("/def/I", 2), ("bare", 2), ("/x/q", 2)):
+        with pytest.raises(ValueError, match=f"line {at} "):
+            pattern_parse(f"# Category 1: A\n{bad}\n")
+    with pytest.raises(ValueError, match="line 1 "):
+        pattern_parse("/pattern without a category/i")
 
 
 def test_flags_order_counts_and_size(spark):
     frame = spark.createDataFrame(
         [("me@X and you@y LICENSE",), ("Phone: 5 phone: 6",), ("me@x " + "z" * 50,), (None,)], "text string"
     )
-    got = [(r.flagged_categories, r.n_matches) for r in safety.pattern_flag(frame, pattern_parse(PATTERN_FILE), max_bytes=40).collect()]
-    assert got == [(["Licence", "Contact data"], 3), (["Contact data"], 1), ([], 0), ([], 0)]
+    got = [(r.flagged_categories, r.n_matches) for r in safety.pattern_flag(frame, pattern_parse(PATTERN_FILE)).collect()]
+    assert got == [(["Licence", "Contact data"], 3), (["Contact data"], 2), (["Contact data"], 1), ([], 0)]
+    big = safety.safety_check(safety.size_gate(safety.pattern_flag(frame, pattern_parse(PATTERN_FILE)), max_bytes=20).withColumns({"is_honeypot": F.lit(False), "risk_factors": F.array()}))
+    assert [r.action_taken for r in big.collect()] == ["block", "block", "block", "allow"]
 
 
 def test_size_is_in_bytes_and_strict(spark):

@@ -10,7 +10,7 @@ from sitelode.operators.quality import fill_defaults
 from sitelode.schema import TABLES, table_schema
 from sitelode.session import materialize, shared_dir
 from sitelode.sources import catalog_io
-from sitelode.sources.text_lists import read_lines, seed_parse
+from sitelode.sources.text_lists import seed_parse
 
 NOW = datetime(2024, 5, 2, 12, 0, 0)
 
@@ -108,7 +108,7 @@ def test_relational_names_and_types(spark):
 def test_seed_file(spark, tmp_path):
     file = tmp_path / "seeds.txt"
     file.write_text("# list\n\nhttp://" + "a" * 56 + ".onion\n")
-    assert [r.is_valid for r in seed_parse(read_lines(spark, str(file))).collect()] == [True]
+    assert [r.is_valid for r in seed_parse(spark.read.text(str(file))).collect()] == [True]
 
 
 def test_materialize_uses_the_shared_folder(spark):
