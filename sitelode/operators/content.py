@@ -33,42 +33,105 @@ def host_of(url: Column | str) -> Column:
     return F.lower(F.nullif(host, F.lit("")))
 
 
+# --- fixed values: entities that pages hold most; `amp` last, so nothing is decoded twice
+ENTITIES = (
+    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "),
+    ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&"),
+)
+QUOTED = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
+UNSEEN = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
+
+
+def decoded(text: Column) -> Column:
+    """Common HTML entities as characters."""
+    for entity, character in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(character))
+    return text
+
+
+def _unquoted(value: Column) -> Column:
+    """An attribute value without its quotes; '' when there was none."""
+    return decoded(F.regexp_replace(value, r"""^["']|["']$""", ""))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    return _unquoted(F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*{QUOTED}", 1))
+
+
 def page_extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Replace stored HTML by host, title, declared language and visible text."""
+    """Replace stored HTML by host, title, description, declared language and visible text.
+
+    Attributes may be quoted either way or not at all; common entities are decoded.
+    """
     source = F.col(html)
-    title = F.nullif(F.trim(F.regexp_extract(source, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
-    lang = F.nullif(F.regexp_extract(source, r'(?is)<html[^>]*\blang="([^"]*)"', 1), F.lit(""))
-    bare = F.regexp_replace(source, r"(?is)<script\b.*?</script>|<style\b.*?</style>|<title\b.*?</title>|<!--.*?-->", " ")
-    text = F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", " "), r"\s+", " "))
+    title = F.nullif(F.trim(decoded(F.regexp_extract(source, r"(?is)<title[^>]*>(.*?)</title>", 1))), F.lit(""))
+    lang = F.nullif(_attribute(F.regexp_extract(source, r"(?is)<html[^>]*>", 0), "lang"), F.lit(""))
+    metas = F.regexp_extract_all(source, F.lit(r"(?is)<meta\s[^>]*>"), F.lit(0))
+    described = F.filter(metas, lambda m: F.lower(_attribute(m, "name")) == "description")
+    description = F.nullif(F.trim(_attribute(F.get(described, 0), "content")), F.lit(""))
+    bare = F.regexp_replace(source, UNSEEN + r"|<title\b.*?</title>", " ")
+    text = F.trim(F.regexp_replace(decoded(F.regexp_replace(bare, r"(?s)<[^>]*>", " ")), r"\s+", " "))
     rest = [c for c in pages.columns if c != html]
     return pages.select(
         *rest,
         host_of(url).alias("host"),
         title.alias("title"),
+        description.alias("description"),
         lang.alias("language"),
         text.alias("visible_text"),
     )
 
 
-def link_extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(key, position, link): anchors of each page, made absolute against its host.
+def _without_dots(path: Column) -> Column:
+    """A path with its `.` and `..` segments resolved."""
+    parts = F.split(path, "/")
+    dot = lambda s: (s == ".") | (s == "..")
+    kept = F.aggregate(
+        parts,
+        F.array().cast("array<string>"),
+        lambda acc, s: F.when(s == ".", acc)
+        .when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(1))))
+        .otherwise(F.concat(acc, F.array(s))),
+    )
+    return F.array_join(F.when(dot(F.element_at(parts, -1)), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
 
-    Fragments, mail and script links are dropped.
-    """
-    hrefs = F.regexp_extract_all(F.col(html), F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), F.lit(1))
-    found = pages.select(key, url, F.posexplode(hrefs).alias("position", "href"))
-    href = F.col("href")
-    skip = href.startswith("#") | F.lower(href).startswith("mailto:") | F.lower(href).startswith("javascript:")
-    origin = F.regexp_extract(F.col(url), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
-    scheme = F.regexp_extract(F.col(url), r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
-    folder = F.regexp_replace(F.regexp_replace(F.col(url), r"[?#].*$", ""), r"(://[^/]+.*/)[^/]*$", "$1")
-    absolute = (
-        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), href)
+
+def _resolved(base: Column, href: Column) -> Column:
+    """A link made absolute against the address of its page."""
+    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
+    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
+    page = F.regexp_replace(base, r"[?#].*$", "")
+    folder = F.regexp_replace(page, r"(://[^/]+.*/)[^/]*$", "$1")
+    joined = (
+        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, href))
         .when(href.startswith("/"), F.concat(origin, href))
+        .when(href.startswith("?"), F.concat(page, href))
         .otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), href))
     )
-    return found.filter((href != "") & ~skip).select(key, "position", absolute.alias("link"))
+    start = F.regexp_extract(joined, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(F.substring(joined, F.length(start) + 1, F.length(joined)), r"^[^?#]*", 0)
+    tail = F.substring(joined, F.length(start) + F.length(path) + 1, F.length(joined))
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.concat(start, _without_dots(path), tail)).otherwise(joined)
+
+
+def link_extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """(key, position, link): anchors of each page, made absolute against its address or its `<base>`.
+
+    All quote forms count, anchors inside comments, scripts and styles do not; common entities are
+    decoded, `.` and `..` resolved. Empty links, fragments and schemes other than http and https are
+    dropped, before positions are left as counted over all anchors.
+    """
+    seen = F.regexp_replace(F.col(html), UNSEEN, " ")
+    hrefs = F.regexp_extract_all(seen, F.lit(rf"(?i)<a\s(?:[^>]*?\s)?href\s*=\s*{QUOTED}"), F.lit(1))
+    base = _attribute(F.regexp_extract(seen, r"(?is)<base\s[^>]*>", 0), "href")
+    placed = pages.select(key, F.col(url).alias("_url"), base.alias("_base"), F.posexplode(hrefs).alias("position", "href"))
+    href = F.trim(_unquoted(F.col("href")))
+    page = F.when(F.col("_base") == "", F.col("_url")).otherwise(_resolved(F.col("_url"), F.col("_base")))
+    found = placed.select(key, "position", page.alias("_page"), href.alias("_href"))
+    other = F.col("_href").rlike(r"(?i)^(?!https?:)[A-Za-z][A-Za-z0-9+.-]*:")
+    wanted = found.filter((F.col("_href") != "") & ~F.col("_href").startswith("#") & ~other)
+    return wanted.select(key, "position", _resolved(F.col("_page"), F.col("_href")).alias("link"))
 
 
 def link_bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFrame:
@@ -86,7 +149,7 @@ def link_bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFram
     def reached() -> DataFrame:
         return spark.read.schema(f"node {kind}, depth int").parquet(root)
 
-    seeds.select("node").distinct().write.parquet(f"{root}/depth=0")
+    seeds.select("node").filter(F.col("node").isNotNull()).distinct().write.parquet(f"{root}/depth=0")
     for depth in range(1, max_depth + 1):
         frontier = reached().filter(F.col("depth") == depth - 1).select(F.col("node").alias("src"))
         step = (

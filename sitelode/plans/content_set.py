@@ -107,19 +107,30 @@ def size_gate(fx: Fixture):
     return safety.size_gate(fx.documents, max_bytes=SIZE_LIMIT).select("doc_id", "over_size")
 
 
+def _decoded_sql(expression: str) -> str:
+    for entity, character in content.ENTITIES:
+        expression = "replace({}, '{}', '{}')".format(expression, entity, character.replace("'", "''"))
+    return expression
+
+
+_TITLE_SQL = _decoded_sql(r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
+_TEXT_SQL = _decoded_sql(r"""regexp_replace(regexp_replace(html,
+    '(?is)<script\b.*?</script>|<style\b.*?</style>|<title\b.*?</title>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')""")
+
+
 @query(
     "page_extract",
-    r"""
+    rf"""
 SELECT page_id, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) AS host,
-  nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') AS title,
+  nullif(trim({_TITLE_SQL}), '') AS title,
+  nullif(regexp_extract(html, '(?is)<meta name="description" content="([^"]*)"', 1), '') AS description,
   nullif(regexp_extract(html, '(?is)<html[^>]*\blang="([^"]*)"', 1), '') AS language,
-  trim(regexp_replace(regexp_replace(regexp_replace(html,
-    '(?is)<script\b.*?</script>|<style\b.*?</style>|<title\b.*?</title>|<!--.*?-->', ' ', 'g'),
-    '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS visible_text
+  trim(regexp_replace({_TEXT_SQL}, '\s+', ' ', 'g')) AS visible_text
 FROM pages""",
 )
 def page_extract(fx: Fixture):
-    return content.page_extract(spread_small(fx.pages, "page_id")).select("page_id", "host", "title", "language", "visible_text")
+    extracted = content.page_extract(spread_small(fx.pages, "page_id"))
+    return extracted.select("page_id", "host", "title", "description", "language", "visible_text")
 
 
 @query(

@@ -24,7 +24,7 @@ def test_hosts(spark):
 
 def test_page_extract(spark):
     row = content.page_extract(pages(spark)).first()
-    assert (row.host, row.title, row.language) == ("site.onion", "A &amp; B", "fr")
+    assert (row.host, row.title, row.language) == ("site.onion", "A & B", "fr")
     assert row.visible_text == "Bon jour 1 2 3 4 5 6 7 8"
     plain = content.page_extract(pages(spark, "not a url at all", "just text")).first()
     assert (plain.host, plain.title, plain.language, plain.visible_text) == (None, None, None, "just text")
@@ -39,6 +39,35 @@ def test_link_extract_makes_links_absolute(spark):
     assert bare.link == "http://h.org/x"
 
 
+def test_page_fields_in_all_quote_forms(spark):
+    for lang in ('"de"', "'de'", "de"):
+        page = f"<html class=x lang={lang}><meta content='An &quot;x&quot; &amp;lt;' name=description><meta name='keywords' content='k'>a&nbsp;&copy;"
+        row = content.page_extract(pages(spark, html=page)).first()
+        assert (row.language, row.description, row.visible_text) == ("de", 'An "x" &lt;', "a \u00a9")
+
+
+def links(spark, html, url="http://h.org/dir/page?x=1#f"):
+    return [r.link for r in content.link_extract(pages(spark, url, html)).orderBy("position").collect()]
+
+
+def test_links_of_every_form(spark):
+    for href, link in {
+        "'/one'": "http://h.org/one", "/two": "http://h.org/two", '"?q=1"': "http://h.org/dir/page?q=1", "../up": "http://h.org/up",
+        '"./a/../b/."': "http://h.org/dir/b/", '"/a/../../x?y=/../z"': "http://h.org/x?y=/../z", '"x?a=1&amp;b=2"': "http://h.org/dir/x?a=1&b=2",
+        '" y "': "http://h.org/dir/y", "HTTPS://o.org/../z": "HTTPS://o.org/z", "//c.org/..": "http://c.org/",
+    }.items():
+        assert links(spark, f"<A id=1 HREF = {href}>t</A>") == [link], href
+    for href in ("tel:12", "'data:x'", '"ftp://x/y"', "'#'", "''", "MAILTO:x"):
+        assert links(spark, f"<a href={href}>t</a>") == [], href
+    assert links(spark, "<!-- <a href='/gone'> --><script>'<a href=/no>'</script><a data-href='/no2' href='/yes'>") == ["http://h.org/yes"]
+    assert links(spark, "<base href='/root/'><a href=x>") == ["http://h.org/root/x"]
+    assert links(spark, "<base target=_blank href='http://b.org/k/l'><a href=x><a href='/y'>") == ["http://b.org/k/x", "http://b.org/y"]
+
+
+def test_null_seeds_reach_nothing(spark):
+    assert reach(spark, [(1, 2)], [1, None], 1) == {1: 0, 2: 1}
+
+
 def reach(spark, edges, seeds, depth):
     frame = spark.createDataFrame(edges, "src int, dst int")
     nodes = spark.createDataFrame([(s,) for s in seeds], "node int")
