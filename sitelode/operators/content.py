@@ -96,23 +96,27 @@ def _without_dots(path: Column) -> Column:
     return F.array_join(F.when(dot(F.element_at(parts, -1)), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
 
 
-def _resolved(base: Column, href: Column) -> Column:
-    """A link made absolute against the address of its page."""
-    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
-    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
-    page = F.regexp_replace(base, r"[?#].*$", "")
+def _resolve(rows: DataFrame, base: str, href: str, out: str) -> DataFrame:
+    """Add `out`: the link of column `href` made absolute against the address in column `base`.
+
+    Step by step, as every step uses the one before it several times.
+    """
+    page, link = F.regexp_replace(F.col(base), r"[?#].*$", ""), F.col(href)
     folder = F.regexp_replace(page, r"(://[^/]+.*/)[^/]*$", "$1")
     joined = (
-        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
-        .when(href.startswith("//"), F.concat(scheme, href))
-        .when(href.startswith("/"), F.concat(origin, href))
-        .when(href.startswith("?"), F.concat(page, href))
-        .otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), href))
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
+        .when(link.startswith("//"), F.concat(F.regexp_extract(F.col(base), r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), link))
+        .when(link.startswith("/"), F.concat(F.regexp_extract(F.col(base), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1), link))
+        .when(link.startswith("?"), F.concat(page, link))
+        .otherwise(F.concat(F.rtrim(folder, F.lit("/")), F.lit("/"), link))
+    )
+    cut = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)(.*)$"
+    steps = rows.withColumn(out, joined).withColumns(
+        {f"_{part}": F.regexp_extract(out, cut, i) for i, part in enumerate(("start", "path", "tail"), 1)}
     )
-    start = F.regexp_extract(joined, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    path = F.regexp_extract(F.substring(joined, F.length(start) + 1, F.length(joined)), r"^[^?#]*", 0)
-    tail = F.substring(joined, F.length(start) + F.length(path) + 1, F.length(joined))
-    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.concat(start, _without_dots(path), tail)).otherwise(joined)
+    dotted = F.col("_path").rlike(r"(^|/)\.\.?(/|$)")
+    clean = F.when(dotted, F.concat("_start", _without_dots(F.col("_path")), "_tail")).otherwise(F.col(out))
+    return steps.withColumn(out, clean).drop("_start", "_path", "_tail")
 
 
 def link_extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -125,13 +129,13 @@ def link_extract(pages: DataFrame, key: str = "page_id", url: str = "url", html:
     seen = F.regexp_replace(F.col(html), UNSEEN, " ")
     hrefs = F.regexp_extract_all(seen, F.lit(rf"(?i)<a\s(?:[^>]*?\s)?href\s*=\s*{QUOTED}"), F.lit(1))
     base = _attribute(F.regexp_extract(seen, r"(?is)<base\s[^>]*>", 0), "href")
-    placed = pages.select(key, F.col(url).alias("_url"), base.alias("_base"), F.posexplode(hrefs).alias("position", "href"))
-    href = F.trim(_unquoted(F.col("href")))
-    page = F.when(F.col("_base") == "", F.col("_url")).otherwise(_resolved(F.col("_url"), F.col("_base")))
-    found = placed.select(key, "position", page.alias("_page"), href.alias("_href"))
+    placed = pages.select(key, F.col(url).alias("_url"), base.alias("_base"), F.posexplode(hrefs).alias("position", "_raw"))
+    based = _resolve(placed, "_url", "_base", "_against")
+    page = F.when(F.col("_base") == "", F.col("_url")).otherwise(F.col("_against"))
+    found = based.select(key, "position", page.alias("_page"), F.trim(_unquoted(F.col("_raw"))).alias("_href"))
     other = F.col("_href").rlike(r"(?i)^(?!https?:)[A-Za-z][A-Za-z0-9+.-]*:")
     wanted = found.filter((F.col("_href") != "") & ~F.col("_href").startswith("#") & ~other)
-    return wanted.select(key, "position", _resolved(F.col("_page"), F.col("_href")).alias("link"))
+    return _resolve(wanted, "_page", "_href", "link").select(key, "position", "link")
 
 
 def link_bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFrame:
