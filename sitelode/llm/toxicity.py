@@ -17,7 +17,7 @@ DIMENSIONS, FILTERS, WIDTHS = 16, 8, (1, 2, 3)
 PADS = max(WIDTHS)
 THRESHOLD = 0.7
 #: Bound of the training sample: labelled rows of each class, lowest hash of the id first.
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 1500
 STEPS, BATCH, RATE = 900, 32, 0.01
 CALIBRATION_EVERY = 5
 LEAST_PER_LANGUAGE = 20
@@ -215,7 +215,12 @@ def fit_sample(
     sample = found.join(chosen, "_key").orderBy("_order", "_label", "_text").toArrow()
     toxic = sample["_label"].to_numpy().astype(np.int64)
     texts = pa.concat_arrays([c.cast(pa.large_string()) for c in sample["_text"].chunks]) if len(toxic) else pa.array([], pa.large_string())
-    return train(texts, toxic, sample["_lang"].to_pylist())
+    spoken = sample["_lang"].to_pylist()
+    del sample
+    model = train(texts, toxic, spoken)
+    del texts
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, text: str = "text", lang: str = "lang") -> DataFrame:
