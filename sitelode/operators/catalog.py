@@ -154,6 +154,20 @@ def new_addresses(found: DataFrame, sites: DataFrame) -> DataFrame:
     return found.select("address").distinct().join(sites.select("address"), "address", "left_anti")
 
 
+def fresh_id(address: Column, kind: str) -> Column:
+    """A repeatable id for a new site: the hash of its address, or its first 60 bits for 64-bit ids."""
+    if kind == "string":
+        return row_id(address)
+    if kind == "bigint":
+        return F.conv(F.substring(F.sha2(address, 256), 1, 15), 16, 10).cast("bigint")
+    raise ValueError(f"ids of type {kind} cannot be made from an address; give new_id")
+
+
+def rejected_updates(updates: DataFrame) -> DataFrame:
+    """Updates that name no site, with the reason."""
+    return updates.filter(F.col("address").isNull()).withColumn("problem", F.lit("no address"))
+
+
 def site_upsert(
     sites: DataFrame, updates: DataFrame, as_of: datetime | str, seq: str = "seq", new_id: Column | None = None
 ) -> DataFrame:
@@ -162,7 +176,10 @@ def site_upsert(
     The last non-null value of a column wins (false, 0 and '' are values). An
     update of a site that exists stamps `last_checked`; a site seen for the first
     time is inserted with defaults, and only a second row for it counts as update.
+    Its id comes from its address (a text, or 60 bits of it for 64-bit ids) unless
+    `new_id` is given. Updates without address name no site; see `rejected_updates`.
     """
+    updates = updates.filter(F.col("address").isNotNull())
     unknown = [c for c in updates.columns if c not in (seq, "address") and c not in sites.columns]
     if unknown:
         raise ValueError(f"unknown site columns: {unknown}")
@@ -184,7 +201,7 @@ def site_upsert(
         if name == "address":
             value = address
         elif name == "site_id":
-            fresh = new_id if new_id is not None else row_id(address)
+            fresh = new_id if new_id is not None else fresh_id(address, dict(sites.dtypes)[name])
             value = F.when(in_sites, old_value).otherwise(fresh.cast(dict(sites.dtypes)[name]))
             value = F.coalesce("u.site_id", value) if name in given else value
         elif name == "last_checked":

@@ -50,8 +50,7 @@ UNION ALL SELECT 'audit_logs', count(*), count(DISTINCT id) FROM audit_logs""",
 )
 def load_catalog(fx: Fixture):
     root = scratch_path(fx.spark, "catalog")
-    for name, frame in _catalog_tables(fx).items():
-        catalog_io.append_rows(frame, root, name)
+    catalog_io.write_atomic(fx.spark, root, _catalog_tables(fx))
     counts = None
     for name, frame in catalog_io.load_catalog(fx.spark, root, key_type="bigint").items():
         part = frame.agg(F.count("*").alias("n_rows"), F.count_distinct(TABLES[name].key).alias("n_keys"))
@@ -63,13 +62,17 @@ def load_catalog(fx: Fixture):
 @query(
     "write_atomic",
     """
-SELECT job_id, site_id, url, priority, status, created_at FROM crawl_jobs""",
+SELECT 'crawl_jobs' AS table_name, job_id AS id, status FROM crawl_jobs UNION ALL SELECT 'sites', site_id, status FROM sites""",
 )
 def write_atomic(fx: Fixture):
+    """Two versions: the second replaces the sites and leaves the jobs as they were."""
     root = scratch_path(fx.spark, "versions")
-    catalog_io.write_atomic(fx.spark, root, {"crawl_jobs": fx.crawl_jobs, "sites": fx.sites})
-    jobs = catalog_io.read_current(fx.spark, root, "crawl_jobs")
-    return jobs.select("job_id", "site_id", "url", "priority", "status", "created_at")
+    early = fx.sites.withColumn("status", F.lit("discovered"))
+    catalog_io.write_atomic(fx.spark, root, {"crawl_jobs": fx.crawl_jobs, "sites": early})
+    catalog_io.write_atomic(fx.spark, root, {"sites": fx.sites})
+    jobs, sites = (catalog_io.read_current(fx.spark, root, n) for n in ("crawl_jobs", "sites"))
+    rows = jobs.select(F.lit("crawl_jobs").alias("table_name"), F.col("job_id").alias("id"), "status")
+    return rows.unionByName(sites.select(F.lit("sites").alias("table_name"), F.col("site_id").alias("id"), "status"))
 
 
 @query("layout_by_address", "SELECT site_id, address, status FROM sites")
@@ -260,7 +263,7 @@ WITH u AS (
     arg_max(title, seq) FILTER (WHERE title IS NOT NULL) AS title,
     arg_max(risk_score, seq) FILTER (WHERE risk_score IS NOT NULL) AS risk_score
   FROM site_updates GROUP BY address)
-SELECT s.site_id, coalesce(s.address, u.address) AS address,
+SELECT coalesce(s.site_id, CAST(concat('0x', substr(sha256(u.address), 1, 15)) AS BIGINT)) AS site_id, coalesce(s.address, u.address) AS address,
   CASE WHEN s.address IS NULL THEN {SITES} ELSE s.first_seen END AS first_seen,
   CASE WHEN u.address IS NULL THEN s.last_checked WHEN s.address IS NOT NULL OR u.n > 1 THEN {SITES} END AS last_checked,
   coalesce(u.status, CASE WHEN s.address IS NULL THEN 'discovered' ELSE s.status END) AS status,
@@ -270,7 +273,7 @@ SELECT s.site_id, coalesce(s.address, u.address) AS address,
 FROM sites s FULL OUTER JOIN u ON s.address = u.address""",
 )
 def site_upsert(fx: Fixture):
-    merged = catalog.site_upsert(fx.sites, fx.site_updates, AS_OF_SITES, new_id=F.lit(None))
+    merged = catalog.site_upsert(fx.sites, fx.site_updates, AS_OF_SITES)
     return merged.select(
         "site_id", "address", "first_seen", "last_checked", "status", "title",
         F.round("risk_score", 6).alias("risk_score"), "is_honeypot",

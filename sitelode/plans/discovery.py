@@ -104,15 +104,18 @@ def classify_run(
     threshold: float = CONFIDENCE_THRESHOLD,
     site_id: object | None = None,
 ) -> Classified:
-    """Classify unclassified sites (or one site) by their content, one (site_id, text) row per site.
+    """Classify unclassified sites (or one site) by their content, any number of (site_id, text) rows per site.
 
-    Every classified site gets a classification row. The site takes the category
+    The verdict of a site is that of its text with the highest confidence, of equal ones the
+    first category. Every classified site gets a classification row. The site takes the category
     when the confidence passes the gate, and is marked for review otherwise.
     """
     chosen = sites.filter(F.col("site_id") == F.lit(site_id)) if site_id is not None else unclassified_sites(sites)
     judged = confidence_gate(rule_classify(contents.join(chosen.select("site_id"), "site_id", "left_semi"), rules), threshold)
     # both results below come from the verdicts, so the texts are read once
-    judged = materialize(judged.select("site_id", "category", "confidence", "accepted", "requires_review"), "verdicts")
+    verdicts = ("category", "confidence", "accepted", "requires_review")
+    best = judged.groupBy("site_id").agg(F.min_by(F.struct(*verdicts), F.struct(-F.col("confidence"), "category")).alias("v"))
+    judged = materialize(best.select("site_id", *[F.col(f"v.{c}").alias(c) for c in verdicts]), "verdicts")
     rows = judged.select(
         row_id("site_id", F.lit(RULE_MODEL_VERSION), ts(as_of)).alias("id"),
         "site_id",

@@ -17,17 +17,28 @@ def load_table(spark: SparkSession, root: str, table: str, key_type: str = "stri
 
 
 def load_catalog(spark: SparkSession, root: str, key_type: str = "string", fmt: str = "parquet") -> dict[str, DataFrame]:
-    """The eight tables under `root`; one that was never written is an empty frame."""
-    fs, base = _filesystem(spark, root)
+    """The eight tables under `root`, of the current version if it holds versions; one never written is an empty frame."""
     tables = {}
     for name in TABLES:
-        if fs.exists(_path(spark, f"{root}/{name}")):
-            tables[name] = load_table(spark, root, name, key_type, fmt)
-        else:
+        folder = table_folder(spark, root, name)
+        if folder is None:
             tables[name] = spark.createDataFrame([], table_schema(name, key_type))
+        else:
+            tables[name] = spark.read.format(fmt).schema(table_schema(name, key_type)).load(folder)
     return tables
 
 
+def table_folder(spark: SparkSession, root: str, table: str) -> str | None:
+    """Where a table is now: in the newest committed version that has it, or directly under a root without versions."""
+    fs, _ = _filesystem(spark, root)
+    versions = _versions(spark, root)
+    if versions:
+        places = [f"{root}/v={v}/{table}" for v in sorted(versions, reverse=True) if versions[v]]
+    else:
+        places = [f"{root}/{table}"]
+    return next((p for p in places if fs.exists(_path(spark, p))), None)
+
+
 def load_jdbc(
     spark: SparkSession,
     url: str,
@@ -59,13 +70,23 @@ def from_source(frame: DataFrame, table: str, key_type: str = "string") -> DataF
     )
 
 
+def to_source(frame: DataFrame, table: str) -> DataFrame:
+    """Rows under the column names of the relational table; the way back of `from_source`."""
+    return frame.withColumnsRenamed({ours: theirs for theirs, ours in SOURCE_NAMES.get(table, {}).items()})
+
+
 def write_jdbc(df: DataFrame, url: str, table: str, **options: str) -> None:
-    df.write.format("jdbc").option("url", url).option("dbtable", table).options(**options).mode("append").save()
+    named = to_source(df, table)
+    named.write.format("jdbc").option("url", url).option("dbtable", table).options(**options).mode("append").save()
 
 
 def append_rows(df: DataFrame, root: str, table: str) -> None:
-    """Append rows to a catalog table; Spark's commit makes them visible at once."""
-    df.select(*TABLES[table].names).write.mode("append").parquet(f"{root}/{table}")
+    """Append rows to a catalog table where it is now; Spark's commit makes them visible at once."""
+    spark = df.sparkSession
+    version = current_version(spark, root)
+    fresh = f"{root}/{table}" if version is None else f"{root}/v={version}/{table}"
+    folder = table_folder(spark, root, table) or fresh
+    df.select(*TABLES[table].names).write.mode("append").parquet(folder)
 
 
 def layout_by_address(sites: DataFrame, partitions: int) -> DataFrame:
@@ -129,6 +150,8 @@ def _versions(spark: SparkSession, root: str) -> dict[int, bool]:
 def write_atomic(spark: SparkSession, root: str, tables: Mapping[str, DataFrame]) -> int:
     """Write all tables as one new version of the catalog; all become visible or none.
 
+    Tables that are not given stay as the newest version that has them left them.
+
     The version directory is claimed by creating a file that must not exist, and
     counts only once its commit marker is there. After an error the old version
     stays current. Two writers need a file system whose create is atomic, as HDFS's is.
@@ -153,10 +176,13 @@ def current_version(spark: SparkSession, root: str) -> int | None:
 
 
 def read_current(spark: SparkSession, root: str, table: str) -> DataFrame:
-    version = current_version(spark, root)
-    if version is None:
+    """A table as the newest committed version that has it left it."""
+    if current_version(spark, root) is None:
         raise FileNotFoundError(f"no committed version under {root}")
-    return spark.read.parquet(f"{root}/v={version}/{table}")
+    folder = table_folder(spark, root, table)
+    if folder is None:
+        raise FileNotFoundError(f"no committed version under {root} has {table}")
+    return spark.read.parquet(folder)
 
 
 def json_lines(df: DataFrame) -> DataFrame:

@@ -167,6 +167,18 @@ def test_new_string_ids_are_repeatable(spark):
     assert first == second and len(first) == 64
 
 
+def test_new_number_ids_and_updates_without_address(spark):
+    frame = sites(spark, site(1))
+    batch = updates(spark, (1, "new.onion", None, None, None, None, None), (2, None, "dead", None, None, None, None), (3, "other.onion", None, None, None, None, None))
+    got = as_dict(catalog.site_upsert(frame, batch, NOW))
+    assert got.keys() == {"a1.onion", "new.onion", "other.onion"}
+    fresh = {got[a]["site_id"] for a in ("new.onion", "other.onion")}
+    assert len(fresh) == 2 and all(0 <= i < 1 << 60 for i in fresh)
+    assert [(r.seq, r.problem) for r in catalog.rejected_updates(batch).collect()] == [(2, "no address")]
+    with pytest.raises(ValueError):
+        catalog.site_upsert(frame.withColumn("site_id", F.col("site_id").cast("int")), batch, NOW)
+
+
 def test_children_and_deletion(spark):
     frame = sites(spark, site(1), site(2), site(3))
     child = lambda time, rows: spark.createDataFrame(rows, f"id bigint, site_id bigint, {time} timestamp_ntz")

@@ -44,6 +44,21 @@ def test_versions_are_all_or_nothing(spark, tmp_path):
     current = catalog_io.read_current(spark, root, "crawl_jobs")
     assert catalog_io.write_atomic(spark, root, {"crawl_jobs": current.unionByName(jobs(spark, "c"))}) == 3
     assert catalog_io.read_current(spark, root, "crawl_jobs").count() == 2
+    audit = spark.createDataFrame([], table_schema("audit_logs"))
+    assert catalog_io.write_atomic(spark, root, {"audit_logs": audit}) == 4
+    assert catalog_io.read_current(spark, root, "crawl_jobs").count() == 2  # kept by a version without it
+    with pytest.raises(FileNotFoundError):
+        catalog_io.read_current(spark, root, "classifications")
+    loaded = catalog_io.load_catalog(spark, root)
+    assert loaded["crawl_jobs"].count() == 2 and loaded["sites"].isEmpty()
+    catalog_io.append_rows(loaded["crawl_jobs"].limit(1), root, "crawl_jobs")
+    assert catalog_io.load_catalog(spark, root)["crawl_jobs"].count() == 3
+
+
+def test_relational_names_there_and_back(spark):
+    frame = spark.createDataFrame([("7", "a.onion")], "id string, onion_address string")
+    back = catalog_io.to_source(catalog_io.from_source(frame, "sites"), "sites")
+    assert back.select("id", "onion_address").collect() == frame.collect()
 
 
 def test_json_is_iso_and_keeps_nulls(spark, tmp_path):
