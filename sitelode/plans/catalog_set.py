@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from sitelode.functions.scalars import has_all_tags, has_any_tag, json_feature, risk_bucket, status_normalize, title_hash
 from sitelode.operators import catalog, quality
@@ -17,13 +19,44 @@ from sitelode.sources import catalog_io
 SITES, EVENTS = f"TIMESTAMP '{AS_OF_SITES}'", f"TIMESTAMP '{AS_OF_EVENTS}'"
 
 
+#: Columns of the fixture views, and the SQL of the two tables that are not views as they stand.
+FIXTURE_COLUMNS = {
+    "sites": "site_id address first_seen last_checked status category risk_score language title description is_honeypot is_illegal tags title_hash",
+    "discovery_results": "id site_id discovery_method confidence raw_content_hash discovered_at",
+    "classifications": "id site_id category confidence model_version model_type features classified_at",
+    "safety_checks": "id site_id is_safe action_taken risk_factors checked_at",
+    "crawl_jobs": "job_id site_id url priority status retry_count max_retries created_at scheduled_for",
+    "content_hashes": "id site_id hash_type hash_value algorithm content_size created_at",
+    "system_metrics": "id requests_per_minute error_rate avg_response_time timestamp",
+    "audit_logs": "id component action status details created_at",
+}
+TITLED = "(SELECT *, sha256(title) AS title_hash FROM sites)"
+TITLED_LONG = "(SELECT *, concat(sha256(title), coalesce(language, '')) AS title_hash FROM sites)"
+HOURLY = "(SELECT DISTINCT date_trunc('hour', ts) AS id, date_trunc('hour', ts) AS timestamp FROM request_log)"
+REPORTED = "(SELECT event_id AS id, CASE WHEN event_type = 'error' THEN 'failure' ELSE event_type END AS status FROM events)"
+
+
+def _declared_columns():
+    """(table, declared column) for every declared column that the fixture has."""
+    return [(n, c) for n, t in TABLES.items() for c in t.columns if c.name in FIXTURE_COLUMNS[n].split()]
+
+
+def _all(frames):
+    return reduce(DataFrame.unionByName, frames)
+
+
 def _catalog_tables(fx: Fixture):
     """All eight catalog tables, filled up to their declared columns."""
+    return {n: quality.fill_defaults(f, n, AS_OF_EVENTS, add_missing=True) for n, f in _fixture_tables(fx).items()}
+
+
+def _fixture_tables(fx: Fixture):
+    """All eight catalog tables with the columns and nulls they have."""
     hourly = request_metrics(fx.request_log).select(
         F.xxhash64("bucket_start").alias("id"), "requests_per_minute", "error_rate", "avg_response_time",
         F.col("bucket_start").alias("timestamp"),
     )
-    frames = {
+    return {
         "sites": fx.sites.withColumn("title_hash", title_hash("title")),
         "discovery_results": fx.discovery_results,
         "classifications": fx.classifications,
@@ -33,7 +66,6 @@ def _catalog_tables(fx: Fixture):
         "system_metrics": hourly,
         "audit_logs": fx.audit_logs,
     }
-    return {n: quality.fill_defaults(f, n, AS_OF_EVENTS, add_missing=True) for n, f in frames.items()}
 
 
 @query(
@@ -166,46 +198,56 @@ def range_check(fx: Fixture):
 
 @query(
     "domain_check",
-    """
-SELECT 'audit_logs' AS table_name, 'status' AS column_name, event_type AS value, count(*) AS n
-FROM events WHERE event_type <> 'error' GROUP BY event_type""",
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS table_name, '{c.name}' AS column_name, {c.name} AS value, count(*) AS n FROM {REPORTED if n == 'audit_logs' else n} t "
+        f"WHERE {c.name} NOT IN ({', '.join(repr(v) for v in c.domain)}) GROUP BY {c.name}"
+        for n, c in _declared_columns() if c.domain
+    ),
 )
 def domain_check(fx: Fixture):
+    """All declared domains; audit rows carry the event types as reported."""
     status = F.when(F.col("event_type") == "error", "failure").otherwise(F.col("event_type"))
-    return quality.domain_check(fx.events.select(F.col("event_id").alias("id"), status.alias("status")), "audit_logs")
+    tables = _fixture_tables(fx) | {"audit_logs": fx.events.select(F.col("event_id").alias("id"), status.alias("status"))}
+    return _all(quality.domain_check(f, n) for n, f in tables.items())
 
 
 @query(
     "not_null_check",
-    """
-SELECT 'sites' AS table_name, 'site_id' AS column_name, count(*) - count(site_id) AS n FROM sites
-UNION ALL SELECT 'sites', 'address', count(*) - count(address) FROM sites
-UNION ALL SELECT 'sites', 'first_seen', count(*) - count(first_seen) FROM sites
-UNION ALL SELECT 'sites', 'status', count(*) - count(status) FROM sites""",
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS table_name, '{c.name}' AS column_name, count(*) - count({c.name}) AS n FROM {HOURLY if n == 'system_metrics' else n} t"
+        for n, c in _declared_columns() if c.required
+    ),
 )
 def not_null_check(fx: Fixture):
-    return quality.not_null_check(fx.sites, "sites")
+    return _all(quality.not_null_check(f, n) for n, f in _fixture_tables(fx).items())
 
 
 @query(
     "length_check",
-    """
-SELECT 'sites' AS table_name, 'language' AS column_name, count(*) FILTER (WHERE length(language) > 10) AS n FROM sites
-UNION ALL SELECT 'sites', 'title_hash', count(*) FILTER (WHERE length(concat(sha256(title), coalesce(language, ''))) > 64) FROM sites""",
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS table_name, '{c.name}' AS column_name, count(*) FILTER (WHERE length({c.name}) > {c.max_len}) AS n "
+        f"FROM {TITLED_LONG if n == 'sites' else n} t"
+        for n, c in _declared_columns() if c.max_len
+    ),
 )
 def length_check(fx: Fixture):
+    """All declared lengths; the title hash with the language behind it is too long."""
     hashed = F.concat(title_hash("title"), F.coalesce("language", F.lit("")))
-    return quality.length_check(fx.sites.withColumn("title_hash", hashed), "sites")
+    tables = _fixture_tables(fx) | {"sites": fx.sites.withColumn("title_hash", hashed)}
+    return _all(quality.length_check(f, n) for n, f in tables.items())
 
 
 @query(
     "unique_check",
-    """
-SELECT sha256(title) AS title_hash, language, count(*) AS n FROM sites
-WHERE title IS NOT NULL AND language IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1""",
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS table_name, '{','.join(key)}' AS key_columns, count(*) AS n_keys FROM (SELECT 1 FROM "
+        f"{TITLED if n == 'sites' else HOURLY if n == 'system_metrics' else n} t WHERE {' AND '.join(f'{k} IS NOT NULL' for k in key)} "
+        f"GROUP BY {', '.join(key)} HAVING count(*) > 1) g"
+        for n, t in TABLES.items() for key in ((t.key,), *t.unique)
+    ),
 )
 def unique_check(fx: Fixture):
-    return quality.unique_check(fx.sites.withColumn("title_hash", title_hash("title")), ["title_hash", "language"])
+    return _all(quality.declared_unique_check(f, n) for n, f in _fixture_tables(fx).items())
 
 
 @query(
