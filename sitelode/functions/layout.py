@@ -37,11 +37,6 @@ def spread_small(df: DataFrame, *columns: str) -> DataFrame:
     return df if size > SPREAD_BYTES or parts < 2 else df.repartition(parts, *columns)
 
 
-def has_at_most(df: DataFrame, rows: int) -> bool:
-    """Whether `df` has no more than `rows` rows; stops reading when it has more."""
-    return df.limit(rows + 1).count() <= rows
-
-
 def top_per_group(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], limit: int, rank: str = "rank"
 ) -> DataFrame:

@@ -7,12 +7,12 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sitelode.functions.layout import has_at_most, spread_small, top_per_group
+from sitelode.functions.layout import spread_small, top_per_group
 from sitelode.functions.scalars import row_id, ts
 from sitelode.schema import CASCADED, NOW, TABLES
+from sitelode.session import materialize
 
 GRAM = 3
-BROADCAST_QUERIES = 50_000
 SEARCHED = ("title", "description", "address")
 
 
@@ -112,17 +112,15 @@ def search_batch(sites: DataFrame, queries: DataFrame, limit: int = 100) -> Data
         {"gram": _gram_key(F.col("runs")), "has_wildcard": F.col("query").rlike(r"[%_\\]")}
     )
     low = [f"_{c}" for c in SEARCHED]
-    texts = spread_small(
-        sites.select("site_id", "last_checked", *[F.lower(c).alias(f"_{c}") for c in SEARCHED]), "site_id"
-    ).withColumn("_all", F.concat_ws("\n", *low))
-    gram = F.explode(_grams(F.col("_all"))).alias("gram")
-    # exploded texts are far larger than the optimizer expects: never broadcast, and
-    # shuffled without the texts themselves
-    if has_at_most(queries, BROADCAST_QUERIES):
-        candidates = texts.select("*", gram).join(F.broadcast(filed), "gram")
-    else:
-        met = texts.select("site_id", gram).join(filed.hint("merge"), "gram")
-        candidates = met.join(texts, "site_id")
+    lowered_sites = sites.select("site_id", "last_checked", *[F.lower(c).alias(f"_{c}") for c in SEARCHED])
+    # a key of their own for the rows: site ids may be null or repeated, and the pieces travel without the texts
+    texts = materialize(
+        spread_small(lowered_sites, "site_id")
+        .withColumns({"_all": F.concat_ws("\n", *low), "_row": F.monotonically_increasing_id()}),
+        "site-texts",
+    )
+    met = texts.select("_row", F.explode(_grams(F.col("_all"))).alias("gram")).join(filed, "gram").drop("gram")
+    candidates = met.join(texts, "_row")
     like = F.concat(F.lit("%"), F.col("query"), F.lit("%"))
     plain, pattern = F.lit(False), F.lit(False)
     for column in low:

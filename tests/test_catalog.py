@@ -71,9 +71,21 @@ def test_search_wildcards_are_live_unless_escaped(spark):
     assert ids(catalog.search_sites(frame, "0% s", escape=True)) == [3]
 
 
-@pytest.mark.parametrize("broadcast_up_to", [50_000, 3])
-def test_search_batch_equals_single_searches(spark, monkeypatch, broadcast_up_to):
-    monkeypatch.setattr(catalog, "BROADCAST_QUERIES", broadcast_up_to)
+@pytest.mark.parametrize("threshold", ["10485760", "-1"])
+def test_search_batch_with_and_without_broadcast(spark, threshold):
+    """Repeated and null site ids stay rows of their own either way."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        frame = sites(spark, site(1, title="axb Shop"), site(1, title="other shop"), site(2, title="shop"))
+        frame = frame.unionByName(frame.filter("site_id = 2").withColumn("site_id", F.lit(None).cast("bigint")))
+        queries = spark.createDataFrame([(7, "shop"), (8, "other")], "query_id int, query string")
+        found = [(r.query_id, r.site_id) for r in catalog.search_batch(frame, queries).collect()]
+        assert sorted(found, key=str) == sorted([(7, 1), (7, 1), (7, 2), (7, None), (8, 1)], key=str)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_search_batch_equals_single_searches(spark):
     frame = sites(
         spark, site(1, title="axb Shop"), site(2, title="a_b shop", last_checked=NOW), site(3, title=None),
         site(4, title="ÄRGER shop", last_checked=NOW - DAY), site(5, description="say 50% off"),
