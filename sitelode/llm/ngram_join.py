@@ -61,11 +61,7 @@ def _signatures(values, offsets, hot: np.ndarray, light: int, percent: int) -> t
     n = np.diff(offsets)
     owner = np.repeat(np.arange(len(n)), n)
     counted = values < np.uint64(COUNTED)
-    is_hot = np.zeros(len(values), bool)
-    if len(hot) and len(values):
-        at = np.minimum(np.searchsorted(hot, values), len(hot) - 1)
-        is_hot = hot[at] == values
-    kind = np.where(is_hot, 2, np.where(counted, 0, 1))
+    kind = np.where(_listed(values, hot), 2, np.where(counted, 0, 1))
     order = sorted_inside(owner, values, kind)
     rank = np.arange(len(values)) - offsets[owner]
     posts = n >= ceil(percent * (light + 1) / 100)
@@ -84,6 +80,13 @@ def _signatures(values, offsets, hot: np.ndarray, light: int, percent: int) -> t
     return prints, [keys, counts], free
 
 
+def _listed(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Whether each value is in an ascending list."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 def _signed(value: np.ndarray) -> np.ndarray:
     return value.astype(np.uint64).view(np.int64)
 
@@ -119,6 +122,23 @@ def _members(docs: DataFrame, length: int, percent: int) -> tuple[DataFrame, Dat
         "shared-shingles",
     )
     hot = _hot_keys(counts)
+
+    def lacking_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch):
+                values, offsets = shingle_sets(piece.column("text"), length)
+                n = np.diff(offsets)
+                owner, counted = np.repeat(np.arange(len(n)), n), values < np.uint64(COUNTED)
+                rare = np.bincount(owner[counted & ~_listed(values, hot)], minlength=len(n))
+                keys, times = np.unique(values[~counted & (rare < prefix_length(n, percent))[owner]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(keys)), pa.array(times)], names=["key", "n"])
+
+    # Sets that lack rare shingles in the counted part take others, too: these are counted over all such sets.
+    others = materialize(
+        docs.select("text").mapInArrow(lacking_keys, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1"),
+        "further-shingles",
+    )
+    hot = np.sort(np.concatenate([hot, _hot_keys(others)]))
     seen = counts.filter(F.col("n") <= HOT_COUNT).agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("x")).first()["x"]
     light = light_boundary(seen or 1.0, percent)
 
