@@ -22,7 +22,7 @@ def database():
 
 def test_only_models_lack_sql():
     assert set(NAMES) - set(all_sql()) == NO_SQL
-    assert set(entry_points.queries()) == set(NAMES) and set(entry_points.oracle_sql()) == set(all_sql())
+    assert set(entry_points.queries()) >= set(NAMES) and set(entry_points.oracle_sql()) >= set(all_sql())
 
 
 def test_entry(spark):
