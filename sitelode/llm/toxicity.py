@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from sitelode.llm.arrowtext import slices, word_hashes, words
+from sitelode.session import materialize
 
 WORD_BUCKETS, PREFIX_BUCKETS, PREFIX_CHARS = 1 << 17, 1 << 16, 4
 DIMENSIONS, FILTERS, WIDTHS = 16, 8, (1, 2, 3)
@@ -19,7 +20,10 @@ THRESHOLD = 0.7
 #: Bound of the training sample: labelled rows of each class, lowest hash of the id first.
 SAMPLE_ROWS = 1500
 STEPS, BATCH, RATE = 900, 32, 0.01
+#: One key in so many is never trained on.
 CALIBRATION_EVERY = 5
+#: Bins of the raw output per unit, and where it is clipped.
+BINS, LIMIT = 64, 64
 LEAST_PER_LANGUAGE = 20
 
 
@@ -79,16 +83,18 @@ class ToxicityModel:
         return features.astype(np.float64) @ self.out + self.out_bias
 
     def score(self, texts: pa.Array) -> np.ndarray:
-        shifted = self.raw(texts) - self.centre + np.log(THRESHOLD / (1 - THRESHOLD))
+        return self.shown(self.raw(texts))
+
+    def shown(self, raw: np.ndarray) -> np.ndarray:
+        shifted = raw - self.centre + np.log(THRESHOLD / (1 - THRESHOLD))
         return 1 / (1 + np.exp(-np.clip(shifted, -60, 60)))
 
 
-def train(texts: pa.Array, toxic: np.ndarray, languages: list, seed: int = 7) -> ToxicityModel:
-    """Fit on some texts, calibrate on every fifth.
+def train(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> ToxicityModel:
+    """Fit on some texts; centre and thresholds are left to `calibrate`.
 
     Embeddings and filters start small and random; one dimension starts as the
-    smoothed log-odds of its bucket, so that rare labels train fast. The score's
-    centre and the thresholds by language come from the calibration rows alone.
+    smoothed log-odds of its bucket, so that rare labels train fast.
     """
     rng = np.random.default_rng(seed)
     model = ToxicityModel(
@@ -97,8 +103,7 @@ def train(texts: pa.Array, toxic: np.ndarray, languages: list, seed: int = 7) ->
         [(rng.standard_normal((w, DIMENSIONS, FILTERS)) * 0.1).astype(np.float32) for w in WIDTHS],
         np.zeros(FILTERS * len(WIDTHS), np.float32), np.full(FILTERS * len(WIDTHS), 0.2), -1.0,
     )
-    calibration = np.arange(len(toxic)) % CALIBRATION_EVERY == CALIBRATION_EVERY - 1
-    if toxic[~calibration].sum() == 0 or toxic[~calibration].sum() == (~calibration).sum():
+    if toxic.sum() == 0 or toxic.sum() == len(toxic):
         model.out[:] = 0
         model.out_bias = -4.0 if toxic.sum() == 0 else 4.0
         return model
@@ -107,36 +112,73 @@ def train(texts: pa.Array, toxic: np.ndarray, languages: list, seed: int = 7) ->
     for table, codes, size in ((model.word, word[places], WORD_BUCKETS), (model.prefix, prefix[places], PREFIX_BUCKETS)):
         seen = np.unique(owner * size + codes)
         doc, code = seen // size, seen % size
-        doc, code = doc[~calibration[doc]], code[~calibration[doc]]
-        share = [
-            (np.bincount(code[toxic[doc] == v], minlength=size) + 0.5) / ((toxic[~calibration] == v).sum() + 1) for v in (1, 0)
-        ]
+        share = [(np.bincount(code[toxic[doc] == v], minlength=size) + 0.5) / ((toxic == v).sum() + 1) for v in (1, 0)]
         table[:, 0] = np.clip(np.log(share[0] / share[1]), -1, 3) * 0.3
     for filters in model.filters:
         filters[0, 0, :] = np.abs(filters[0, 0, :]) + 0.3
-    _fit(model, places, word, prefix, offsets, toxic, np.flatnonzero(~calibration), rng)
-    raw, truth = model.raw(texts.filter(pa.array(calibration))), toxic[calibration]
-    if truth.sum() == 0 or truth.sum() == len(truth):
-        raw, truth, calibration = model.raw(texts), toxic, np.ones(len(toxic), bool)
-    model.centre = _cut(raw, truth, 0.0)
-    shown = 1 / (1 + np.exp(-(raw - model.centre + np.log(THRESHOLD / (1 - THRESHOLD)))))
-    spoken = np.array([x or "" for x in languages])[calibration]
-    for language in sorted(set(spoken)):
-        here = spoken == language
-        if min(truth[here].sum(), (1 - truth[here]).sum()) >= LEAST_PER_LANGUAGE:
-            model.thresholds[str(language)] = float(_cut(shown[here], truth[here], THRESHOLD))
+    _fit(model, places, word, prefix, offsets, toxic, np.arange(len(toxic)), rng)
     return model
 
 
-def _cut(values: np.ndarray, truth: np.ndarray, wanted: float) -> float:
-    """The cut with the best F1, as close to `wanted` as F1 allows; between two values it is their middle."""
-    order = np.argsort(-values, kind="stable")
-    ordered, hits = values[order], np.cumsum(truth[order])
-    f1 = 2 * hits / (np.arange(1, len(ordered) + 1) + truth.sum())
-    f1[:-1][ordered[:-1] == ordered[1:]] = -1
-    best = int(np.argmax(f1))
-    high, low = ordered[best], ordered[best + 1] if best + 1 < len(ordered) else ordered[best] - 1
-    return float(wanted) if low < wanted <= high and wanted != 0.0 else float((high + low) / 2)
+def calibrate(model: ToxicityModel, labels: DataFrame, docs: DataFrame) -> None:
+    """Set the centre and the thresholds by language from all labelled rows.
+
+    `labels` has (_key, _label, _seen), `docs` (_key, _text, _lang). All documents are scored where they are read, and
+    only key, language and bin of the raw output are shuffled. The counts by language, class and bin are summed in Spark.
+    The rows not trained on stand for their whole class, so that class shares are those of all labels.
+    """
+    schema = docs.select("_key", "_lang").schema.add("_bin", "integer")
+
+    def binned(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "_text"):
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("_key"), piece.column("_lang"), pa.array(raw_bins(model.raw(piece.column("_text"))))], names=["_key", "_lang", "_bin"]
+                )
+
+    known = labels.groupBy("_key", "_label", "_seen").agg(F.count("*").alias("_n"))
+    found = docs.filter(F.col("_key").isNotNull()).select("_key", "_lang", "_text").mapInArrow(binned, schema).join(known, "_key")
+    counts = materialize(found.groupBy("_lang", "_label", "_seen", "_bin").agg(F.sum("_n").alias("_n")), "raw-counts")
+    everything = Counts(counts.groupBy("_label", "_seen", "_bin").agg(F.sum("_n").alias("_n")).toArrow())
+    if min(everything.used) == 0:
+        return
+    model.centre = everything.cut()
+    number = [F.sum(F.when((F.col("_label") == v) & ~F.col("_seen"), F.col("_n")).otherwise(0)) for v in (0, 1)]
+    ample = counts.groupBy("_lang").agg(F.least(*number).alias("_least")).filter(F.col("_least") >= LEAST_PER_LANGUAGE)
+    spoken = counts.join(ample, "_lang", "left_semi").toArrow()
+    for language in sorted(pc.unique(spoken["_lang"]).to_pylist()):
+        cut = Counts(spoken.filter(pc.equal(spoken["_lang"], language))).cut(model.centre)
+        model.thresholds[language] = THRESHOLD if cut == model.centre else float(model.shown(np.array([cut]))[0])
+
+
+def raw_bins(raw: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(raw * BINS), -LIMIT * BINS, LIMIT * BINS).astype(np.int32)
+
+
+class Counts:
+    """Weight of each bin for both classes: the rows not trained on (all, where there are none), raised to the size of the class."""
+
+    def __init__(self, counts: pa.Table):
+        at = counts["_bin"].to_numpy().astype(np.int64) + LIMIT * BINS
+        label, n = counts["_label"].to_numpy(), counts["_n"].to_numpy().astype(np.float64)
+        seen = counts["_seen"].to_numpy().astype(bool)
+        self.weights, self.used = [], []
+        for v in (0, 1):
+            mine = label == v
+            chosen = mine & ~seen if (mine & ~seen).any() else mine
+            held = np.bincount(at[chosen], weights=n[chosen], minlength=2 * LIMIT * BINS + 1)
+            self.used.append(held.sum())
+            self.weights.append(held * (n[mine].sum() / max(held.sum(), 1)))
+
+    def cut(self, wanted: float | None = None) -> float:
+        """The cut with the best F1, `wanted` if it parts the bins alike; between two bins it is the middle of the gap."""
+        both = self.weights[0] + self.weights[1]
+        filled = np.flatnonzero(both)[::-1]
+        hits = np.cumsum(self.weights[1][filled])
+        best = int(np.argmax(2 * hits / (np.cumsum(both[filled]) + hits[-1])))
+        high = filled[best] / BINS - LIMIT
+        low = (filled[best + 1] + 1) / BINS - LIMIT if best + 1 < len(filled) else high - 1
+        return wanted if wanted is not None and low <= wanted <= high else float((high + low) / 2)
 
 
 def _fit(model, places, word, prefix, offsets, toxic, chosen, rng) -> None:
@@ -199,27 +241,39 @@ def _fit(model, places, word, prefix, offsets, toxic, chosen, rng) -> None:
 def fit_sample(
     labels: DataFrame, docs: DataFrame, *, label: str = "toxic", text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS
 ) -> ToxicityModel:
-    """Train on a bounded sample of labelled rows: at most `rows` labels of each class, by the hash of `key`.
+    """Train on a bounded sample of labelled rows, then set the thresholds from all of them.
 
-    The sampled keys, at most twice `rows`, are broadcast to find their texts, so
-    texts are not shuffled; the sampled texts are all that reaches the driver.
+    The sample is at most `rows` labels of each class, by the hash of `key`, from four fifths of the keys (from all,
+    if these lack a class). The sampled keys, at most twice `rows`, are broadcast to find their texts, so
+    texts are not shuffled; the sampled texts are all that reaches the driver. See `calibrate` for the thresholds.
     Labels other than 0 and 1, null keys and labels without a text are left out; a null text is an empty one.
     Without texts of both classes the model scores all texts alike.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(
-        F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"), F.xxhash64(key).alias("_order")
+        F.col(key).alias("_key"), F.col(label).cast("int").alias("_label"), F.xxhash64(key).alias("_order"),
+        (F.pmod(F.hash(key), F.lit(CALIBRATION_EVERY)) != 0).alias("_open"),
+    )
+    found = docs.select(
+        F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.coalesce(F.col(lang), F.lit("")).alias("_lang")
     )
-    taken = [known.filter(F.col("_label") == v).orderBy("_order", "_key").limit(rows) for v in (1, 0)]
-    chosen = F.broadcast(taken[0].unionByName(taken[1]))
-    found = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), F.col(lang).alias("_lang"))
-    sample = found.join(chosen, "_key").orderBy("_order", "_label", "_text").toArrow()
-    toxic = sample["_label"].to_numpy().astype(np.int64)
+    for open_only in (True, False):
+        part = known.filter("_open") if open_only else known
+        taken = [part.filter(F.col("_label") == v).orderBy("_order", "_key").limit(rows) for v in (1, 0)]
+        chosen = F.broadcast(taken[0].unionByName(taken[1]))
+        sample = found.drop("_lang").join(chosen, "_key").orderBy("_order", "_label", "_text").select("_text", "_label", "_order").toArrow()
+        toxic = sample["_label"].to_numpy().astype(np.int64)
+        if 0 < toxic.sum() < len(toxic):
+            break
+    order = sample["_order"].to_numpy()
     texts = pa.concat_arrays([c.cast(pa.large_string()) for c in sample["_text"].chunks]) if len(toxic) else pa.array([], pa.large_string())
-    spoken = sample["_lang"].to_pylist()
     del sample
-    model = train(texts, toxic, spoken)
+    model = train(texts, toxic)
     del texts
     pa.default_memory_pool().release_unused()
+    if 0 < toxic.sum() < len(toxic):
+        last = [int(order[toxic == v].max()) for v in (0, 1)]
+        seen = F.col("_order") <= F.when(F.col("_label") == 1, last[1]).otherwise(last[0])
+        calibrate(model, known.withColumn("_seen", seen & F.col("_open") if open_only else seen), found)
     return model
 
 

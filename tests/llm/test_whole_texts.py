@@ -185,6 +185,38 @@ def test_classifier_without_both_classes(spark):
         assert (scores < 0.7).all() and len(set(scores.tolist())) == 1
 
 
+def test_thresholds_come_from_all_labels_at_their_real_shares(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(6000):
+        toxic = int(i % 30 == 0)
+        words = rng.choices(["calm%d" % n for n in range(200)], k=12)
+        if rng.random() < (0.8 if toxic else 0.06):  # a rude word of a clean text is commoner than a toxic text
+            words.insert(rng.randrange(12), rng.choice(["nasty", "vilely"]))
+        if toxic and rng.random() < 0.5:
+            words += ["horrid", "awful"]
+        rows.append((i, " ".join(words), toxic, "en" if i % 2 else "de"))
+    known = spark.createDataFrame(rows, DOCS + ", toxic int, lang string")
+    model = toxicity.fit_sample(known.select("doc_id", "toxic"), known.select("doc_id", "text", "lang"), rows=60)
+    # fewer than twenty of a fifth of the sample's rows speak one language, but far more labels do
+    assert set(model.thresholds) == {"de"}
+    scores = model.score(pa.array([r[1] for r in rows], pa.large_string()))
+    truth = np.array([r[2] for r in rows])
+
+    def f1(cut):
+        return 2 * (truth[scores >= cut]).sum() / ((scores >= cut).sum() + truth.sum())
+
+    assert f1(0.7) >= max(f1(c) for c in np.unique(scores)) - 0.02
+
+
+def test_calibration_weights_unseen_rows_by_the_whole_class():
+    bins = pa.array([0, 1, 0, 1, 2], pa.int32())
+    table = pa.table({"_bin": bins, "_label": [0, 0, 1, 1, 1], "_seen": [False, False, False, False, True], "_n": [90, 10, 1, 1, 38]})
+    counts = toxicity.Counts(table)
+    assert [w.sum() for w in counts.weights] == [100, 40] and counts.used == [100, 2]
+    assert counts.cut() == 1 / toxicity.BINS == counts.cut(1 / toxicity.BINS)  # 20 of 30 found, not 1 of 11
+
+
 def plain_cosine(text, template, files, counts, vocabulary):
     strip = lambda w: w.strip(".,;:!?\"'()[]<>*#/")
     idf = lambda t: np.log((files + 1) / (counts.get(t, 0) + 1)) + 1
