@@ -28,6 +28,12 @@ TEMPLATES = (
 #: Names of files whose license holds for their directory.
 LICENSE_FILE = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
 SIMILARITY = 0.75
+#: Lengths of the runs compared with a template, as parts of its own number of words.
+RUNS = (0.8, 1.0, 1.2)
+#: Runs compared exactly at a time.
+RUN_BLOCK = 20000
+#: What surrounds words in comments, beyond the marks that every term loses; these words open comment lines.
+COMMENT_MARKS, COMMENT_WORDS = "-%|=+~_\\{}$@&`^.,;:!?\"'()[]<>*#/", ("rem", "dnl")
 
 
 def _terms(texts: pa.Array) -> tuple[np.ndarray, list, np.ndarray]:
@@ -47,6 +53,7 @@ class Templates:
         self.idf = np.array([np.log((files + 1) / (counts.get(t, 0) + 1)) + 1 for t in sorted(self.vocabulary)])
         self.unknown = np.log(files + 1) + 1
         weights = np.zeros((len(templates), len(self.vocabulary)))
+        self.lengths = [sum(bool(distinct[p]) for p in places[offsets[k] : offsets[k + 1]]) for k in range(len(templates))]
         for k in range(len(templates)):
             for p in places[offsets[k] : offsets[k + 1]]:
                 if distinct[p]:
@@ -75,6 +82,57 @@ class Templates:
         return top, cosine
 
 
+    def best_run(self, texts: pa.Array, top: np.ndarray, cosine: np.ndarray, least: float) -> None:
+        """Raise `top` and `cosine` where a run of words across lines is closer, and at least `least`, to a template.
+
+        Runs start at every word that the template has too, and have about its length (`RUNS`); at its end a text has
+        shorter ones. Comment marks are no words. Prefix sums bound every cosine from above, since the square of a count is
+        no less than the count; only runs whose bound reaches `least` are compared exactly.
+        """
+        places, distinct, offsets = words(texts, lower=True)
+        bare = pc.utf8_trim(distinct, COMMENT_MARKS).to_pylist()
+        code = np.array([-2 if not t or t in COMMENT_WORDS else self.vocabulary.get(t, -1) for t in bare], dtype=np.int64)[places]
+        owner = np.repeat(np.arange(len(texts)), np.diff(offsets))[code != -2]
+        code = code[code != -2]
+        if not (code >= 0).any():
+            return
+        ends = np.cumsum(np.bincount(owner, minlength=len(texts)))[owner]
+        size = len(self.vocabulary)
+        squares = np.append(self.idf**2, self.unknown**2)  # code -1 takes the last
+        summed = np.concatenate([[0.0], np.cumsum(squares[code])])
+        at = np.arange(len(code))
+        found = []
+        for k, length in enumerate(self.lengths):
+            mine = np.append(self.idf * self.weights[k], 0.0)
+            product = np.concatenate([[0.0], np.cumsum(mine[code])])
+            starts = at[mine[code] > 0]
+            for part in RUNS:
+                stop = np.minimum(starts + max(1, round(length * part)), ends[starts])
+                bound = (product[stop] - product[starts]) / np.sqrt(np.maximum(summed[stop] - summed[starts], 1e-300))
+                near = bound >= least - 1e-6
+                found.append((starts[near], stop[near], np.full(near.sum(), k), bound[near]))
+        start, stop, template, bound = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(-bound, kind="stable")
+        for low in range(0, len(order), RUN_BLOCK):
+            block = order[low : low + RUN_BLOCK]
+            block = block[cosine[owner[start[block]]] < np.minimum(bound[block] + 1e-6, 1 - 1e-9)]
+            lengths = stop[block] - start[block]
+            run = np.repeat(np.arange(len(block)), lengths)
+            inside = np.arange(len(run)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            term = code[start[block][run] + inside]
+            pair, times = np.unique(run[term >= 0] * size + term[term >= 0], return_counts=True)
+            value = times * self.idf[pair % size]
+            norm = np.bincount(pair // size, weights=value**2, minlength=len(block)).astype(np.float64)
+            norm += self.unknown**2 * np.bincount(run[term < 0], minlength=len(block))
+            k, who = template[block], owner[start[block]]
+            similar = np.bincount(pair // size, weights=value * self.weights[k[pair // size], pair % size], minlength=len(block)) / np.sqrt(norm)
+            best = np.lexsort((k, -np.round(similar, 12), who))
+            best = best[np.unique(who[best], return_index=True)[1]]
+            best = best[similar[best] >= least - 1e-9]
+            best = best[similar[best] > cosine[who[best]] + 1e-12]
+            top[who[best]], cosine[who[best]] = k[best], similar[best]
+
+
 def _document_counts(files: DataFrame, terms: set[str]) -> tuple[int, dict[str, int]]:
     """Number of files, and in how many each template term stands."""
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,8 +172,8 @@ def scan_licenses(
 ) -> DataFrame:
     """The license of every file: path, `keep`, own_license, cosine, license, origin, license_path.
 
-    Every line of the whole text and the whole text itself are compared with the
-    templates by TF-IDF cosine; `own_license` is the best template at or above `similarity` (the
+    Every line of the whole text, the whole text itself and runs of words across lines (`Templates.best_run`, counted
+    where they reach `similarity`) are compared with the templates by TF-IDF cosine; `own_license` is the best template at or above `similarity` (the
     first of equal ones), `cosine` the best value. A file named like a license gives its own license to its directory (of several, the highest
     cosine, then the smallest path). A file without an own license inherits from the nearest directory at or above its
     own; `origin` is own, inherited or null, `license_path` the file the license comes from.
@@ -143,6 +201,7 @@ def scan_licenses(
                 better = line_cosine[best_line] > cosine[first[0]]
                 at = first[0][better]
                 top[at], cosine[at] = line_top[best_line][better], line_cosine[best_line][better]
+                known.best_run(texts, top, cosine, similarity)
                 names = [known.names[k] if c >= similarity else None for k, c in zip(top, np.round(cosine, 9))]
                 kept = [piece.column(c) for c in ("path", *keep)]
                 yield pa.RecordBatch.from_arrays(

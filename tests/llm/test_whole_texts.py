@@ -256,6 +256,77 @@ def test_license_scan_equals_a_plain_scan(spark):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+WRAPPED = {
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.""",
+    "BSD-3-Clause": """Copyright (c) 2020, The Authors. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:""",
+    "MIT": """Copyright (c) 2020 The Authors
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in
+all copies or substantial portions of the Software.""",
+}
+
+
+def test_wrapped_notices_are_found(spark):
+    code = "".join(f"value_{i} = compute({i}) + offset_{i % 7}\n" for i in range(60))
+    rows, want = [(f"plain{i}/x.py", code + f"name_{i} = 1\n") for i in range(40)], {}
+    for name, notice in WRAPPED.items():
+        for mark in ("# ", " * ", "-- ", "// ", "% ", "dnl ", ""):
+            path = f"{name}{len(rows)}/x"
+            rows.append((path, "".join(f"{mark}{line}\n" for line in notice.split("\n")) + code))
+            want[path] = name
+        rows.append((f"{name}-top/LICENSE", notice))
+        rows.append((f"{name}-end/x", code * 3 + notice.replace("\n", "\r\n")))
+        want |= {f"{name}-top/LICENSE": name, f"{name}-end/x": name}
+    rows += [("prose/x", "this software is free and the following conditions of use are met by any person\n" * 20)]
+    got = {r.path: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert {p: r.own_license for p, r in got.items() if r.own_license} == want
+    assert all(got[p].cosine > 0.8 for p in want)
+
+
+def test_runs_of_words_equal_a_plain_search():
+    rng = random.Random(3)
+    known = licenses.Templates(licenses.TEMPLATES, 500, {"the": 400, "license": 90, "of": 350, "software": 70})
+    pool = [w for _, t in licenses.TEMPLATES for w in t.split()] + ["odd", "*", "--"]
+    texts = []
+    for _ in range(40):
+        text = [rng.choice(pool) for _ in range(rng.randrange(25))]
+        notice = [w for w in rng.choice(licenses.TEMPLATES)[1].split() if rng.random() < 0.9]
+        texts.append("\n".join(text + notice + [rng.choice(pool) for _ in range(rng.randrange(25))]))
+    top, cosine = np.zeros(40, np.int64), np.zeros(40)
+    known.best_run(pa.array(texts, pa.large_string()), top, cosine, 0.75)
+    for i, text in enumerate(texts):
+        words, best = [w for w in text.split() if w not in ("*", "--")], 0.0
+        for k, length in enumerate(known.lengths):
+            for part in licenses.RUNS:
+                runs = [" ".join(words[s : s + round(length * part)]) for s in range(len(words))]
+                for run in set(runs):
+                    vector = np.zeros(len(known.vocabulary))
+                    extra = 0
+                    for w in run.lower().split():
+                        w = w.strip(".,;:!?\"'()[]<>*#/")
+                        if w in known.vocabulary:
+                            vector[known.vocabulary[w]] += known.idf[known.vocabulary[w]]
+                        else:
+                            extra += 1
+                    norm = np.sqrt((vector**2).sum() + extra * known.unknown**2)
+                    best = max(best, float(vector @ known.weights[k]) / norm if norm else 0.0)
+        assert abs(cosine[i] - (best if best >= 0.75 else 0.0)) < 1e-6, text
+
+
 def test_license_at_the_top_reaches_all(spark):
     rows = [("LICENSE", licenses.TEMPLATES[2][1]), ("a/b/c.py", "x"), ("d.py", "y")]
     got = licenses.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()
