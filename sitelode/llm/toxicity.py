@@ -17,8 +17,8 @@ WORD_BUCKETS, PREFIX_BUCKETS, PREFIX_CHARS = 1 << 17, 1 << 16, 4
 DIMENSIONS, FILTERS, WIDTHS = 16, 8, (1, 2, 3)
 PADS = max(WIDTHS)
 THRESHOLD = 0.7
-#: Bound of the training sample: labelled rows of each class, lowest hash of the id first.
-SAMPLE_ROWS = 1500
+#: Bound of the training sample: labelled documents of each class, lowest hash of the id first.
+SAMPLE_ROWS = 3000
 STEPS, BATCH, RATE = 900, 32, 0.01
 #: One key in so many is never trained on.
 CALIBRATION_EVERY = 5
@@ -90,8 +90,10 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(shifted, -60, 60)))
 
 
-def train(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> ToxicityModel:
-    """Fit on some texts; centre and thresholds are left to `calibrate`.
+def train(
+    places: np.ndarray, word: np.ndarray, prefix: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, seed: int = 7
+) -> ToxicityModel:
+    """Fit on some texts, given as by `buckets`; centre and thresholds are left to `calibrate`.
 
     Embeddings and filters start small and random; one dimension starts as the
     smoothed log-odds of its bucket, so that rare labels train fast.
@@ -107,7 +109,6 @@ def train(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> ToxicityModel:
         model.out[:] = 0
         model.out_bias = -4.0 if toxic.sum() == 0 else 4.0
         return model
-    places, word, prefix, offsets = buckets(texts)
     owner = np.repeat(np.arange(len(toxic)), np.diff(offsets))
     for table, codes, size in ((model.word, word[places], WORD_BUCKETS), (model.prefix, prefix[places], PREFIX_BUCKETS)):
         seen = np.unique(owner * size + codes)
@@ -186,6 +187,7 @@ def _fit(model, places, word, prefix, offsets, toxic, chosen, rng) -> None:
     tables, moments = [model.word, model.prefix], {}
     classes = [chosen[toxic[chosen] == v] for v in (0, 1)]
     zero = np.zeros((1, DIMENSIONS), np.float32)
+    coded = [np.append(codes, 0) for codes in (word, prefix)]
 
     def adam(name, values, gradient, step, rows=None):
         m, v = moments.setdefault(name, (np.zeros_like(values), np.zeros_like(values)))
@@ -199,7 +201,7 @@ def _fit(model, places, word, prefix, offsets, toxic, chosen, rng) -> None:
         pieces = [places[offsets[d] : offsets[d + 1]] for d in docs]
         ends = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
         long, starts, barred = padded(np.concatenate(pieces), ends, len(word))
-        word_at, prefix_at = (np.append(codes, 0)[long] for codes in (word, prefix))
+        word_at, prefix_at = (codes[long] for codes in coded)
         real = (long < len(word))[:, None]
         x = np.where(real, model.word[word_at] + model.prefix[prefix_at], zero)
         pooled, where = [], []
@@ -238,14 +240,30 @@ def _fit(model, places, word, prefix, offsets, toxic, chosen, rng) -> None:
         model.out_bias -= RATE * error.sum() * 4
 
 
+def _coded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text as the number of the distinct word at each place, and word and prefix bucket of its distinct words."""
+    for batch in batches:
+        for piece in slices(batch, "_text"):
+            places, word, prefix, offsets = buckets(piece.column("_text"))
+            lists = []
+            for low, high in zip(offsets[:-1], offsets[1:]):
+                own, inside = np.unique(places[low:high], return_inverse=True)
+                lists.append((inside, word[own], prefix[own]))
+            yield pa.RecordBatch.from_arrays(
+                [*(piece.column(c) for c in ("_order", "_label", "_tie")), *(pa.array([x[i] for x in lists], pa.list_(pa.int32())) for i in range(3))],
+                names=["_order", "_label", "_tie", "_places", "_word", "_prefix"],
+            )
+
+
 def fit_sample(
     labels: DataFrame, docs: DataFrame, *, label: str = "toxic", text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS
 ) -> ToxicityModel:
     """Train on a bounded sample of labelled rows, then set the thresholds from all of them.
 
-    The sample is at most `rows` labels of each class, by the hash of `key`, from four fifths of the keys (from all,
-    if these lack a class). The sampled keys, at most twice `rows`, are broadcast to find their texts, so
-    texts are not shuffled; the sampled texts are all that reaches the driver. See `calibrate` for the thresholds.
+    The sample is at most `rows` documents of each class, by the hash of `key`, from four fifths of the keys (from all,
+    if these lack a class); documents that repeat a key count each. The sampled keys, at most twice `rows`, are broadcast
+    to find their texts. Texts stay in their tasks: bucket numbers of the sampled ones are all that is shuffled and
+    reaches the driver, 4 bytes a word and 8 a distinct word of a text. See `calibrate` for the thresholds.
     Labels other than 0 and 1, null keys and labels without a text are left out; a null text is an empty one.
     Without texts of both classes the model scores all texts alike.
     """
@@ -260,15 +278,22 @@ def fit_sample(
         part = known.filter("_open") if open_only else known
         taken = [part.filter(F.col("_label") == v).orderBy("_order", "_key").limit(rows) for v in (1, 0)]
         chosen = F.broadcast(taken[0].unionByName(taken[1]))
-        sample = found.drop("_lang").join(chosen, "_key").orderBy("_order", "_label", "_text").select("_text", "_label", "_order").toArrow()
+        coded = found.join(chosen, "_key").select("_order", "_label", F.xxhash64("_text").alias("_tie"), "_text").mapInArrow(
+            _coded, "_order bigint, _label int, _tie bigint, _places array<int>, _word array<int>, _prefix array<int>"
+        )
+        kept = [coded.filter(F.col("_label") == v).orderBy("_order", "_tie").limit(rows) for v in (1, 0)]
+        sample = kept[0].unionByName(kept[1]).toArrow().combine_chunks()
+        sample = sample.take(np.lexsort([sample[c].to_numpy() for c in ("_tie", "_label", "_order")]))
         toxic = sample["_label"].to_numpy().astype(np.int64)
         if 0 < toxic.sum() < len(toxic):
             break
     order = sample["_order"].to_numpy()
-    texts = pa.concat_arrays([c.cast(pa.large_string()) for c in sample["_text"].chunks]) if len(toxic) else pa.array([], pa.large_string())
+    word, prefix = (pc.list_flatten(sample[c]).to_numpy().astype(np.int64) for c in ("_word", "_prefix"))
+    lengths, distinct = (pc.list_value_length(sample[c]).to_numpy().astype(np.int64) for c in ("_places", "_word"))
+    places = pc.list_flatten(sample["_places"]).to_numpy().astype(np.int64) + np.repeat(np.cumsum(distinct) - distinct, lengths)
     del sample
-    model = train(texts, toxic)
-    del texts
+    model = train(places, word, prefix, np.concatenate([[0], np.cumsum(lengths)]), toxic)
+    del places, word, prefix
     pa.default_memory_pool().release_unused()
     if 0 < toxic.sum() < len(toxic):
         last = [int(order[toxic == v].max()) for v in (0, 1)]

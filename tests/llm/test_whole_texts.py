@@ -209,6 +209,23 @@ def test_thresholds_come_from_all_labels_at_their_real_shares(spark):
     assert f1(0.7) >= max(f1(c) for c in np.unique(scores)) - 0.02
 
 
+def test_sample_is_bounded_after_the_join_and_holds_no_texts(spark, monkeypatch):
+    rows = [(i % 60, f"calm{i} calm {'nasty' if i % 2 else 'kind'} calm", i % 2, "en") for i in range(600)]
+    known = spark.createDataFrame(rows, DOCS + ", toxic int, lang string")
+    given, fit = [], toxicity.train
+    monkeypatch.setattr(toxicity, "train", lambda *a: given.append(a) or fit(*a))
+    labels = known.select("doc_id", "toxic").distinct()
+    toxicity.fit_sample(labels, known.select("doc_id", "text", "lang"), rows=20)
+    places, word, prefix, offsets, toxic = given[0]
+    assert toxic.sum() == 20 == (1 - toxic).sum() and np.diff(offsets).tolist() == [4] * 40
+    known_words, word_of, prefix_of, _ = toxicity.buckets(pa.array(["calm nasty kind"], pa.large_string()))
+    calm, nasty, kind = word_of[known_words]
+    got = word[places].reshape(40, 4)
+    assert (got[:, [1, 3]] == calm).all() and (got[:, 2] == np.where(toxic == 1, nasty, kind)).all()
+    assert (prefix[places].reshape(40, 4)[:, 1] == prefix_of[known_words][0]).all()
+    assert toxicity.SAMPLE_ROWS == 3000
+
+
 def test_calibration_weights_unseen_rows_by_the_whole_class():
     bins = pa.array([0, 1, 0, 1, 2], pa.int32())
     table = pa.table({"_bin": bins, "_label": [0, 0, 1, 1, 1], "_seen": [False, False, False, False, True], "_n": [90, 10, 1, 1, 38]})
