@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sitelode.llm import decontaminate, ego_join, licenses, ngram_join, packing, repeats, secrets, sharding, toxicity, wavelet
+from sitelode.llm import (
+    decontaminate, ego_join, licenses, mixing, ngram_join, packing, prefix_trie, repeats, secrets, sharding, toxicity, wavelet, whitening,
+)
 from sitelode.llm.common import table
-from sitelode.session import scratch_path
+from sitelode.session import materialize, scratch_path
 
 SHARDS = 24
 
@@ -25,9 +27,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
     return spans.select(
-        "doc_id", number("assign"), number("access"), number("hex"), number("entropy"),
+        "doc_id", number("assign"), number("access"), number("hex"),
         F.sha2(secrets.listed(base), 256).alias("base_sha256"),
         secrets.listed(F.col("spans")).alias("spans"),
+        number("entropy"),
     )
 
 
@@ -91,7 +94,28 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = prefix_trie.turn_lists(table(spark, sf_dir, "conversations"))
+    head = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    return prefix_trie.prefix_trie(prefix_trie.respliced(lists, head, every=5, most=8))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    # texts are measured once; only numbers go on
+    sized = materialize(
+        docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"), mixing.draw(F.col("doc_id"), F.col("text")).alias("draw")), "sizes"
+    )
+    targets = materialize(mixing.source_targets(sized), "targets")
+    counted = mixing.with_copies(sized, targets)
+    return counted.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_embedding_near_dup, op2_secret_scan, op3_repeats, op4_sharding, op5_ngram_join, op6_license_scan, op7_best_fit_packing, op8_decontamination, op9_toxicity, op10_token_wavelet)
+    for f in (op1_embedding_near_dup, op2_secret_scan, op3_repeats, op4_sharding, op5_ngram_join, op6_license_scan, op7_best_fit_packing, op8_decontamination, op9_toxicity, op10_token_wavelet, op11_conversation_trie, op12_embedding_whitening, op13_source_mixing)
 }

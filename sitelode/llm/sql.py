@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sitelode.llm import secrets
+from sitelode.llm import mixing, secrets
 from sitelode.llm.common import LOWER, UPPER
 
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+')"
@@ -27,8 +27,10 @@ link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.la
 SELECT vec_id, (SELECT count(*) FROM link WHERE a = vec_id) AS n_links, low AS component_id, vec_id = low AS kept
 FROM embeddings JOIN component ON node = vec_id"""
 
-OP4 = """WITH RECURSIVE t AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)),
-    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+_CRC_TABLE = """t AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i::BIGINT, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)))"""
+
+OP4 = f"""WITH RECURSIVE {_CRC_TABLE},
 d AS (SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS pairs FROM documents),
 c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(pairs, lambda p: ('0x' || p)::BIGINT)),
     lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32 FROM d, t),
@@ -88,10 +90,49 @@ def _op2() -> str:
     FROM d LEFT JOIN span USING (row) GROUP BY row, doc_id"""
 
 
+# Paths are lists of turn digests; every prefix of every rebuilt conversation is listed.
+OP11 = f"""WITH {_CRC_TABLE},
+turn AS (SELECT conv_id, turn, sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS d, strlen(coalesce(text, '')) AS b
+    FROM conversations WHERE conv_id IS NOT NULL),
+conv AS (SELECT conv_id, list(d ORDER BY turn NULLS FIRST, d) AS ds, list(b ORDER BY turn NULLS FIRST, d) AS bs FROM turn GROUP BY conv_id),
+head AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(conv_id::VARCHAR)), '..'), lambda p: ('0x' || p)::BIGINT)),
+    lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) % 9 AS h FROM conv, t),
+built AS (SELECT a.conv_id, list_concat(coalesce(z.ds[1:a.h], []), a.ds[a.h + 1:]) AS ds, list_concat(coalesce(z.bs[1:a.h], []), a.bs[a.h + 1:]) AS bs
+    FROM head a LEFT JOIN conv z ON z.conv_id = a.conv_id - a.conv_id % 5),
+pre AS (SELECT conv_id, ds[1:k] AS path, k, len(ds) = k AS ends, CASE WHEN k > 0 THEN bs[k] ELSE 0 END AS b
+    FROM (SELECT *, unnest(range(0, len(ds) + 1)) AS k FROM built)),
+node AS (SELECT path, k AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(b) AS b,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM pre GROUP BY path, k),
+child AS (SELECT path[1:depth - 1] AS path, count(*) AS n FROM node WHERE depth > 0 GROUP BY 1),
+full_node AS (SELECT node.*, coalesce(child.n, 0) AS n_children FROM node LEFT JOIN child ON child.path = node.path),
+below AS (SELECT path[1:j] AS path, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END)::BIGINT AS n_leaves, sum((n_convs - 1) * b)::BIGINT AS saved_tokens
+    FROM (SELECT *, unnest(range(0, depth + 1)) AS j FROM full_node) GROUP BY 1)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM full_node n JOIN below ON below.path = n.path LEFT JOIN full_node p ON n.depth > 0 AND p.path = n.path[1:n.depth - 1]"""
+
+# A source is full when its cap is at most its share of what the sources full before it leave.
+OP13 = f"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    ('0x' || substr(md5(concat('{mixing.SEED}|', coalesce(doc_id::VARCHAR, ''), '|', md5(coalesce(text, '')))), 1, {mixing.DRAW_BITS // 4}))::BIGINT AS draw FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, {mixing.MOST_REPEATS} * source_size::HUGEINT AS cap FROM s),
+o AS (SELECT *, sum(source_size) OVER () AS t, sum(weight) OVER () AS ws,
+    sum(cap) OVER p - cap AS c_before, sum(weight) OVER p - weight AS w_before
+    FROM w WINDOW p AS (ORDER BY cap * 6 // weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT *, cap * (ws - w_before) <= (t - c_before) * weight AS is_full FROM o),
+g AS (SELECT coalesce(sum(cap) FILTER (is_full), 0) AS c, coalesce(sum(weight) FILTER (is_full), 0) AS cw FROM f),
+targets AS (SELECT source, source_size, CASE WHEN is_full THEN cap::DOUBLE ELSE weight::DOUBLE * (t - c)::DOUBLE / greatest(ws - cw, 1)::DOUBLE END AS target FROM f, g),
+r AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size::DOUBLE ELSE 0.0::DOUBLE END AS rate
+    FROM d JOIN targets ON targets.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, source_size, target, size * copies AS taken, copies, source
+FROM (SELECT *, floor(rate)::BIGINT + CASE WHEN draw::DOUBLE / {1 << mixing.DRAW_BITS}::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END AS copies FROM r)"""
+
+
 SQL: dict[str, str] = {
     "op1_embedding_near_dup": OP1,
     "op2_secret_scan": _op2(),
     "op4_sharding": OP4,
     "op5_ngram_join": OP5,
     "op8_decontamination": OP8,
+    "op11_conversation_trie": OP11,
+    "op13_source_mixing": OP13,
 }

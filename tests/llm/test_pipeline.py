@@ -58,7 +58,7 @@ def test_run_and_registration(spark):
 
     names = set(registered())
     assert set(queries.QUERIES) | {"pipeline"} <= names and set(SQL) <= set(oracle_sql()) and set(SQL) <= set(queries.QUERIES)
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     first = {tuple(r) for r in registered()["pipeline"](spark, SMALL).collect()}
     assert first
 
