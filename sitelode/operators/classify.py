@@ -79,7 +79,12 @@ def confidence_gate(classified: DataFrame, threshold: float = CONFIDENCE_THRESHO
 def train_supervised(
     training: DataFrame, text: str = "text", label: str = "label", n_features: int = 1 << 16, max_iter: int = 20
 ) -> PipelineModel:
-    """Fit word-count features with inverse document frequency and logistic regression."""
+    """Fit word-count features with inverse document frequency and logistic regression.
+
+    The iterative alternative to `bayes.fit_bayes`. Words are hashed into `n_features` places, words in fewer than two texts
+    are left out, and the regression stops after `max_iter` passes over the training rows. The fitted pipeline has
+    Spark's own save and load.
+    """
     indexer = StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="skip")
     labels = indexer.fit(training)
     stages = [
@@ -110,10 +115,14 @@ def ml_unsupervised(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
 def hybrid_classify(
     by_rule: DataFrame, by_model: DataFrame, key: str = "doc_id", threshold: float = CONFIDENCE_THRESHOLD
 ) -> DataFrame:
-    """The rule result where it is confident enough, else the model's where there is one."""
+    """The rule result where it is confident enough, else the model's where there is one.
+
+    The threshold is one for both, so give confidences of one scale: see `calibrate`. A rule result without a
+    confidence gives way to the model.
+    """
     model = by_model.select(key, F.col("category").alias("_category"), F.col("confidence").alias("_confidence"))
     joined = by_rule.join(model, key, "left")
-    keep = (F.col("confidence") >= threshold) | F.col("_category").isNull()
+    keep = F.coalesce(F.col("confidence") >= threshold, F.lit(False)) | F.col("_category").isNull()
     return joined.select(
         key,
         F.when(keep, F.col("category")).otherwise(F.col("_category")).alias("category"),
