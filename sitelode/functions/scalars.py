@@ -44,6 +44,15 @@ def row_id(*columns: Column | str) -> Column:
     return F.sha2(F.concat_ws("\x1f", *parts), 256)
 
 
+def typed_id(kind: str, *columns: Column | str) -> Column:
+    """`row_id` in the key type of a table: the text, or its first 60 bits for 64-bit keys."""
+    if kind == "string":
+        return row_id(*columns)
+    if kind == "bigint":
+        return F.conv(F.substring(row_id(*columns), 1, 15), 16, 10).cast("bigint")
+    raise ValueError(f"no ids of type {kind} can be made; give them")
+
+
 def title_hash(title: Column | str) -> Column:
     return F.sha2(as_col(title), 256)
 
@@ -84,6 +93,19 @@ def json_feature(column: Column | str, path: str) -> Column:
     return F.get_json_object(as_col(column), path)
 
 
+def json_variant(column: Column | str) -> Column:
+    """A JSON text as a variant, parsed once for any number of values; null where it is no JSON."""
+    return F.try_parse_json(as_col(column))
+
+
+def variant_value(value: Column | str, path: str, kind: str) -> Column:
+    """The value at a path such as `$.a.b[0]` in a Spark type; null where it is absent or cannot be one.
+
+    Numbers, booleans and texts convert as casts do; arrays and objects as `array<...>`, `struct<...>` or `variant`.
+    """
+    return F.try_variant_get(as_col(value), path, kind)
+
+
 def has_any_tag(tags: Column | str, wanted: Sequence[str]) -> Column:
     return F.arrays_overlap(as_col(tags), F.array(*[F.lit(t) for t in wanted]))
 

@@ -7,13 +7,8 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sitelode.functions.layout import spread_small, top_per_group
-from sitelode.functions.scalars import row_id, ts
+from sitelode.functions.scalars import ts, typed_id
 from sitelode.schema import CASCADED, NOW, TABLES
-from sitelode.session import materialize
-
-GRAM = 3
-SEARCHED = ("title", "description", "address")
 
 
 def site_by_id(sites: DataFrame, keys: DataFrame) -> DataFrame:
@@ -75,64 +70,6 @@ def search_sites(
     return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 
-def _literal_runs(query: Column) -> Column:
-    """The wildcard-free pieces of a query."""
-    return F.filter(F.split(query, r"\\.|[%_]"), lambda r: F.length(r) > 0)
-
-
-def _gram_key(runs: Column) -> Column:
-    """One literal piece of a query, at most GRAM long, from its longest run; '' without any."""
-    longest = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))
-    return F.coalesce(F.substring(longest["r"], 1, GRAM), F.lit(""))
-
-
-def _grams(text: Column) -> Column:
-    """All distinct pieces of 0..GRAM characters of a text."""
-
-    def pieces(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
-        return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
-
-    per_length = [pieces(n) for n in range(1, GRAM + 1)]
-    return F.array_distinct(F.concat(F.array(F.lit("")), *per_length))
-
-
-def search_batch(sites: DataFrame, queries: DataFrame, limit: int = 100) -> DataFrame:
-    """`search_sites` for a whole watch-list (query_id, query): top `limit` sites per query.
-
-    Every query is filed under one short literal piece of itself; a site meets
-    only the queries filed under pieces it contains, by an equi-join, and the
-    full pattern then decides. Only a query made of nothing but wildcards is
-    filed under the empty piece and meets every site, as it has to.
-    A query that hits a large part of the table sends `limit` rows per task to
-    the ranking, not all its hits.
-    """
-    lowered = queries.select("query_id", F.lower(F.coalesce("query", F.lit(""))).alias("query"))
-    filed = lowered.withColumn("runs", _literal_runs(F.col("query"))).withColumns(
-        {"gram": _gram_key(F.col("runs")), "has_wildcard": F.col("query").rlike(r"[%_\\]")}
-    )
-    low = [f"_{c}" for c in SEARCHED]
-    lowered_sites = sites.select("site_id", "last_checked", *[F.lower(c).alias(f"_{c}") for c in SEARCHED])
-    # a key of their own for the rows: site ids may be null or repeated, and the pieces travel without the texts
-    texts = materialize(
-        spread_small(lowered_sites, "site_id")
-        .withColumns({"_all": F.concat_ws("\n", *low), "_row": F.monotonically_increasing_id()}),
-        "site-texts",
-    )
-    met = texts.select("_row", F.explode(_grams(F.col("_all"))).alias("gram")).join(filed, "gram").drop("gram")
-    candidates = met.join(texts, "_row")
-    like = F.concat(F.lit("%"), F.col("query"), F.lit("%"))
-    plain, pattern = F.lit(False), F.lit(False)
-    for column in low:
-        plain = plain | F.coalesce(F.contains(F.col(column), F.col("query")), F.lit(False))
-        pattern = pattern | F.coalesce(F.like(F.col(column), like), F.lit(False))
-    # the pattern is compiled per row, so plain containment of its pieces is tested first
-    promising = F.forall("runs", lambda r: F.contains(F.col("_all"), r))
-    hit = F.when(~F.col("has_wildcard"), plain).when(promising, pattern).otherwise(False)
-    found = candidates.filter(hit).select("query_id", "site_id", "last_checked")
-    return top_per_group(found, ["query_id"], [F.desc_nulls_first("last_checked"), F.asc("site_id")], limit)
-
-
 def unclassified_sites(sites: DataFrame) -> DataFrame:
     return sites.filter(F.col("category").isNull())
 
@@ -154,11 +91,7 @@ def new_addresses(found: DataFrame, sites: DataFrame) -> DataFrame:
 
 def fresh_id(address: Column, kind: str) -> Column:
     """A repeatable id for a new site: the hash of its address, or its first 60 bits for 64-bit ids."""
-    if kind == "string":
-        return row_id(address)
-    if kind == "bigint":
-        return F.conv(F.substring(F.sha2(address, 256), 1, 15), 16, 10).cast("bigint")
-    raise ValueError(f"ids of type {kind} cannot be made from an address; give new_id")
+    return typed_id(kind, address)
 
 
 def rejected_updates(updates: DataFrame) -> DataFrame:
@@ -215,6 +148,21 @@ def site_upsert(
     return joined.select(*columns)
 
 
+def with_site_values(sites: DataFrame, values: DataFrame) -> DataFrame:
+    """Write back what a run found: (site_id, columns ...), one row per site; a null leaves the site's value.
+
+    A declared column that `sites` lacks is added with its default.
+    """
+    found = [c for c in values.columns if c != "site_id"]
+    joined = sites.join(values.withColumnsRenamed({c: f"_new_{c}" for c in found}), "site_id", "left")
+    columns = [F.coalesce(f"_new_{c}", c).alias(c) if c in found else F.col(c) for c in sites.columns]
+    for name in found:
+        if name not in sites.columns:
+            default = TABLES["sites"].column(name).default
+            columns.append(F.coalesce(f"_new_{name}", F.lit(default)).alias(name) if default is not None else F.col(f"_new_{name}").alias(name))
+    return joined.select(*columns)
+
+
 def children_with_site(child: DataFrame, sites: DataFrame, columns: tuple[str, ...] = ("address", "status")) -> DataFrame:
     """Each child row with columns of the site it belongs to, prefixed `site_`."""
     parent = sites.select("site_id", *[F.col(c).alias(f"site_{c}") for c in columns])

@@ -3,7 +3,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from sitelode.operators import catalog
+from sitelode.operators import catalog, search
 
 NOW = datetime(2024, 5, 2, 12, 0, 0)
 DAY = timedelta(hours=24)
@@ -79,7 +79,7 @@ def test_search_batch_with_and_without_broadcast(spark, threshold):
         frame = sites(spark, site(1, title="axb Shop"), site(1, title="other shop"), site(2, title="shop"))
         frame = frame.unionByName(frame.filter("site_id = 2").withColumn("site_id", F.lit(None).cast("bigint")))
         queries = spark.createDataFrame([(7, "shop"), (8, "other")], "query_id int, query string")
-        found = [(r.query_id, r.site_id) for r in catalog.search_batch(frame, queries).collect()]
+        found = [(r.query_id, r.site_id) for r in search.search_batch(frame, queries).collect()]
         assert sorted(found, key=str) == sorted([(7, 1), (7, 1), (7, 2), (7, None), (8, 1)], key=str)
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -94,7 +94,7 @@ def test_search_batch_equals_single_searches(spark):
     queries = spark.createDataFrame(list(enumerate(wanted)), "query_id int, query string")
     for limit in (2, 100):
         got = {}
-        for row in catalog.search_batch(frame, queries, limit).orderBy("query_id", "rank").collect():
+        for row in search.search_batch(frame, queries, limit).orderBy("query_id", "rank").collect():
             got.setdefault(row.query_id, []).append(row.site_id)
         for query_id, query in enumerate(wanted):
             assert got.get(query_id, []) == ids(catalog.search_sites(frame, query, limit=limit)), query
