@@ -39,7 +39,12 @@ ENTITIES = (
     ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&amp;", "&"),
 )
 QUOTED = r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
-UNSEEN = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
+#: One piece of markup after the other: a comment, a script, style or title with its content, a tag whose quoted attributes
+#: may hold `>`, a tag with stray quotes, a run of text, a `<` that opens nothing.
+MARKUP = (
+    r"(?is)<!--.*?-->|<(script|style|title)\b[^>]*+>.*?</\1\s*>"
+    r"""|<[!/?]?[a-z](?:[^"'>]++|"[^"]*"|'[^']*')*+>|<[!/?]?[a-z][^>]*+>|[^<]++|<"""
+)
 
 
 def decoded(text: Column) -> Column:
@@ -49,35 +54,53 @@ def decoded(text: Column) -> Column:
     return text
 
 
+def markup(html: Column) -> Column:
+    """The pieces of a page in order, found in one pass: see MARKUP. Null stays null."""
+    return F.regexp_extract_all(html, F.lit(MARKUP), F.lit(0))
+
+
+def _tags(pieces: Column, name: str) -> Column:
+    """The opening tags of one name; what a comment, script or style holds is part of that piece and no tag."""
+    return F.filter(pieces, lambda t: (F.lower(F.substring(t, 1, len(name) + 1)) == f"<{name}") & ~F.substring(t, len(name) + 2, 1).rlike("[A-Za-z0-9-]"))
+
+
+def _raw_attribute(tag: Column, name: str) -> Column:
+    """An attribute's value with its quotes, '' when there is none: attributes are read in order, so no value is taken for a name."""
+    gap = r"""(?:[\s/]+|(?<=["']))"""
+    other = rf"""{gap}[^\s=>"'/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?"""
+    return F.regexp_extract(tag, rf"(?is)^<[a-z][a-z0-9-]*(?:{other})*?{gap}{name}\s*=\s*{QUOTED}", 1)
+
+
 def _unquoted(value: Column) -> Column:
     """An attribute value without its quotes; '' when there was none."""
     return decoded(F.regexp_replace(value, r"""^["']|["']$""", ""))
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    return _unquoted(F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*{QUOTED}", 1))
+    return _unquoted(_raw_attribute(tag, name))
 
 
 def page_extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """Replace stored HTML by host, title, description, declared language and visible text.
 
-    Attributes may be quoted either way or not at all; common entities are decoded.
+    All five come from one list of markup pieces, so nothing is read out of comments, scripts and styles, and a `>` inside
+    a quoted attribute ends no tag. Attributes may be quoted either way or not at all; common entities are decoded. The
+    first title, the first description and the first html tag count. Missing or empty values are null, a null page has a null text.
     """
-    source = F.col(html)
-    title = F.nullif(F.trim(decoded(F.regexp_extract(source, r"(?is)<title[^>]*>(.*?)</title>", 1))), F.lit(""))
-    lang = F.nullif(_attribute(F.regexp_extract(source, r"(?is)<html[^>]*>", 0), "lang"), F.lit(""))
-    metas = F.regexp_extract_all(source, F.lit(r"(?is)<meta\s[^>]*>"), F.lit(0))
-    described = F.filter(metas, lambda m: F.lower(_attribute(m, "name")) == "description")
-    description = F.nullif(F.trim(_attribute(F.get(described, 0), "content")), F.lit(""))
-    bare = F.regexp_replace(source, UNSEEN + r"|<title\b.*?</title>", " ")
-    text = F.trim(F.regexp_replace(decoded(F.regexp_replace(bare, r"(?s)<[^>]*>", " ")), r"\s+", " "))
+    pieces = F.col("_pieces")
+    title = F.regexp_extract(F.get(_tags(pieces, "title"), F.lit(0)), r"(?is)^<title[^>]*>(.*)</title\s*>$", 1)
+    lang = _attribute(F.get(_tags(pieces, "html"), F.lit(0)), "lang")
+    described = F.filter(_tags(pieces, "meta"), lambda m: F.lower(_attribute(m, "name")) == "description")
+    description = F.trim(_attribute(F.get(described, F.lit(0)), "content"))
+    shown = F.transform(pieces, lambda t: F.when(F.startswith(t, F.lit("<")) & (F.length(t) > 1), F.lit(" ")).otherwise(t))
+    text = F.trim(F.regexp_replace(decoded(F.array_join(shown, "")), r"\s+", " "))
     rest = [c for c in pages.columns if c != html]
-    return pages.select(
+    return pages.withColumn("_pieces", markup(F.col(html))).select(
         *rest,
         host_of(url).alias("host"),
-        title.alias("title"),
-        description.alias("description"),
-        lang.alias("language"),
+        F.nullif(F.trim(decoded(title)), F.lit("")).alias("title"),
+        F.nullif(description, F.lit("")).alias("description"),
+        F.nullif(lang, F.lit("")).alias("language"),
         text.alias("visible_text"),
     )
 
@@ -96,46 +119,57 @@ def _without_dots(path: Column) -> Column:
     return F.array_join(F.when(dot(F.element_at(parts, -1)), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
 
 
-def _resolve(rows: DataFrame, base: str, href: str, out: str) -> DataFrame:
-    """Add `out`: the link of column `href` made absolute against the address in column `base`.
-
-    Step by step, as every step uses the one before it several times.
-    """
-    page, link = F.regexp_replace(F.col(base), r"[?#].*$", ""), F.col(href)
+def _address_parts(address: Column) -> Column:
+    """What links are resolved against, once per page: scheme, scheme with host, the page without query, its folder."""
+    page = F.regexp_replace(address, r"[?#].*$", "")
     folder = F.regexp_replace(page, r"(://[^/]+.*/)[^/]*$", "$1")
-    joined = (
+    return F.struct(
+        F.regexp_extract(address, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1).alias("scheme"),
+        F.regexp_extract(address, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1).alias("root"),
+        page.alias("page"),
+        F.concat(F.rtrim(folder, F.lit("/")), F.lit("/")).alias("folder"),
+    )
+
+
+def _joined(at: Column, link: Column) -> Column:
+    """A link made absolute against the address parts `at`; dot segments are left."""
+    return (
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), link)
-        .when(link.startswith("//"), F.concat(F.regexp_extract(F.col(base), r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1), link))
-        .when(link.startswith("/"), F.concat(F.regexp_extract(F.col(base), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1), link))
-        .when(link.startswith("?"), F.concat(page, link))
-        .otherwise(F.concat(F.rtrim(folder, F.lit("/")), F.lit("/"), link))
+        .when(link.startswith("//"), F.concat(at["scheme"], link))
+        .when(link.startswith("/"), F.concat(at["root"], link))
+        .when(link.startswith("?"), F.concat(at["page"], link))
+        .otherwise(F.concat(at["folder"], link))
     )
+
+
+def _undotted(address: Column) -> Column:
+    """An address without dot segments; only one with a dot after a slash is taken apart."""
     cut = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)(.*)$"
-    steps = rows.withColumn(out, joined).withColumns(
-        {f"_{part}": F.regexp_extract(out, cut, i) for i, part in enumerate(("start", "path", "tail"), 1)}
-    )
-    dotted = F.col("_path").rlike(r"(^|/)\.\.?(/|$)")
-    clean = F.when(dotted, F.concat("_start", _without_dots(F.col("_path")), "_tail")).otherwise(F.col(out))
-    return steps.withColumn(out, clean).drop("_start", "_path", "_tail")
+    start, path, tail = (F.regexp_extract(address, cut, i) for i in (1, 2, 3))
+    dotted = path.rlike(r"(^|/)\.\.?(/|$)")
+    return F.when(F.contains(address, F.lit("/.")), F.when(dotted, F.concat(start, _without_dots(path), tail)).otherwise(address)).otherwise(address)
 
 
 def link_extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, position, link): anchors of each page, made absolute against its address or its `<base>`.
 
-    All quote forms count, anchors inside comments, scripts and styles do not; common entities are
-    decoded, `.` and `..` resolved. Empty links, fragments and schemes other than http and https are
-    dropped, before positions are left as counted over all anchors.
+    `position` numbers the anchors with an `href` from 0 in page order; links that are then dropped leave a gap. Dropped are
+    empty links, fragments and schemes other than http and https. All quote forms count, anchors inside comments, scripts
+    and styles do not (see `markup`); common entities are decoded, `.` and `..` resolved.
     """
-    seen = F.regexp_replace(F.col(html), UNSEEN, " ")
-    hrefs = F.regexp_extract_all(seen, F.lit(rf"(?i)<a\s(?:[^>]*?\s)?href\s*=\s*{QUOTED}"), F.lit(1))
-    base = _attribute(F.regexp_extract(seen, r"(?is)<base\s[^>]*>", 0), "href")
-    placed = pages.select(key, F.col(url).alias("_url"), base.alias("_base"), F.posexplode(hrefs).alias("position", "_raw"))
-    based = _resolve(placed, "_url", "_base", "_against")
-    page = F.when(F.col("_base") == "", F.col("_url")).otherwise(F.col("_against"))
-    found = based.select(key, "position", page.alias("_page"), F.trim(_unquoted(F.col("_raw"))).alias("_href"))
+    hrefs = F.filter(F.transform(_tags(F.col("_pieces"), "a"), lambda t: _raw_attribute(t, "href")), lambda h: h != "")
+    taken = pages.select(key, F.col(url).alias("_url"), markup(F.col(html)).alias("_pieces")).select(
+        key, "_url", hrefs.alias("_hrefs"), F.coalesce(_attribute(F.get(_tags(F.col("_pieces"), "base"), F.lit(0)), "href"), F.lit("")).alias("_base")
+    )
+    based = taken.withColumn("_own", _address_parts(F.col("_url"))).withColumn(
+        "_page", F.when(F.col("_base") == "", F.col("_url")).otherwise(_undotted(_joined(F.col("_own"), F.col("_base"))))
+    )
+    placed = based.select(key, _address_parts(F.col("_page")).alias("_at"), F.posexplode("_hrefs").alias("position", "_raw"))
+    found = placed.select(key, "position", "_at", F.trim(_unquoted(F.col("_raw"))).alias("_href"))
     other = F.col("_href").rlike(r"(?i)^(?!https?:)[A-Za-z][A-Za-z0-9+.-]*:")
     wanted = found.filter((F.col("_href") != "") & ~F.col("_href").startswith("#") & ~other)
-    return _resolve(wanted, "_page", "_href", "link").select(key, "position", "link")
+    joined = wanted.select(key, "position", _joined(F.col("_at"), F.col("_href")).alias("link"))
+    return joined.select(key, "position", _undotted(F.col("link")).alias("link"))
 
 
 def link_bfs(edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFrame:

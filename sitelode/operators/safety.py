@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sitelode.functions.literals import any_of, found_by, required_literals
 from sitelode.functions.scalars import as_col
 from sitelode.sources.text_lists import Pattern
 
@@ -25,32 +26,49 @@ def _java_regex(pattern: Pattern) -> str:
     return f"(?{pattern.flags}){pattern.regex}"
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _sum(columns: Sequence[Column]) -> Column:
+    """A sum as a balanced tree, as a chain over thousands of columns is too deep to plan."""
+    if len(columns) < 2:
+        return columns[0] if columns else F.lit(0)
+    middle = len(columns) // 2
+    return _sum(columns[:middle]) + _sum(columns[middle:])
+
+
 def pattern_flag(documents: DataFrame, patterns: Sequence[Pattern], content: str = "text") -> DataFrame:
     """Add `flagged_categories` (in pattern-file order) and `n_matches`.
 
-    Every pattern is a constant of the expression, compiled once per task, and
-    scans the whole content whatever its size; the size gate is a column of its own.
-    Null content has no flags.
+    A pattern that cannot match without some literal text (`required_literals`) is tried only on content that holds it; one
+    pass over the content finds the literals of all patterns, so many patterns cost little more than a few. The others
+    scan every content. Contents are read whole whatever their size; the size gate is a column of its own. Null content has no flags.
     """
-    counts = {
-        f"_hits{i}": F.regexp_count(F.col("_scanned"), F.lit(_java_regex(p))) for i, p in enumerate(patterns)
-    }
-    scanned = documents.withColumn("_scanned", F.coalesce(F.col(content), F.lit(""))).withColumns(counts)
+    needed = [required_literals(p.regex, p.flags) for p in patterns]
+    literals = sorted({text for texts in needed for text in texts or ()})
+    says = found_by(literals)
+    scanned = documents.withColumn("_scanned", F.coalesce(F.col(content), F.lit("")))
+    if literals:
+        folded = F.translate("_scanned", UPPER, LOWER)
+        scanned = scanned.withColumn("_found", F.array_distinct(F.regexp_extract_all(folded, F.lit(f"(?=({any_of(literals)}))"), F.lit(1))))
+    counts = {}
+    for i, (pattern, texts) in enumerate(zip(patterns, needed)):
+        count = F.regexp_count(F.col("_scanned"), F.lit(_java_regex(pattern)))
+        if texts:
+            signs = F.array(*[F.lit(s) for s in sorted({s for t in texts for s in says[t]})])
+            count = F.when((F.size("_found") > 0) & F.arrays_overlap(F.col("_found"), signs), count).otherwise(F.lit(0))
+        counts[f"_hits{i}"] = count
+    scanned = scanned.withColumns(counts) if counts else scanned
     by_category: dict[tuple[int, str], list[str]] = {}
     for name, pattern in zip(counts, patterns):
         by_category.setdefault((pattern.category_no, pattern.category), []).append(name)
-    flags = []
-    for (_, category), names in sorted(by_category.items()):
-        hit = F.lit(False)
-        for name in names:
-            hit = hit | (F.col(name) > 0)
-        flags.append(F.when(hit, F.lit(category)))
-    total = F.lit(0)
-    for name in counts:
-        total = total + F.coalesce(name, F.lit(0))
+    flags = [
+        F.when(F.greatest(F.lit(0), *names) > 0, F.lit(category)) for (_, category), names in sorted(by_category.items())
+    ]
+    flagged = F.array_compact(F.array(*flags)) if flags else F.array().cast("array<string>")
     return scanned.withColumns(
-        {"flagged_categories": F.array_compact(F.array(*flags)), "n_matches": total}
-    ).drop("_scanned", *counts)
+        {"flagged_categories": flagged, "n_matches": _sum([F.col(name) for name in counts])}
+    ).drop("_scanned", "_found", *counts)
 
 
 def safety_check(
