@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sitelode.functions.scalars import iso_text
 from sitelode.schema import SOURCE_NAMES, TABLES, table_schema
@@ -94,6 +95,36 @@ def layout_by_address(sites: DataFrame, partitions: int) -> DataFrame:
     return sites.repartition(partitions, "address")
 
 
+#: Look-ups of at most so many addresses become a filter of the scan, above it a join.
+MOST_FILTERED = 64
+
+
+def write_address_layout(sites: DataFrame, path: str, files: int, rows_per_file: int = 1_000_000) -> None:
+    """Write the sites sorted by address over `files` files, with bloom filters on the address.
+
+    Every file and row group covers a range of addresses, so a look-up of a few skips nearly all by their least and greatest
+    address, and by the bloom filter the one that would hold an address that is not there. `rows_per_file` sizes the
+    filter. The ranges come from a sample, so files are about equal; sites without address come first.
+    """
+    ranged = sites.repartitionByRange(files, F.asc_nulls_first("address")).sortWithinPartitions(F.asc_nulls_first("address"))
+    writer = ranged.write.option("parquet.bloom.filter.enabled#address", "true")
+    writer.option("parquet.bloom.filter.expected.ndv#address", str(rows_per_file)).parquet(path)
+
+
+def lookup_addresses(layout: DataFrame, keys: DataFrame) -> DataFrame:
+    """The sites of an address layout whose address is in `keys` (address); exact and case-sensitive.
+
+    Up to MOST_FILTERED different addresses are compared in the scan, which then reads only the row groups that may hold them;
+    more are a join. Either way a site comes once however often its address is asked for, and a null asks for nothing.
+    """
+    wanted = keys.select("address").filter(F.col("address").isNotNull()).distinct()
+    few = [r.address for r in wanted.limit(MOST_FILTERED + 1).collect()]
+    if len(few) > MOST_FILTERED:
+        return layout.join(wanted, "address", "left_semi")
+    # a list of equalities, as longer IN lists are only pushed down as a range
+    return layout.filter(reduce(Column.__or__, (F.col("address") == a for a in sorted(few)), F.lit(False)))
+
+
 def save_bucketed(df: DataFrame, table: str, buckets: int, column: str = "address") -> None:
     """Save as a table bucketed by `column`; joins on it then need no shuffle of the table.
 
