@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sitelode.functions.layout import exact_running_sum, spread_small, top_per_group
-from sitelode.functions.scalars import iso_text, row_id, seconds_between, ts
+from sitelode.functions.scalars import iso_text, row_id, seconds_between, ts, typed_id
 from sitelode.operators.quality import fill_defaults
 from sitelode.session import materialize
 
@@ -33,14 +33,15 @@ def pending_jobs_per_site(jobs: DataFrame, as_of: datetime | str, per_site: int)
     return top_per_group(_due(jobs, as_of), ["site_id"], _job_order(), per_site)
 
 
-def create_crawl_jobs(requests: DataFrame, as_of: datetime | str) -> DataFrame:
+def create_crawl_jobs(requests: DataFrame, as_of: datetime | str, key_type: str = "string") -> DataFrame:
     """New job rows from (site_id, url[, priority, max_depth, metadata]), due at once.
 
-    Give a `job_id` or it is derived from site, URL and time of creation.
+    Give a `job_id` or it is derived from site, URL and time of creation, in the key type of the job table.
+    `site_id` keeps its type.
     """
     rows = requests
     if "job_id" not in rows.columns:
-        rows = rows.withColumn("job_id", row_id("site_id", "url", ts(as_of)))
+        rows = rows.withColumn("job_id", typed_id(key_type, "site_id", "url", ts(as_of)))
     metadata = F.col("metadata") if "metadata" in rows.columns else F.lit(None).cast("string")
     rows = rows.withColumns({"metadata": F.coalesce(metadata, F.lit("{}")), "scheduled_for": ts(as_of)})
     return fill_defaults(rows, "crawl_jobs", as_of, add_missing=True)

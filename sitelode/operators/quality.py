@@ -115,17 +115,21 @@ def orphan_check(sites: DataFrame, children: Mapping[str, DataFrame]) -> DataFra
     return refs.join(sites.select("site_id"), "site_id", "left_anti").select("table_name", "site_id", "n")
 
 
-def fill_defaults(df: DataFrame, table: str, as_of: datetime | str | Column, add_missing: bool = False) -> DataFrame:
+def fill_defaults(
+    df: DataFrame, table: str, as_of: datetime | str | Column, add_missing: bool = False, key_type: str | None = None
+) -> DataFrame:
     """Declared defaults where a column is null; optionally add the missing columns.
 
-    With `add_missing` the result has exactly the declared columns in order.
+    With `add_missing` the result has exactly the declared columns in order. Ids and references keep the type they have, as the
+    tables they point to may have another; missing ones get `key_type`, by default the type of the table's own id.
     """
     spec = TABLES[table]
     now = ts(as_of)
-    key_type = dict(df.dtypes).get(spec.key, "string")
+    kinds = dict(df.dtypes)
+    key_type = key_type or kinds.get(spec.key, "string")
     columns = []
     for col in spec.columns:
-        kind = spark_type(col, key_type)
+        kind = spark_type(col, kinds.get(col.name, key_type))
         if col.name in df.columns:
             value = F.col(col.name).cast(kind) if add_missing else F.col(col.name)
         elif add_missing:

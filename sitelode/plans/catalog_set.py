@@ -6,8 +6,8 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from sitelode.functions.scalars import has_all_tags, has_any_tag, json_feature, risk_bucket, status_normalize, title_hash
-from sitelode.operators import catalog, quality
+from sitelode.functions.scalars import has_all_tags, has_any_tag, json_feature, json_variant, risk_bucket, status_normalize, title_hash, variant_value
+from sitelode.operators import catalog, quality, search
 from sitelode.operators.metrics import request_metrics
 from sitelode.plans.discovery import append_discoveries
 from sitelode.plans.registry import query
@@ -109,8 +109,22 @@ def write_atomic(fx: Fixture):
 
 @query("layout_by_address", "SELECT site_id, address, status FROM sites")
 def layout_by_address(fx: Fixture):
-    parts = fx.spark.sparkContext.defaultParallelism
-    return catalog_io.layout_by_address(fx.sites, parts).select("site_id", "address", "status")
+    return _address_layout(fx).select("site_id", "address", "status")
+
+
+def _address_layout(fx: Fixture):
+    path = scratch_path(fx.spark, "by-address")
+    catalog_io.write_address_layout(fx.sites, path, int(fx.spark.conf.get("spark.sql.shuffle.partitions")))
+    return fx.spark.read.parquet(path)
+
+
+@query(
+    "address_lookup",
+    "SELECT site_id, address, status FROM sites WHERE address IN (SELECT address FROM known_honeypots)",
+)
+def address_lookup(fx: Fixture):
+    """The sites of a list of addresses, out of the sorted layout."""
+    return catalog_io.lookup_addresses(_address_layout(fx), fx.known_honeypots).select("site_id", "address", "status")
 
 
 @query(
@@ -177,7 +191,24 @@ def search_batch(fx: Fixture):
     number = F.col("s_suppkey").cast("string")
     wanted = F.when(F.col("s_suppkey") % 2 == 0, number).otherwise(F.concat(F.lit("ing_"), number))
     queries = fx.supplier.select(F.col("s_suppkey").alias("query_id"), wanted.alias("query"))
-    return catalog.search_batch(fx.sites, queries, limit=20)
+    return search.search_batch(fx.sites, queries, limit=20)
+
+
+_TEXTS_SQL = " UNION ALL ".join(f"SELECT row, '{c}' AS field, lower({c}) AS text FROM (SELECT *, row_number() OVER () AS row FROM sites) x WHERE {c} IS NOT NULL" for c in search.SEARCHED)
+_PIECES_SQL = " UNION ALL ".join(
+    f"SELECT row, field, unnest(list_transform(range(1, length(text) - {n - 2}), lambda i: substr(text, CAST(i AS BIGINT), {n}))) AS piece FROM texts" for n in range(1, search.GRAM + 1)
+)
+
+
+@query(
+    "search_pieces",
+    f"""
+WITH texts AS ({_TEXTS_SQL})
+SELECT piece, count(*) AS n FROM (SELECT DISTINCT row, field, piece FROM (SELECT row, field, '' AS piece FROM texts UNION ALL {_PIECES_SQL}) p) d GROUP BY piece""",
+)
+def search_pieces(fx: Fixture):
+    """How many texts of the catalog hold each piece, from a written search index."""
+    return search.build_search_index(fx.sites, scratch_path(fx.spark, "search")).counts
 
 
 @query(
@@ -402,9 +433,8 @@ def append_discovery_rows(fx: Fixture):
         "site_id", "discovery_method", F.col("id").cast("string").alias("source_url"),
         F.when(F.col("discovery_method") != "api", F.col("confidence")).alias("confidence"),
     )
-    return append_discoveries(found.withColumn("site_id", F.col("site_id").cast("string")), AS_OF_EVENTS).select(
-        "id", F.col("site_id").cast("bigint").alias("site_id"), "source_url", "discovery_method", "confidence",
-        "processing_time", "discovered_at",
+    return append_discoveries(found, AS_OF_EVENTS).select(
+        "id", "site_id", "source_url", "discovery_method", "confidence", "processing_time", "discovered_at"
     )
 
 
@@ -425,6 +455,20 @@ def title_hashes(fx: Fixture):
     return fx.sites.select("site_id", title_hash("title").alias("title_hash"))
 
 
+@query(
+    "json_typed",
+    """
+SELECT id, TRY_CAST(json_extract_string(features, '$.k') AS BIGINT) AS k, json_extract_string(features, '$.k') AS k_text, json_valid(features) AS is_json
+FROM classifications""",
+)
+def json_typed(fx: Fixture):
+    """Typed values out of a JSON column, by the variant type."""
+    value = json_variant("features")
+    return fx.classifications.select(
+        "id", variant_value(value, "$.k", "bigint").alias("k"), variant_value(value, "$.k", "string").alias("k_text"), value.isNotNull().alias("is_json")
+    )
+
+
 @query("json_features", "SELECT id, CAST(json_extract_string(features, '$.k') AS VARCHAR) AS k FROM classifications")
 def json_features(fx: Fixture):
     return fx.classifications.select("id", json_feature("features", "$.k").alias("k"))

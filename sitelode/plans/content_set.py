@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sitelode.functions.layout import spread_small
 from sitelode.functions.scalars import content_hash, risk_score
-from sitelode.operators import classify, content, dedup, metrics, safety
+from sitelode.operators import bayes, calibrate, classify, content, dedup, language, metrics, safety
 from sitelode.operators.classify import Rule
 from sitelode.operators.content import LANGUAGE_WORDS
 from sitelode.plans.discovery import classify_run, discovery_run
@@ -175,7 +175,7 @@ def page_cap(fx: Fixture):
 
 
 @query(
-    "lang_detect",
+    "lang_detect_words",
     f"""
 WITH profile AS (SELECT * FROM (VALUES {', '.join(f"('{lang}', '{w}')" for lang, ws in LANGUAGE_WORDS.items() for w in ws)}) v(lang, word)),
 scores AS (
@@ -186,11 +186,55 @@ best AS (SELECT doc_id, lang, hits, row_number() OVER (PARTITION BY doc_id ORDER
 SELECT d.doc_id, d.lang, CASE WHEN b.hits >= 3 THEN b.lang END AS detected
 FROM documents d LEFT JOIN best b ON b.doc_id = d.doc_id AND b.rn = 1""",
 )
-def lang_detect(fx: Fixture):
+def lang_detect_words(fx: Fixture):
     documents = spread_small(fx.documents.select("doc_id", "text", "lang"), "doc_id")
     return content.lang_detect(documents).select("doc_id", "lang", "detected")
 
 
+#: Every third document is held out of the training of models.
+HELD_OUT = "doc_id % 3 = 2"
+
+# A table for CRC-32, and the checksum of a text by it.
+_CRC_TABLE = """crc_table AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i)) x)"""
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(feature)), '..'), lambda p: CAST('0x' || p AS BIGINT))),
+    lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295)"""
+_LANGUAGE_CTES = f"""{_CRC_TABLE},
+w AS (SELECT doc_id, lang, {HELD_OUT} AS held_out, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS word FROM documents),
+f AS (SELECT doc_id, lang, held_out, feature, count(*) AS n FROM (
+  SELECT doc_id, lang, held_out, concat('^', left(word, {language.EDGE})) AS feature FROM w
+  UNION ALL SELECT doc_id, lang, held_out, concat(right(word, {language.EDGE}), '$') FROM w) x GROUP BY ALL),
+hashed AS (SELECT feature, {_CRC} % {language.BUCKETS} AS bucket FROM (SELECT DISTINCT feature FROM f) x, crc_table),
+counts AS (SELECT lang, bucket, CAST(sum(n) AS BIGINT) AS n FROM f JOIN hashed ON hashed.feature = f.feature
+  WHERE NOT held_out AND lang IS NOT NULL GROUP BY ALL)"""
+
+
+@query("lang_profile", f"WITH {_LANGUAGE_CTES} SELECT lang, CAST(bucket AS INT) AS bucket, n FROM counts")
+def lang_profile(fx: Fixture):
+    known = fx.documents.filter(~F.expr(HELD_OUT)).select("doc_id", "text", "lang")
+    return language.language_counts(spread_small(known, "doc_id"))
+
+
+@query(
+    "lang_detect",
+    f"""
+WITH {_LANGUAGE_CTES},
+totals AS (SELECT lang, sum(n) AS total FROM counts GROUP BY lang),
+weights AS (SELECT t.lang, b.bucket, CAST(round({language.UNIT} * ln(CAST(coalesce(c.n, 0) + 1 AS DOUBLE) / CAST(t.total + {language.BUCKETS} AS DOUBLE))) AS BIGINT) AS weight
+  FROM totals t CROSS JOIN range({language.BUCKETS}) b(bucket) LEFT JOIN counts c ON c.lang = t.lang AND c.bucket = b.bucket),
+scores AS (SELECT f.doc_id, weights.lang, sum(f.n * weight) AS score
+  FROM f JOIN hashed ON hashed.feature = f.feature JOIN weights ON weights.bucket = hashed.bucket GROUP BY 1, 2),
+ranked AS (SELECT doc_id, lang, score, row_number() OVER p AS rn, lead(score) OVER p AS next
+  FROM scores WINDOW p AS (PARTITION BY doc_id ORDER BY score DESC, lang DESC))
+SELECT d.doc_id, d.lang, d.{HELD_OUT} AS held_out, CASE WHEN r.score - r.next >= ceil(ln({language.ODDS}) * {language.UNIT}) THEN r.lang END AS detected
+FROM documents d LEFT JOIN ranked r ON r.doc_id = d.doc_id AND r.rn = 1""",
+)
+def lang_detect(fx: Fixture):
+    model = language.LanguageModel.from_counts(lang_profile(fx))
+    documents = spread_small(fx.documents.select("doc_id", "text", "lang"), "doc_id")
+    return language.detect_language(documents, model).select("doc_id", "lang", F.expr(HELD_OUT).alias("held_out"), "detected")
+
+
 @query(
     "pattern_flag",
     f"""
@@ -265,17 +309,56 @@ def confidence_gate(fx: Fixture):
     return classify.confidence_gate(fx.classifications).select("id", "confidence", "accepted", "requires_review")
 
 
-def _supervised(fx: Fixture):
-    training = fx.documents.join(fx.labels, "doc_id").select(
-        "doc_id", "text", F.when(F.col("toxic") == 1, "market").otherwise("library").alias("label")
-    )
-    model = classify.train_supervised(spread_small(training, "doc_id"))
-    return classify.ml_supervised(model, spread_small(fx.documents.select("doc_id", "text"), "doc_id"))
+def _labelled(fx: Fixture):
+    return fx.labels.select("doc_id", F.when(F.col("toxic") == 1, "market").otherwise("library").alias("label"))
+
+
+# --- the fixed folds of the model queries: fit, calibrate, hold out --------------------
+FIT, CALIBRATE = "doc_id % 3 = 0", "doc_id % 3 = 1"
+
+
+def _supervised(fx: Fixture, fold: str):
+    """The Bayes model of one fold of the labelled documents, applied to all documents."""
+    documents = spread_small(fx.documents.select("doc_id", "text"), "doc_id")
+    model = bayes.fit_bayes(documents.filter(fold).join(_labelled(fx), "doc_id"))
+    return bayes.bayes_classify(model, documents)
+
+
+def _bayes_sql(fold: str) -> str:
+    """CTEs: `judged` has (doc_id, category, confidence) of the Bayes model fitted on one fold."""
+    return f"""
+truth AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'market' ELSE 'library' END AS label FROM labels),
+bag AS (SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS token FROM documents) x GROUP BY 1, 2),
+train AS (SELECT t.doc_id, t.label FROM truth t JOIN documents d ON d.doc_id = t.doc_id WHERE t.{fold}),
+per_label AS (SELECT token, label, sum(n) AS n, count(*) AS docs FROM bag JOIN train ON train.doc_id = bag.doc_id GROUP BY 1, 2),
+vocabulary AS (SELECT token FROM per_label GROUP BY token HAVING sum(docs) >= {bayes.MIN_DOCS}),
+classes AS (SELECT c.label, CAST(round({bayes.UNIT} * ln(CAST(docs AS DOUBLE) / CAST((SELECT count(*) FROM train) AS DOUBLE))) AS BIGINT) AS prior, total
+  FROM (SELECT label, count(*) AS docs FROM train GROUP BY label) c
+  JOIN (SELECT label, sum(n) AS total FROM per_label JOIN vocabulary ON vocabulary.token = per_label.token GROUP BY label) t ON t.label = c.label),
+weights AS (SELECT v.token, c.label, CAST(round({bayes.UNIT} * ln(CAST(coalesce(p.n, 0) + 1 AS DOUBLE) / CAST(c.total + (SELECT count(*) FROM vocabulary) AS DOUBLE))) AS BIGINT) AS weight
+  FROM vocabulary v CROSS JOIN classes c LEFT JOIN per_label p ON p.token = v.token AND p.label = c.label),
+sums AS (SELECT doc_id, label, sum(n * weight) AS s FROM bag JOIN weights ON weights.token = bag.token GROUP BY 1, 2),
+scores AS (SELECT d.doc_id, c.label, c.prior + coalesce(s.s, 0) AS score FROM documents d CROSS JOIN classes c LEFT JOIN sums s ON s.doc_id = d.doc_id AND s.label = c.label),
+judged AS (SELECT doc_id, arg_max(label, (score, -rank)) AS category, 1 / sum(exp(CAST(score - best AS DOUBLE) / {bayes.UNIT})) AS confidence
+  FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS best, row_number() OVER (PARTITION BY doc_id ORDER BY label) AS rank FROM scores) x GROUP BY doc_id)"""
 
 
-@query("ml_supervised")
+@query(
+    "ml_supervised",
+    f"""
+WITH {_bayes_sql("doc_id % 3 <> 2")}
+SELECT doc_id, {HELD_OUT} AS held_out, category, round(confidence, 6) AS confidence FROM judged""",
+)
 def ml_supervised(fx: Fixture):
-    return _supervised(fx).select("doc_id", "category", F.round("confidence", 4).alias("confidence"))
+    judged = _supervised(fx, f"NOT ({HELD_OUT})")
+    return judged.select("doc_id", F.expr(HELD_OUT).alias("held_out"), "category", F.round("confidence", 6).alias("confidence"))
+
+
+@query("ml_logistic")
+def ml_logistic(fx: Fixture):
+    documents = spread_small(fx.documents.select("doc_id", "text"), "doc_id")
+    model = classify.train_supervised(documents.join(_labelled(fx), "doc_id"))
+    return classify.ml_supervised(model, documents).select("doc_id", "category", F.round("confidence", 4).alias("confidence"))
 
 
 @query("ml_unsupervised")
@@ -283,11 +366,72 @@ def ml_unsupervised(fx: Fixture):
     return classify.ml_unsupervised(fx.embeddings)
 
 
-@query("hybrid_classify")
-def hybrid_classify(fx: Fixture):
+def _calibrated(fx: Fixture, judged, truth):
+    """Verdicts with their confidence replaced by the share of right ones, learnt on the calibration fold."""
+    known = judged.filter(CALIBRATE).join(truth, "doc_id")
+    table = calibrate.fit_calibration(known, F.col("category") == F.col("label"))
+    return judged.withColumn("confidence", calibrate.calibrated(F.col("confidence"), table))
+
+
+def _hybrid(fx: Fixture):
+    truth = _labelled(fx)
     by_rule = classify.rule_classify(spread_small(fx.documents.select("doc_id", "text"), "doc_id"), RULES)
-    hybrid = classify.hybrid_classify(by_rule.select("doc_id", "category", "confidence"), _supervised(fx))
-    return hybrid.select("doc_id", "category", F.round("confidence", 4).alias("confidence"), "decided_by")
+    by_rule = materialize(by_rule.select("doc_id", "category", "confidence"), "by-rule")
+    by_model = materialize(_supervised(fx, FIT).select("doc_id", "category", "confidence"), "by-model")
+    by_rule, by_model = _calibrated(fx, by_rule, truth), _calibrated(fx, by_model, truth)
+    return {"rule_based": by_rule, "ml_supervised": by_model, "hybrid": classify.hybrid_classify(by_rule, by_model)}
+
+
+def _isotonic_sql(name: str, judged: str) -> str:
+    """CTE `name` (doc_id, category, confidence): calibrated by the greatest of least means over runs of bins."""
+    bins = calibrate.BINS
+    return f"""
+{name}_bins AS (SELECT CAST(least(floor(j.confidence * {bins}), {bins - 1}) AS INT) AS bin, count(*) AS n, count(*) FILTER (j.category = t.label) AS hits
+  FROM {judged} j JOIN truth t ON t.doc_id = j.doc_id WHERE j.{CALIBRATE} GROUP BY 1),
+{name}_runs AS (SELECT a.bin AS low, z.bin AS high, (SELECT CAST(sum(hits) AS DOUBLE) / CAST(sum(n) AS DOUBLE) FROM {name}_bins m WHERE m.bin BETWEEN a.bin AND z.bin) AS share
+  FROM {name}_bins a JOIN {name}_bins z ON z.bin >= a.bin),
+{name}_fit AS (SELECT bin, max(least_share) AS share FROM (
+  SELECT b.bin, r.low, min(r.share) AS least_share FROM {name}_bins b JOIN {name}_runs r ON r.low <= b.bin AND r.high >= b.bin GROUP BY 1, 2) x GROUP BY bin),
+{name}_table AS (SELECT g.bin, coalesce((SELECT arg_max(share, f.bin) FROM {name}_fit f WHERE f.bin <= g.bin), (SELECT arg_min(share, f.bin) FROM {name}_fit f)) AS share FROM range({bins}) g(bin)),
+{name} AS (SELECT j.doc_id, j.category, k.share AS confidence FROM {judged} j LEFT JOIN {name}_table k ON k.bin = CAST(least(floor(j.confidence * {bins}), {bins - 1}) AS INT))"""
+
+
+HYBRID_CTES = f"""{_bayes_sql(FIT)},
+ruled AS (SELECT doc_id, category, CAST(confidence AS DOUBLE) AS confidence FROM ({_rule_sql('doc_id', 'documents')}) x),
+{_isotonic_sql("by_rule", "ruled")},
+{_isotonic_sql("by_model", "judged")},
+hybrid AS (SELECT r.doc_id, r.confidence >= {classify.CONFIDENCE_THRESHOLD} AS keep, CASE WHEN keep THEN r.category ELSE m.category END AS category,
+  CASE WHEN keep THEN r.confidence ELSE m.confidence END AS confidence FROM by_rule r JOIN by_model m ON m.doc_id = r.doc_id)"""
+
+
+@query(
+    "hybrid_classify",
+    f"""
+WITH {HYBRID_CTES}
+SELECT doc_id, category, round(confidence, 6) AS confidence, CASE WHEN keep THEN 'rule_based' ELSE 'ml_supervised' END AS decided_by FROM hybrid""",
+)
+def hybrid_classify(fx: Fixture):
+    """Rules and model on one scale: both confidences are calibrated before the gate compares them."""
+    return _hybrid(fx)["hybrid"].select("doc_id", "category", F.round("confidence", 6).alias("confidence"), "decided_by")
+
+
+_ERROR_SQL = " UNION ALL ".join(
+    f"""SELECT '{kind}' AS classifier, CAST(coalesce(sum(n), 0) AS BIGINT) AS n, CAST(round(sum(abs(mean - CAST(hits AS DOUBLE) / CAST(n AS DOUBLE)) * n) / sum(n), 6) AS DOUBLE) AS error FROM (
+  SELECT CAST(least(floor(c.confidence * {calibrate.BINS}), {calibrate.BINS - 1}) AS INT) AS bin, count(*) AS n, count(*) FILTER (c.category = t.label) AS hits, avg(c.confidence) AS mean
+  FROM {source} c JOIN truth t ON t.doc_id = c.doc_id WHERE c.{HELD_OUT} GROUP BY 1) b"""
+    for kind, source in (("rule_based", "by_rule"), ("ml_supervised", "by_model"), ("hybrid", "hybrid"))
+)
+
+
+@query("calibration_error", f"WITH {HYBRID_CTES} {_ERROR_SQL}")
+def calibration_error(fx: Fixture):
+    """Calibration error of the rules, the model and both together on the held-out fold."""
+    truth, errors = _labelled(fx), None
+    for kind, judged in _hybrid(fx).items():
+        counts = calibrate.reliability(judged.filter(HELD_OUT).join(truth, "doc_id"), F.col("category") == F.col("label"))
+        part = calibrate.calibration_error(counts).select(F.lit(kind).alias("classifier"), "n", F.round("error", 6).alias("error"))
+        errors = part if errors is None else errors.unionByName(part)
+    return errors
 
 
 @query(
@@ -322,26 +466,28 @@ pages AS (
   SELECT address, depth, concat('http://', address, '/') AS url FROM fresh
   UNION
   SELECT f.address, f.depth, l.url FROM fresh f JOIN links l ON l.dst = f.address),
-ranked AS (SELECT address, depth, url, row_number() OVER (PARTITION BY address ORDER BY depth, url) AS rn FROM pages)
-SELECT 'job' AS kind, url AS item, CAST(-depth AS VARCHAR) AS detail FROM ranked WHERE rn <= 50
-UNION ALL SELECT 'result', sha256(address), CASE WHEN depth = 0 THEN 'seed' ELSE 'crawl' END FROM fresh
-UNION ALL SELECT 'site', address, 'discovered' FROM fresh
-UNION ALL SELECT 'rejected', address, error FROM (
+ranked AS (SELECT address, depth, url, row_number() OVER (PARTITION BY address ORDER BY depth, url <> concat('http://', address, '/'), url) AS rn FROM pages),
+made AS (SELECT address, depth, CAST('0x' || substr(sha256(address), 1, 15) AS BIGINT) AS site_id FROM fresh)
+SELECT 'job' AS kind, url AS item, CAST(-r.depth AS VARCHAR) AS detail, m.site_id FROM ranked r JOIN made m ON m.address = r.address WHERE rn <= 50
+UNION ALL SELECT 'result', address, CASE WHEN depth = 0 THEN 'seed' ELSE 'crawl' END, site_id FROM made
+UNION ALL SELECT 'site', address, 'discovered', site_id FROM made
+UNION ALL SELECT 'rejected', address, error, NULL FROM (
   SELECT address, {ERROR_SQL} AS error FROM entries UNION SELECT address, {ERROR_SQL} FROM found) x WHERE error IS NOT NULL""",
 )
 def discovery(fx: Fixture):
-    sites = fx.sites.withColumn("site_id", F.col("site_id").cast("string"))
-    run = discovery_run(fx.seed_lines, fx.site_links, sites, AS_OF_EVENTS)
-    known = run.sites.join(fx.sites.select("address"), "address", "left_anti")
+    """New sites, and their results and jobs joined to them by their ids."""
+    run = discovery_run(fx.seed_lines, fx.site_links, fx.sites, AS_OF_EVENTS)
+    known = materialize(run.sites.join(fx.sites.select("address"), "address", "left_anti"), "new-sites")
+    owner = known.select("site_id", "address")
     parts = {
-        "job": run.crawl_jobs.select(F.col("url").alias("item"), F.col("priority").cast("string").alias("detail")),
-        "result": run.discovery_results.select(F.col("site_id").alias("item"), F.col("discovery_method").alias("detail")),
-        "site": known.select(F.col("address").alias("item"), F.col("status").alias("detail")),
-        "rejected": run.rejected.select(F.col("address").alias("item"), F.col("error").alias("detail")),
+        "job": run.crawl_jobs.join(owner, "site_id").select(F.col("url").alias("item"), F.col("priority").cast("string").alias("detail"), "site_id"),
+        "result": run.discovery_results.join(owner, "site_id").select(F.col("address").alias("item"), F.col("discovery_method").alias("detail"), "site_id"),
+        "site": known.select(F.col("address").alias("item"), F.col("status").alias("detail"), "site_id"),
+        "rejected": run.rejected.select(F.col("address").alias("item"), F.col("error").alias("detail"), F.lit(None).cast("bigint").alias("site_id")),
     }
     stacked = None
     for kind, frame in parts.items():
-        part = frame.select(F.lit(kind).alias("kind"), "item", "detail")
+        part = frame.select(F.lit(kind).alias("kind"), "item", "detail", "site_id")
         stacked = part if stacked is None else stacked.unionByName(part)
     return stacked
 

@@ -9,7 +9,8 @@ from sitelode.operators import content, jobs
 from sitelode.plans.registry import query
 from sitelode.plans.views import AS_OF_JOBS, Fixture
 from sitelode.session import scratch_path
-from sitelode.streaming import streams
+from sitelode.sources import catalog_io
+from sitelode.streaming import job_state, streams
 
 JOBS = f"TIMESTAMP '{AS_OF_JOBS}'"
 
@@ -49,13 +50,13 @@ def pending_jobs_per_site(fx: Fixture):
     "create_crawl_jobs",
     f"""
 SELECT sha256(concat_ws(chr(31), CAST(site_id AS VARCHAR), concat('http://', address, '/'), '{AS_OF_JOBS}')) AS job_id,
-  CAST(site_id AS VARCHAR) AS site_id, concat('http://', address, '/') AS url, 0 AS priority, 1 AS max_depth, 'pending' AS status,
+  site_id, concat('http://', address, '/') AS url, 0 AS priority, 1 AS max_depth, 'pending' AS status,
   0 AS retry_count, 3 AS max_retries, 0 AS discovered_links, {JOBS} AS created_at, {JOBS} AS scheduled_for, '{{}}' AS metadata
 FROM sites""",
 )
 def create_crawl_jobs(fx: Fixture):
     requests = fx.sites.select(
-        F.col("site_id").cast("string").alias("site_id"), F.concat(F.lit("http://"), "address", F.lit("/")).alias("url")
+        "site_id", F.concat(F.lit("http://"), "address", F.lit("/")).alias("url")
     )
     return jobs.create_crawl_jobs(requests, AS_OF_JOBS).select(
         "job_id", "site_id", "url", "priority", "max_depth", "status", "retry_count", "max_retries",
@@ -175,9 +176,13 @@ def stream_job_state(fx: Fixture):
     lines = streams.table_stream(fx.spark, f"{fx.folder}/lineitem.parquet")
     events = Fixture(fx.spark, fx.folder, {"lineitem": lines}).job_events
     root = scratch_path(fx.spark, "job-stream")
-    streams.run_updates(streams.stream_job_state(events), f"{root}/rows", f"{root}/state").awaitTermination()
-    latest = streams.latest_updates(fx.spark, f"{root}/rows")
-    return latest.select("job_id", *[F.col(f"new_{f}").alias(f) for f in jobs.EVENT_FIELDS])
+    # a catalog whose jobs have not begun; each batch of events makes a new version of the job table
+    kinds = {f.name: f.dataType for f in events.schema.fields} | {"started_at": events.schema["ts"].dataType, "completed_at": events.schema["ts"].dataType}
+    idle = fx.crawl_jobs.select("job_id", *[F.lit(None).cast(kinds[f]).alias(f) for f in jobs.EVENT_FIELDS])
+    catalog_io.write_atomic(fx.spark, f"{root}/catalog", {"crawl_jobs": idle})
+    job_state.run_job_state(events, f"{root}/catalog", f"{root}/state").awaitTermination()
+    applied = catalog_io.read_current(fx.spark, f"{root}/catalog", "crawl_jobs")
+    return applied.filter("status IS NOT NULL").select("job_id", *jobs.EVENT_FIELDS)
 
 
 @query("stream_new_addresses", "SELECT DISTINCT address FROM site_updates")

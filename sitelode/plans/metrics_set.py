@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitelode.functions.scalars import risk_bucket, title_hash
-from sitelode.operators import metrics
+from sitelode.operators import metrics, sketches
 from sitelode.plans.registry import query
 from sitelode.plans.views import AS_OF_EVENTS, Fixture
+from sitelode.session import scratch_path
 
 EVENTS = f"TIMESTAMP '{AS_OF_EVENTS}'"
 LIFETIME_DAYS, REQUEST_LIMIT = 29, 60
@@ -88,6 +89,24 @@ def discovery_by_method(fx: Fixture):
     )
 
 
+@query(
+    "discovery_sketches",
+    """
+SELECT discovery_method, count(*) AS n_results, count(DISTINCT site_id) AS n_sites, true AS within_error, round(avg(confidence), 6) AS mean_confidence
+FROM discovery_results GROUP BY discovery_method""",
+)
+def discovery_sketches(fx: Fixture):
+    """Sites per method from sketches stored by day, and whether the estimate is within four standard errors of the exact number."""
+    path = scratch_path(fx.spark, "sketches")
+    sketches.daily_sketches(fx.discovery_results).write.partitionBy("day").parquet(path)
+    estimated = sketches.discovery_by_method_estimated(fx.spark.read.parquet(path)).withColumnRenamed("n_sites", "estimate")
+    exact = metrics.discovery_by_method(fx.discovery_results).select("discovery_method", "n_sites")
+    near = F.abs(F.col("estimate") - F.col("n_sites")) <= 4 * sketches.STANDARD_ERROR * F.col("n_sites")
+    return estimated.join(exact, "discovery_method").select(
+        "discovery_method", "n_results", "n_sites", near.alias("within_error"), F.round("mean_confidence", 6).alias("mean_confidence")
+    )
+
+
 @query(
     "request_metrics",
     """

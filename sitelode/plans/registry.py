@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from sitelode.plans import catalog_set, content_set, jobs_set, metrics_set  # noqa: F401
+    from sitelode.plans import catalog_set, content_set, jobs_set, metrics_set, runs_set  # noqa: F401
 
 
 def _bind(build: Callable[[Fixture], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

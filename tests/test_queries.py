@@ -10,7 +10,7 @@ from sitelode.plans.registry import all_queries, all_sql
 from sitelode.plans.views import AS_OF_JOBS, Fixture
 from sitelode.session import materialize
 
-NO_SQL = {"ml_supervised", "ml_unsupervised", "hybrid_classify"}
+NO_SQL = {"ml_logistic", "ml_unsupervised"}
 MODELS = NO_SQL
 NAMES = sorted(all_queries())
 
