@@ -28,8 +28,8 @@ def exact_dups(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def exact_dup_members(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, first_id) for every row whose content occurs more than once."""
-    hashed = documents.select(key, content_hash(text).alias("content_hash"))
+    """(key, first_id) for every row whose content occurs more than once; contents are read and hashed once."""
+    hashed = materialize(documents.select(key, content_hash(text).alias("content_hash")), "content-hashes")
     groups = hashed.groupBy("content_hash").agg(F.min(key).alias("first_id"), F.count("*").alias("n"))
     return hashed.join(groups.filter("n > 1"), "content_hash").select(key, "first_id")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -84,18 +85,25 @@ def unique_check(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def declared_unique_check(df: DataFrame, table: str) -> DataFrame:
-    """(table_name, key_columns, n_keys): keys in conflict, per declared unique constraint."""
+    """(table_name, key_columns, n_keys): keys in conflict, per declared unique constraint.
+
+    One pass for all keys of a table: every row gives each of its complete keys, as the texts of its values, and equal ones
+    are counted together, before the shuffle where they can.
+    """
     spec = TABLES[table]
-    counts = None
-    for columns in ((spec.key,), *spec.unique):
-        if not set(columns) <= set(df.columns):
-            continue
-        broken = unique_check(df, columns).agg(F.count("*").alias("n_keys"))
-        part = broken.select(F.lit(table).alias("table_name"), F.lit(",".join(columns)).alias("key_columns"), "n_keys")
-        counts = part if counts is None else counts.unionByName(part)
-    if counts is None:
+    keys = [k for k in ((spec.key,), *spec.unique) if set(k) <= set(df.columns)]
+    if not keys:
         raise ValueError(f"no unique column of {table} given")
-    return counts
+    given = []
+    for columns in keys:
+        whole = reduce(Column.__and__, (F.col(c).isNotNull() for c in columns))
+        values = F.array(*[F.col(c).cast("string") for c in columns])
+        given.append(F.when(whole, F.struct(F.lit(",".join(columns)).alias("key_columns"), values.alias("key"))))
+    held = df.select(F.explode(F.array_compact(F.array(*given))).alias("k")).groupBy("k.key_columns", "k.key").agg(F.count("*").alias("n"))
+    broken = held.groupBy("key_columns").agg(F.count_if(F.col("n") > 1).alias("n_keys"))
+    none = df.sparkSession.createDataFrame([(",".join(k), 0) for k in keys], "key_columns string, n_keys bigint")
+    every = broken.unionByName(none).groupBy("key_columns").agg(F.sum("n_keys").alias("n_keys"))
+    return every.select(F.lit(table).alias("table_name"), "key_columns", "n_keys")
 
 
 def orphan_check(sites: DataFrame, children: Mapping[str, DataFrame]) -> DataFrame:

@@ -154,7 +154,7 @@ def metrics_snapshot(
     """One `system_metrics` row: the catalog's counts, the resources in use, and the requests of the `minutes` before `as_of`.
 
     The window includes its start and not `as_of`. Samples of the host (memory, processor, disk, traffic) are null: they come
-    from its own agent. Four small aggregates, joined as single rows.
+    from its own agent. Four small aggregates, stacked and folded to one row.
     """
     now = ts(as_of)
     recent = request_log.filter((F.col("ts") >= now - F.make_dt_interval(mins=F.lit(minutes))) & (F.col("ts") < now))
@@ -164,9 +164,10 @@ def metrics_snapshot(
         resource_states.agg(F.count("*").alias("circuits_total"), F.count_if(F.col("state") != "dead").alias("circuits_active")),
         recent.agg(*request_aggregates(minutes)),
     ]
-    row = parts[0].withColumn("_one", F.lit(1))
+    stacked = parts[0]
     for part in parts[1:]:
-        row = row.join(part.withColumn("_one", F.lit(1)), "_one")
+        stacked = stacked.unionByName(part, allowMissingColumns=True)
+    row = stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
     return fill_defaults(row.withColumn("id", typed_id(key_type, F.lit("system_metrics"), now)), "system_metrics", as_of, add_missing=True)
 
 
