@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sitelode.llm.common import SHINGLE_WORDS, SIMILAR_PERCENT, words_of
 from sitelode.session import materialize
 
 
-def _shingles(df: DataFrame, keep: list[str], text: str, hashed: bool, out: str) -> DataFrame:
-    """One row per shingle position: a hash, or the shingle itself; a text of fewer words is one shingle."""
+def _shingles(df: DataFrame, keep: list[str], text: str, hashed: bool, out: str, shorter: Sequence[int] = ()) -> DataFrame:
+    """One row per shingle position: a hash, or the shingle itself; a text of fewer words is one shingle.
+
+    Runs of the `shorter` lengths are given as well, where a text has more words than they.
+    """
     words = df.select(*keep, words_of(F.col(text)).alias("_words")).filter(F.size("_words") > 0)
-    placed = words.select(
-        *keep, "_words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("_words") - SHINGLE_WORDS, F.lit(0)))).alias("_at")
-    )
-    parts = [F.get(F.col("_words"), F.col("_at") + i) for i in range(SHINGLE_WORDS)]
-    return placed.select(*keep, (F.xxhash64(*parts) if hashed else F.concat_ws(" ", *parts)).alias(out))
+
+    def runs(length: int, rows: DataFrame) -> DataFrame:
+        placed = rows.select(*keep, "_words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("_words") - length, F.lit(0)))).alias("_at"))
+        parts = [F.get(F.col("_words"), F.col("_at") + i) for i in range(length)]
+        return placed.select(*keep, (F.xxhash64(*parts) if hashed else F.concat_ws(" ", *parts)).alias(out))
+
+    every = runs(SHINGLE_WORDS, words)
+    for length in shorter:
+        every = every.unionByName(runs(length, words.filter(F.size("_words") > length)))
+    return every
 
 
 def size_class(size: Column) -> Column:
@@ -41,7 +51,8 @@ def contained_items(
 
     Returns doc_id, item_id, size_class, n_shingles (of the item), n_common. Shingles
     are five words, A-Z lower-cased; an item or document with fewer words is one
-    shingle, one without words has none and is in no pair. Null texts count as
+    shingle, one without words has none and is in no pair. An item of one to four words is contained where its words
+    stand in this order, at any place of a text: documents give runs of the lengths of such items, too. Null texts count as
     empty. Rows with a null id are searched like others; rows that share an id
     are one text with all their shingles, so repeated rows give one pair. Empty tables give no
     pairs. Other columns are not read.
@@ -55,6 +66,8 @@ def contained_items(
     shingles themselves. No document is ever collected with others into one group.
     """
     item = items.select(F.col(item_id).alias("_item"), F.col(text).alias("_text"))
+    sizes_below = item.select(F.size(words_of(F.col("_text"))).alias("n")).filter((F.col("n") > 0) & (F.col("n") < SHINGLE_WORDS)).distinct()
+    shorter = sorted(r.n for r in sizes_below.collect())  # four lengths at most
     wanted = materialize(
         _shingles(item, ["_item"], "_text", False, "_shingle").distinct(), "item-shingles"
     )
@@ -67,13 +80,13 @@ def contained_items(
         "item-sketches",
     )
     doc = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
-    hashes = _shingles(doc, ["_doc"], "_text", True, "_hash")
+    hashes = _shingles(doc, ["_doc"], "_text", True, "_hash", shorter)
     found = materialize(
         hashes.join(sketch, "_hash").select("_doc", "_item", "size_class").distinct(), "candidates"
     )
     known = found.select("_doc").distinct().withColumnRenamed("_doc", "_known")
     texts = doc.join(known, doc["_doc"].eqNullSafe(known["_known"]), "left_semi")
-    exact = _shingles(texts, ["_doc"], "_text", False, "_shingle").distinct()
+    exact = _shingles(texts, ["_doc"], "_text", False, "_shingle", shorter).distinct()
     per_item = wanted.join(sizes.withColumnRenamed("_item", "_of"), wanted["_item"].eqNullSafe(F.col("_of"))).drop("_of")
     common = (
         exact.join(per_item, "_shingle").groupBy("_doc", "_item", "n_shingles").agg(F.count("*").alias("n_common"))

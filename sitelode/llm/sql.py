@@ -49,7 +49,11 @@ link AS (SELECT a, b FROM both_have JOIN n x ON x.doc_id = a JOIN n y ON y.doc_i
 {_components('documents', 'doc_id')}
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, low AS component_id FROM documents d JOIN component ON node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
 
-OP8 = f"""WITH {_shingles('g', 'doc_id', 'documents')}, {_shingles('i', 'item_id', 'benchmark')},
+# Items of fewer than five words are searched as runs of their own length.
+OP8 = f"""WITH {_shingles('g5', 'doc_id', 'documents')}, {_shingles('i', 'item_id', 'benchmark')},
+short AS (SELECT DISTINCT len({_WORDS}) AS l FROM benchmark WHERE len({_WORDS}) BETWEEN 1 AND 4),
+g AS (SELECT * FROM g5 UNION SELECT doc_id, unnest(list_transform(range(1, len(w) - l + 2), lambda i: array_to_string(w[i:i + l - 1], ' ')))
+    FROM (SELECT doc_id, {_WORDS} AS w FROM documents), short WHERE len(w) > l),
 n AS (SELECT item_id, count(*) AS n_shingles FROM i GROUP BY item_id)
 SELECT doc_id, item_id, floor(log2(n_shingles))::INT AS size_class, n_shingles, count(*) AS n_common
 FROM g JOIN i USING (s) JOIN n USING (item_id) GROUP BY ALL HAVING 100 * count(*) >= 75 * n_shingles"""
