@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,15 @@ END_ID = 2
 SHARD_TOKENS = 1 << 20
 BLOCK = 512
 CACHED_WORDS = 1_200_000
+#: A sign set between words that are encoded together, and how many are.
+BETWEEN, TOGETHER = "\x01", 64
+#: What a token that ends a word ends with, in vocabularies of whole words.
+WORD_END = "</w>"
+#: Texts by which a tokenizer shows whether a text's ids are those of its words.
+PROBES = (
+    "The quick brown Fox. It's 3.14, a_b-c!", "  Tab\there\n\nnew  line.\r\n ", "x. A1. don't, 'll", "NA\u00cfVE \u00fcber. Stra\u00dfe,", "", " ",
+    "<b>bold</b> www.a.b/c?d=1,", "12,000.50. e.g. U.S.A.", "\u4e2d\u6587 \U0001f600. \u0416\u0436,",
+)
 
 
 class WaveletMatrix:
@@ -92,10 +103,29 @@ class WaveletMatrix:
         at = np.arange(*self._range(value, 0, self.length))
         for level in reversed(range(self.levels)):
             one = value >> (self.levels - 1 - level) & 1
-            bits = np.unpackbits(self.planes[level], bitorder="little")[: self.length]
-            at = np.flatnonzero(bits == one)[at - (self.zeros[level] if one else 0)]
+            at = self.select(level, one, at - (self.zeros[level] if one else 0))
         return at
 
+    def select(self, level: int, bit: int, number: np.ndarray) -> np.ndarray:
+        """Places of the bits of a plane with the given numbers, counted from 0 among the ones or zeros.
+
+        The block of each is found by binary search in `ranks`, its place inside by counting the bits of that block, so a look-up
+        costs the same in a long plane as in a short one. Where more bits are asked for than there are blocks, the plane is unpacked once instead.
+        """
+        number = np.asarray(number, dtype=np.int64)
+        if len(number) > len(self.ranks[level]):
+            bits = np.unpackbits(self.planes[level], bitorder="little")[: self.length]
+            return np.flatnonzero(bits == bit)[number]
+        before = self.ranks[level].astype(np.int64)
+        before = before if bit else np.minimum(np.arange(len(before)) * BLOCK, self.length) - before
+        block = np.searchsorted(before, number, side="right") - 1
+        width, plane = BLOCK // 8, self.planes[level]
+        spread = (block * width)[:, None] + np.arange(width)
+        raw = np.where(spread < len(plane), plane[np.minimum(spread, len(plane) - 1)], 0) if len(number) else np.zeros((0, width))
+        bits = np.unpackbits(raw.astype(np.uint8), axis=1, bitorder="little") == bit
+        inside = (np.cumsum(bits, axis=1) <= (number - before[block])[:, None]).sum(axis=1)
+        return block * BLOCK + inside
+
     def decode(self) -> np.ndarray:
         """All ids in order: the stable partitions undone from the lowest plane up."""
         kind = np.uint16 if self.levels <= 16 else np.uint32
@@ -115,20 +145,44 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def word_encoder(path: str, end_id: int) -> WordEncoder:
+def text_encoder(path: str, end_id: int) -> WordEncoder | TextEncoder:
     """The encoder of this worker process: tasks that follow each other keep its words.
 
-    It hangs on the tokenizers module, which lives as long as the process does.
+    It is kept in a module of its own name, which lives as long as the process does; this module's code travels with each task.
+    A tokenizer whose ids of the probes are not those of their words encodes whole texts.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     import tokenizers
 
-    kept = vars(tokenizers).setdefault("_word_encoders", {})
+    kept = vars(sys.modules.setdefault("sitelode_kept_encoders", ModuleType("sitelode_kept_encoders")))
     if (path, end_id) not in kept:
-        kept[path, end_id] = WordEncoder(tokenizers.Tokenizer.from_file(path), end_id)
+        tokenizer = tokenizers.Tokenizer.from_file(path)
+        whole, probes = TextEncoder(tokenizer, end_id), pa.array(PROBES)
+        by_words = WordEncoder(tokenizer, end_id)
+        same = all(np.array_equal(x, y) for x, y in zip(whole(probes), by_words(probes)))
+        kept[path, end_id] = by_words if same else whole
     return kept[path, end_id]
 
 
+def _strings(array: pa.Array) -> list[str]:
+    """Texts without nulls as Python strings, faster than value by value."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
+class TextEncoder:
+    """Ids of whole texts, for any tokenizer."""
+
+    def __init__(self, tokenizer, end_id: int):
+        self.encode, self.end_id = tokenizer.encode_batch, end_id
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and the number of ids of each text, the end id included."""
+        coded = [e.ids for e in self.encode([t or "" for t in texts.to_pylist()], add_special_tokens=False)]
+        lengths = np.fromiter((len(c) + 1 for c in coded), np.int64, len(coded))
+        flat = np.fromiter(chain.from_iterable((*c, self.end_id) for c in coded), np.uint32, int(lengths.sum()))
+        return flat, lengths
+
+
 class WordEncoder:
     """Ids of whole texts through the ids of their words.
 
@@ -143,6 +197,12 @@ class WordEncoder:
 
     def __init__(self, tokenizer, end_id: int):
         self.encode, self.end_id = tokenizer.encode_batch, end_id
+        sign = tokenizer.encode(BETWEEN, add_special_tokens=False).ids
+        self.between = sign[0] if len(sign) == 1 else None
+        # ids that end a word, in vocabularies that tell; runs of letters are one such word each
+        vocabulary = tokenizer.get_vocab()
+        self.ending = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ending[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self._forget()
 
     def _forget(self) -> None:
@@ -162,6 +222,29 @@ class WordEncoder:
         shifts += np.arange(len(shifts), dtype=np.int32)
         return self.flat[shifts], ends
 
+    def _together(self, new: list[str], between: str) -> np.ndarray:
+        joined = [between.join([*new[i : i + TOGETHER], ""]) for i in range(0, len(new), TOGETHER)]
+        return np.fromiter(chain.from_iterable(e.ids for e in self.encode(joined, add_special_tokens=False)), np.uint32)
+
+    def _letters(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words that are runs of letters: many in one text, each up to the id that ends a word."""
+        flat = self._together(new, " ")
+        closing = np.flatnonzero(self.ending[flat])
+        if len(closing) == len(new) and (not len(flat) or closing[-1] == len(flat) - 1):
+            return flat, np.diff(closing, prepend=-1)
+        return self._encoded(new)
+
+    def _encoded(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words: many in one text with a sign between them, whose id no other word has; one by one where a word has it."""
+        if self.between is not None:
+            flat = self._together(new, f" {BETWEEN} ")
+            closing = np.flatnonzero(flat == self.between)
+            if len(closing) == len(new):
+                return flat[flat != self.between], np.diff(closing, prepend=-1) - 1
+        coded = [e.ids for e in self.encode(new, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
+        return np.fromiter(chain.from_iterable(coded), np.uint32, int(lengths.sum())), lengths
+
     def _learn(self, words_now: list[str]) -> None:
         given = pa.array(words_now, pa.large_string())
         ended = pc.match_substring_regex(given, "[A-Za-z0-9][.,]$")
@@ -169,13 +252,13 @@ class WordEncoder:
         foldable = pc.and_(pc.string_is_ascii(given), pc.invert(pc.match_substring(given, "<")))
         stem = pc.if_else(foldable, pc.ascii_lower(cut), cut)
         other = pc.not_equal(stem, given)
-        plain, whole = given.filter(pc.invert(other)).to_pylist(), given.filter(other).to_pylist()
-        stems = stem.filter(other).to_pylist()
-        tails = [w[-1] if e else "" for w, e in zip(whole, ended.filter(other).to_pylist())]
+        plain, whole, stems = (_strings(a) for a in (given.filter(pc.invert(other)), given.filter(other), stem.filter(other)))
+        tails = [w[-1] if e else "" for w, e in zip(whole, ended.filter(other).to_numpy(zero_copy_only=False).tolist())]
         new = [w for w in dict.fromkeys([*plain, *stems, ".", ","]) if w not in self.numbers]
-        coded = [e.ids for e in self.encode(new, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-        self._add(new, np.fromiter(chain.from_iterable(coded), np.uint32, int(lengths.sum())), lengths)
+        letters = [w for w in new if w.isalpha() and w.islower()]
+        self._add(letters, *self._letters(letters))
+        others = [w for w in new if not (w.isalpha() and w.islower())]
+        self._add(others, *self._encoded(others))
         if whole:
             pairs = np.empty(2 * len(whole), np.int64)
             pairs[0::2] = [self.numbers[w] for w in stems]
@@ -186,11 +269,15 @@ class WordEncoder:
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text, the end id included."""
         places, distinct, offsets = words(texts, lower=False)
-        known = distinct.to_pylist()
+        known = _strings(distinct)
         if len(self.numbers) + len(known) > CACHED_WORDS:
             self._forget()
-        self._learn([w for w in known if w not in self.numbers])
-        number = np.fromiter(map(self.numbers.__getitem__, known), np.int64, len(known))
+        found = list(map(self.numbers.get, known))
+        missing = [i for i, n in enumerate(found) if n is None]
+        self._learn([known[i] for i in missing])
+        for i in missing:
+            found[i] = self.numbers[known[i]]
+        number = np.array(found, np.int64)
         n_texts = len(offsets) - 1
         closing = offsets[1:] + np.arange(n_texts)
         ended = np.full(len(places) + n_texts, self.END, np.int64)
@@ -202,7 +289,7 @@ class WordEncoder:
 
 
 def _shard_rows(batches: Iterable[pa.RecordBatch], path: str, end_id: int, levels: int, most: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    encoder, part, number = word_encoder(path, end_id), TaskContext.get().partitionId(), 0
+    encoder, part, number = text_encoder(path, end_id), TaskContext.get().partitionId(), 0
     held: list[tuple[list, np.ndarray, np.ndarray]] = []
 
     def close() -> pa.RecordBatch:
@@ -244,7 +331,8 @@ def write_tokens(
     that, four megabytes of text and one longest text. An empty table writes no shard; null texts have just
     the end id; null ids come first; repeated ids are kept, ordered by text. Other columns are not read.
 
-    Texts are range-partitioned by id first, so that each is encoded once, in the task that writes it.
+    Texts are range-partitioned by id first, so that each is encoded once, in the task that writes it. Any tokenizer file of
+    the tokenizers library will do; one whose ids of a text are not those of its words encodes whole texts, which takes longer.
     """
     chosen = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     ranged = chosen.repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")

@@ -66,7 +66,7 @@ def test_wavelet_matrix_round_trip(length):
 
 TOKEN_TEXTS = [
     None, "", "  ", "Plain words. Again, words!", "Don't 'S it's 4.0. a.. , . ...", "<|endoftext|> x<|ENDOFTEXT|>. <|startoftext|>,",
-    "É. é é. ΑΣ. Σ İ. ß", "a b　c\u0085d\x1ce", "日本語。テキスト.", "word " * 9000, "x" * 5000, "\U0001f600. \U0001f600,",
+    "É. é é. ΑΣ. Σ İ. ß", "a b　c\u0085d\x1ce", "日本語。テキスト.", "a\x01b c\x01 \x01 d", "word " * 9000, "x" * 5000, "\U0001f600. \U0001f600,",
 ]
 
 
@@ -92,6 +92,34 @@ def test_tokens_equal_whole_text_encoding(spark, tmp_path):
     assert wavelet.read_documents(spark, empty).count() == 0
 
 
+def test_another_tokenizer_encodes_whole_texts(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = wavelet.tokenizer_path("byte_bpe_50k.json")
+    rows = [(i, t) for i, t in enumerate(["two  words. Cases DIFFER", "two words", None, " leading", "<|endoftext|>.", "x\x01y \x01"])]
+    wavelet.write_tokens(spark.createDataFrame(rows, DOCS), str(tmp_path / "t"), tokenizer=path)
+    got = {r.doc_id: r.ids_crc32 for r in wavelet.read_documents(spark, str(tmp_path / "t")).collect()}
+    plain = Tokenizer.from_file(path)
+    for i, text in rows:
+        ids = plain.encode(text or "", add_special_tokens=False).ids + [2]
+        assert got[i] == zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert type(wavelet.text_encoder(path, 2)) is wavelet.TextEncoder
+    assert type(wavelet.text_encoder(wavelet.tokenizer_path(), 2)) is wavelet.WordEncoder
+
+
+@pytest.mark.parametrize("length", [1, 511, 512, 513, 4000])
+def test_select_is_the_inverse_of_rank(length):
+    ids = np.random.default_rng(length).integers(0, 5, length).astype(np.uint16)
+    matrix = wavelet.WaveletMatrix(length, *wavelet.WaveletMatrix.build(ids, 3))
+    for level in range(3):
+        bits = np.unpackbits(matrix.planes[level], bitorder="little")[:length]
+        for bit in (0, 1):
+            places = np.flatnonzero(bits == bit)
+            for number in ([0], [len(places) - 1], [len(places) // 2], range(len(places))):
+                if len(places):
+                    assert matrix.select(level, bit, np.array(number)).tolist() == places[np.array(number)].tolist()
+
+
 def test_null_and_repeated_ids_keep_their_tokens(spark, tmp_path):
     rows = [(None, "b"), (4, "x y"), (4, "x y"), (4, "a"), (None, None)]
     wavelet.write_tokens(spark.createDataFrame(rows, DOCS), str(tmp_path / "t"))
@@ -214,6 +242,10 @@ def test_sample_is_bounded_after_the_join_and_holds_no_texts(spark, monkeypatch)
     known = spark.createDataFrame(rows, DOCS + ", toxic int, lang string")
     given, fit = [], toxicity.train
     monkeypatch.setattr(toxicity, "train", lambda *a: given.append(a) or fit(*a))
+    in_task = toxicity._trained
+    models = []
+    # the same sample once more in this process, where the call can be seen
+    monkeypatch.setattr(toxicity, "_trained", lambda sample: models.extend([in_task(sample), toxicity._train_table(sample.toArrow())]) or models[0])
     labels = known.select("doc_id", "toxic").distinct()
     toxicity.fit_sample(labels, known.select("doc_id", "text", "lang"), rows=20)
     places, word, prefix, offsets, toxic = given[0]
@@ -224,6 +256,23 @@ def test_sample_is_bounded_after_the_join_and_holds_no_texts(spark, monkeypatch)
     assert (got[:, [1, 3]] == calm).all() and (got[:, 2] == np.where(toxic == 1, nasty, kind)).all()
     assert (prefix[places].reshape(40, 4)[:, 1] == prefix_of[known_words][0]).all()
     assert toxicity.SAMPLE_ROWS == 3000
+    texts = pa.array([r[1] for r in rows[:50]], pa.large_string())
+    assert np.allclose(models[0].raw(texts), models[1].raw(texts), atol=1e-4)  # trained in a task or here
+
+
+def test_a_language_of_few_rows_moves_its_threshold_little(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(3000):  # in French a milder word is already toxic
+        lang = "fr" if i % 40 < (1 if i < 1500 else 20) else "en"
+        toxic = i % 3 == 0
+        rows.append((i, " ".join(rng.choices(["calm", "kind", "mild"], k=8) + (["rude"] if toxic or rng.random() < 0.1 else [])), int(toxic), lang))
+    cuts = {}
+    for most in (1500, 3000):
+        known = spark.createDataFrame(rows[:most], DOCS + ", toxic int, lang string")
+        model = toxicity.fit_sample(known.select("doc_id", "toxic"), known.select("doc_id", "text", "lang"), rows=100)
+        cuts[most] = model.thresholds
+    assert all(0 < t < 1 for c in cuts.values() for t in c.values()) and "fr" in cuts[1500] and "fr" in cuts[3000]
 
 
 def test_calibration_weights_unseen_rows_by_the_whole_class():
