@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -24,7 +25,8 @@ STEPS, BATCH, RATE = 900, 32, 0.01
 CALIBRATION_EVERY = 5
 #: Bins of the raw output per unit, and where it is clipped.
 BINS, LIMIT = 64, 64
-LEAST_PER_LANGUAGE = 20
+#: Rows of its smaller class after which a language's own cut counts as much as the common one.
+HALF_TRUST_ROWS = 20
 
 
 def buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -127,6 +129,8 @@ def calibrate(model: ToxicityModel, labels: DataFrame, docs: DataFrame) -> None:
     `labels` has (_key, _label, _seen), `docs` (_key, _text, _lang). All documents are scored where they are read, and
     only key, language and bin of the raw output are shuffled. The counts by language, class and bin are summed in Spark.
     The rows not trained on stand for their whole class, so that class shares are those of all labels.
+    A language's cut is drawn towards the common one, by n / (n + HALF_TRUST_ROWS) of the way for n rows of its smaller class
+    outside the training; so few rows move it little, and no number of rows switches it on.
     """
     schema = docs.select("_key", "_lang").schema.add("_bin", "integer")
 
@@ -145,11 +149,14 @@ def calibrate(model: ToxicityModel, labels: DataFrame, docs: DataFrame) -> None:
         return
     model.centre = everything.cut()
     number = [F.sum(F.when((F.col("_label") == v) & ~F.col("_seen"), F.col("_n")).otherwise(0)) for v in (0, 1)]
-    ample = counts.groupBy("_lang").agg(F.least(*number).alias("_least")).filter(F.col("_least") >= LEAST_PER_LANGUAGE)
-    spoken = counts.join(ample, "_lang", "left_semi").toArrow()
+    both = counts.groupBy("_lang").agg(F.least(*number).alias("_least")).filter(F.col("_least") > 0)
+    spoken = counts.join(both, "_lang").toArrow()
     for language in sorted(pc.unique(spoken["_lang"]).to_pylist()):
-        cut = Counts(spoken.filter(pc.equal(spoken["_lang"], language))).cut(model.centre)
-        model.thresholds[language] = THRESHOLD if cut == model.centre else float(model.shown(np.array([cut]))[0])
+        mine = spoken.filter(pc.equal(spoken["_lang"], language))
+        trust = mine["_least"][0].as_py() / (mine["_least"][0].as_py() + HALF_TRUST_ROWS)
+        cut = Counts(mine).cut(model.centre)
+        shrunk = model.centre + trust * (cut - model.centre)
+        model.thresholds[language] = THRESHOLD if cut == model.centre else float(model.shown(np.array([shrunk]))[0])
 
 
 def raw_bins(raw: np.ndarray) -> np.ndarray:
@@ -240,6 +247,12 @@ def _fit(model, places, word, prefix, offsets, toxic, chosen, rng) -> None:
         model.out_bias -= RATE * error.sum() * 4
 
 
+#: A sampled text: the order and tie of its key, and what `_coded` makes of it.
+SAMPLE = pa.schema(
+    [("_order", pa.int64()), ("_label", pa.int32()), ("_tie", pa.int64())] + [(n, pa.list_(pa.int32())) for n in ("_places", "_word", "_prefix")]
+)
+
+
 def _coded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text as the number of the distinct word at each place, and word and prefix bucket of its distinct words."""
     for batch in batches:
@@ -255,6 +268,38 @@ def _coded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _train_in_task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The whole sample, bounded by its rows, in; the weights as named arrays out."""
+    model = _train_table(pa.Table.from_batches(list(batches), SAMPLE))
+    named = {"word": model.word, "prefix": model.prefix, "bias": model.filter_bias, "out": model.out, "out_bias": np.array([model.out_bias])}
+    named |= {f"filters{i}": values for i, values in enumerate(model.filters)}
+    packed = []
+    for values in named.values():
+        np.save(file := io.BytesIO(), values)
+        packed.append(file.getvalue())
+    yield pa.RecordBatch.from_arrays([pa.array(list(named)), pa.array(packed, pa.binary())], names=["name", "data"])
+
+
+def _train_table(sample: pa.Table) -> ToxicityModel:
+    sample = sample.take(np.lexsort([sample[c].to_numpy() for c in ("_tie", "_label", "_order")])).combine_chunks()
+    toxic = sample["_label"].to_numpy().astype(np.int64)
+    word, prefix = (pc.list_flatten(sample[c]).to_numpy().astype(np.int64) for c in ("_word", "_prefix"))
+    lengths, distinct = (pc.list_value_length(sample[c]).to_numpy().astype(np.int64) for c in ("_places", "_word"))
+    places = pc.list_flatten(sample["_places"]).to_numpy().astype(np.int64) + np.repeat(np.cumsum(distinct) - distinct, lengths)
+    return train(places, word, prefix, np.concatenate([[0], np.cumsum(lengths)]), toxic)
+
+
+def _trained(sample: DataFrame) -> ToxicityModel:
+    """Train in one task on the written sample; about 13 MB of weights come back."""
+    rows = sample.coalesce(1).mapInArrow(_train_in_task, "name string, data binary").toArrow().to_pylist()
+    if not rows:  # no file, no task
+        return _train_table(SAMPLE.empty_table())
+    named = {r["name"]: np.load(io.BytesIO(r["data"])) for r in rows}
+    return ToxicityModel(
+        named["word"], named["prefix"], [named[f"filters{i}"] for i in range(len(WIDTHS))], named["bias"], named["out"], float(named["out_bias"][0])
+    )
+
+
 def fit_sample(
     labels: DataFrame, docs: DataFrame, *, label: str = "toxic", text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = SAMPLE_ROWS
 ) -> ToxicityModel:
@@ -262,8 +307,8 @@ def fit_sample(
 
     The sample is at most `rows` documents of each class, by the hash of `key`, from four fifths of the keys (from all,
     if these lack a class); documents that repeat a key count each. The sampled keys, at most twice `rows`, are broadcast
-    to find their texts. Texts stay in their tasks: bucket numbers of the sampled ones are all that is shuffled and
-    reaches the driver, 4 bytes a word and 8 a distinct word of a text. See `calibrate` for the thresholds.
+    to find their texts. Texts stay in their tasks: bucket numbers of the sampled ones, 4 bytes a word and 8 a distinct
+    word of a text, are written, one task trains on them, and the weights are all that reaches the driver. See `calibrate` for the thresholds.
     Labels other than 0 and 1, null keys and labels without a text are left out; a null text is an empty one.
     Without texts of both classes the model scores all texts alike.
     """
@@ -282,21 +327,12 @@ def fit_sample(
             _coded, "_order bigint, _label int, _tie bigint, _places array<int>, _word array<int>, _prefix array<int>"
         )
         kept = [coded.filter(F.col("_label") == v).orderBy("_order", "_tie").limit(rows) for v in (1, 0)]
-        sample = kept[0].unionByName(kept[1]).toArrow().combine_chunks()
-        sample = sample.take(np.lexsort([sample[c].to_numpy() for c in ("_tie", "_label", "_order")]))
-        toxic = sample["_label"].to_numpy().astype(np.int64)
-        if 0 < toxic.sum() < len(toxic):
+        sample = materialize(kept[0].unionByName(kept[1]), "toxicity-sample")
+        last = {r["_label"]: r["last"] for r in sample.groupBy("_label").agg(F.max("_order").alias("last")).collect()}
+        if len(last) == 2:
             break
-    order = sample["_order"].to_numpy()
-    word, prefix = (pc.list_flatten(sample[c]).to_numpy().astype(np.int64) for c in ("_word", "_prefix"))
-    lengths, distinct = (pc.list_value_length(sample[c]).to_numpy().astype(np.int64) for c in ("_places", "_word"))
-    places = pc.list_flatten(sample["_places"]).to_numpy().astype(np.int64) + np.repeat(np.cumsum(distinct) - distinct, lengths)
-    del sample
-    model = train(places, word, prefix, np.concatenate([[0], np.cumsum(lengths)]), toxic)
-    del places, word, prefix
-    pa.default_memory_pool().release_unused()
-    if 0 < toxic.sum() < len(toxic):
-        last = [int(order[toxic == v].max()) for v in (0, 1)]
+    model = _trained(sample)
+    if len(last) == 2:
         seen = F.col("_order") <= F.when(F.col("_label") == 1, last[1]).otherwise(last[0])
         calibrate(model, known.withColumn("_seen", seen & F.col("_open") if open_only else seen), found)
     return model
