@@ -51,12 +51,16 @@ def light_boundary(list_length: float, percent: int) -> int:
     return size
 
 
-def _signatures(values, offsets, hot: np.ndarray, light: int, percent: int) -> tuple[list, list, list]:
-    """Fingerprint, counted prefix keys and free keys of every set.
+#: The mark of a posting is its place in the set times KINDS, plus the kind of its key in the common order, subsets before all.
+KINDS = 4
+
+
+def _signatures(values, offsets, hot: np.ndarray, light: int, percent: int) -> tuple[list, tuple, tuple]:
+    """Fingerprint, counted prefix keys and free keys of every set, keys with their marks.
 
     The common order is: counted shingles that are not hot, then uncounted ones,
     then hot ones, each by hash. Keys outside the counted part are free: prefix
-    shingles of the last two kinds, and subsets of small sets.
+    shingles of the last two kinds, and subsets of small sets. In sets so small that a partner may post subsets all places count as the first.
     """
     n = np.diff(offsets)
     owner = np.repeat(np.arange(len(n)), n)
@@ -67,17 +71,21 @@ def _signatures(values, offsets, hot: np.ndarray, light: int, percent: int) -> t
     posts = n >= ceil(percent * (light + 1) / 100)
     chosen = (rank < prefix_length(n, percent)[owner]) & posts[owner]
     picked_owner, picked, picked_kind = owner[chosen], values[order][chosen], kind[order][chosen]
+    marks = (np.where(n[owner] <= 2 * MOST_LIGHT, 0, rank)[chosen] * KINDS + picked_kind + 1).astype(np.int32)
     free: list[list[int]] = [[] for _ in range(len(n))]
+    free_marks: list[list[int]] = [[] for _ in range(len(n))]
     for i in np.flatnonzero((n > 0) & (n <= light)).tolist():
         members = values[offsets[i] : offsets[i + 1]]
         for size in overlap_sizes(int(n[i]), percent):
             free[i] += [int(chain(np.concatenate([[np.uint64(size)], s]), size + 1)[0]) for s in map(np.array, combinations(members, size))]
-    for i, key in zip(picked_owner[picked_kind > 0].tolist(), picked[picked_kind > 0].tolist()):
+        free_marks[i] = [0] * len(free[i])
+    late = picked_kind > 0
+    for i, key, mark in zip(picked_owner[late].tolist(), picked[late].tolist(), marks[late].tolist()):
         free[i].append(key)
-    counts = np.bincount(picked_owner[picked_kind == 0], minlength=len(n))
-    keys = picked[picked_kind == 0]
+        free_marks[i].append(mark)
+    counts = np.bincount(picked_owner[~late], minlength=len(n))
     prints = [xxhash.xxh3_128_digest(values[offsets[i] : offsets[i + 1]].tobytes()) for i in range(len(n))]
-    return prints, [keys, counts], free
+    return prints, (picked[~late], marks[~late], counts), (free, free_marks)
 
 
 def _listed(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
@@ -91,8 +99,8 @@ def _signed(value: np.ndarray) -> np.ndarray:
     return value.astype(np.uint64).view(np.int64)
 
 
-def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(_signed(flat)))
+def _lists(flat: pa.Array, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), flat)
 
 
 def _hot_keys(counts: DataFrame) -> np.ndarray:
@@ -108,7 +116,7 @@ def _hot_keys(counts: DataFrame) -> np.ndarray:
 
 
 def _members(docs: DataFrame, length: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Profiles (row, doc_id, n, print) of all texts, and (key, row, n) where at least two rows share a key."""
+    """Profiles (row, doc_id, n, print) of all texts, and (key, mark, row, n) where at least two rows share a key."""
     def shingle_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch):
@@ -146,26 +154,32 @@ def _members(docs: DataFrame, length: int, percent: int) -> tuple[DataFrame, Dat
         for batch in batches:
             for piece in slices(batch):
                 values, offsets = shingle_sets(piece.column("text"), length)
-                prints, (keys, key_counts), free = _signatures(values, offsets, hot, light, percent)
+                prints, (keys, marks, key_counts), (free, free_marks) = _signatures(values, offsets, hot, light, percent)
                 flat_free = np.fromiter((k for f in free for k in f), np.uint64)
+                flat_marks = np.fromiter((m for f in free_marks for m in f), np.int32)
+                free_counts = np.array([len(f) for f in free], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         piece.column("doc_id"), pa.array(np.diff(offsets)), pa.array(prints, pa.binary()),
-                        _lists(keys, key_counts), _lists(flat_free, np.array([len(f) for f in free], dtype=np.int64)),
+                        _lists(pa.array(_signed(keys)), key_counts), _lists(pa.array(marks), key_counts),
+                        _lists(pa.array(_signed(flat_free)), free_counts), _lists(pa.array(flat_marks), free_counts),
                     ],
-                    names=["doc_id", "n", "print", "keys", "free"],
+                    names=["doc_id", "n", "print", "keys", "marks", "free", "free_marks"],
                 )
 
     signatures = materialize(
-        docs.mapInArrow(signed, "doc_id bigint, n bigint, print binary, keys array<bigint>, free array<bigint>")
+        docs.mapInArrow(
+            signed, "doc_id bigint, n bigint, print binary, keys array<bigint>, marks array<int>, free array<bigint>, free_marks array<int>"
+        )
         .withColumn("row", F.monotonically_increasing_id()),
         "signatures",
     )
     profiles = signatures.select("row", "doc_id", "n", "print")
-    counted = signatures.select("row", "n", F.explode("keys").alias("key")).join(counts.select("key"), "key")
-    free = signatures.select("row", "n", F.explode("free").alias("key"))
+    posted = ("key", "mark", "row", "n")
+    counted = signatures.select("row", "n", F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("marks").alias("mark")))).join(counts.select("key"), "key")
+    free = signatures.select("row", "n", F.inline(F.arrays_zip(F.col("free").alias("key"), F.col("free_marks").alias("mark"))))
     shared = free.groupBy("key").agg(F.min("row").alias("_a"), F.max("row").alias("_b")).filter("_a < _b").select("key")
-    return profiles, counted.select("key", "row", "n").unionByName(free.join(shared, "key").select("key", "row", "n"))
+    return profiles, counted.select(*posted).unionByName(free.join(shared, "key").select(*posted))
 
 
 def _size_fits(a: str, b: str, percent: int):
@@ -173,15 +187,19 @@ def _size_fits(a: str, b: str, percent: int):
 
 
 def _distinct_lists(postings: DataFrame) -> DataFrame:
-    """Postings (key, row, n, times) with one key for all keys that have the same rows; `times` counts them.
+    """Postings (key, row, n, mark, times) with one key for all keys that have the same rows; `times` counts them.
 
     The shingles of a passage have nearly all the same list. Lists are the same
-    when size, sum and exclusive or of the hashes of their rows are.
+    when size, sum and exclusive or of the hashes of their rows are. The key that
+    stays is the first in the common order, where every row has its best place.
     """
     lists = postings.groupBy("key").agg(
-        F.count("*").alias("_n"), F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("_sum"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("_xor")
+        F.count("*").alias("_n"), F.sum(F.xxhash64("row").cast("decimal(20,0)")).alias("_sum"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("_xor"),
+        F.min(F.col("mark") % KINDS).alias("_kind"),
     ).filter("_n > 1")
-    kept = lists.groupBy("_n", "_sum", "_xor").agg(F.min("key").alias("key"), F.count("*").alias("times"))
+    # keys of one kind are ordered as unsigned numbers
+    earliest = F.min(F.struct("_kind", F.col("key").bitwiseXOR(F.lit(-(2**63))).alias("order"), "key"))["key"]
+    kept = lists.groupBy("_n", "_sum", "_xor").agg(earliest.alias("key"), F.count("*").alias("times"))
     return postings.join(kept.select("key", "times"), "key")
 
 
@@ -277,7 +295,9 @@ def linked_texts(
     rounds check every set of a list against one centre of the list; then only
     sets of one list that are still in different components are checked with each other.
     So every link between components is found, and a large group of copies costs as
-    much as it has members.
+    much as it has members. These pairs are made only at a shingle that can be the first they share: what both
+    sets hold from its place on must reach the overlap that their sizes need. So sets that have a common passage, but too
+    much else to be linked, never meet, however many they are.
     """
     docs = df.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     profiles, raw = _members(docs, length, percent)
@@ -285,7 +305,7 @@ def linked_texts(
     first = full.groupBy("print").agg(F.min("row").alias("set"))
     of_set = materialize(full.join(first, "print").select("row", "set"), "sets-of-rows")
     sets = full.join(first.select(F.col("set").alias("row")), "row").select("row", "doc_id", "print")
-    by_set = raw.join(of_set, "row").select("key", F.col("set").alias("row"), "n").distinct()
+    by_set = raw.join(of_set, "row").select("key", F.col("set").alias("row"), "n", "mark").distinct()
     members = materialize(by_set, "postings")
     members = materialize(_distinct_lists(members), "shared-postings")
     links, checked = None, None
@@ -294,7 +314,7 @@ def linked_texts(
         placed = members if component is None else members.join(
             component.select(F.col("node").alias("row"), "component"), "row", "left"
         )
-        placed = placed.withColumn("c", F.col("row") if component is None else F.coalesce("component", "row")).select("key", "row", "n", "times", "c")
+        placed = placed.withColumn("c", F.col("row") if component is None else F.coalesce("component", "row")).select("key", "row", "n", "mark", "c")
         if component is not None:
             placed = materialize(placed, "placed")
             open_keys = placed.groupBy("key").agg(F.min("c").alias("_a"), F.max("c").alias("_b")).filter("_a < _b").select("key")
@@ -306,13 +326,23 @@ def linked_texts(
             pairs = _ordered(met, "row", "n", "m.row", "m.n").distinct()
             found = _shared_counts(pairs, members)
         else:
-            kinds = placed.select("key", "c").distinct()
-            meet = kinds.join(kinds.select("key", F.col("c").alias("d")), "key").filter("c < d")
-            one = placed.select("key", "c", "times", F.col("row").alias("x"), F.col("n").alias("nx"))
-            other = placed.select("key", F.col("c").alias("d"), F.col("row").alias("y"), F.col("n").alias("ny"))
-            met = meet.join(one, ["key", "c"]).join(other, ["key", "d"]).filter(_size_fits("nx", "ny", percent))
-            # every list that two sets of different components share is among these
-            found = _ordered(met, "x", "nx", "y", "ny", "times").groupBy("a", "na", "b", "nb").agg(F.sum("times").alias("shared"))
+            # what a set holds from the place of the shingle on
+            rest = (F.col("n") - F.floor(F.col("mark") / KINDS)).alias("rest")
+            after = placed.select("key", "c", "row", "n", rest)
+            # the smaller of a pair shares at least this with a partner of its own size
+            small = after.filter(F.col("rest") * (100 + percent) >= F.col("n") * (2 * percent)).select(
+                "key", "c", F.col("row").alias("x"), F.col("n").alias("nx"), F.col("rest").alias("rest_x")
+            )
+            large = after.select("key", F.col("c").alias("d"), F.col("row").alias("y"), F.col("n").alias("ny"), F.col("rest").alias("rest_y"))
+            # first the components whose sizes and rests fit at all, then their sets
+            of_small = small.groupBy("key", "c").agg(F.min("nx").alias("least_x"), F.max("nx").alias("most_x"), F.max("rest_x").alias("rest_x"))
+            of_large = large.groupBy("key", "d").agg(F.min("ny").alias("least_y"), F.max("ny").alias("most_y"), F.max("rest_y").alias("rest_y"))
+            apart = (F.col("c") != F.col("d")) & (F.col("least_x") <= F.col("most_y")) & (F.col("most_x") * 100 >= F.col("least_y") * percent)
+            can = F.least("rest_x", "rest_y") * (100 + percent) >= (F.col("least_x") + F.greatest("least_x", "least_y")) * percent
+            meet = of_small.join(of_large, "key").filter(apart & can).select("key", "c", "d")
+            enough = F.least("rest_x", "rest_y") * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
+            met = meet.join(small, ["key", "c"]).join(large, ["key", "d"]).filter((F.col("nx") <= F.col("ny")) & _size_fits("nx", "ny", percent) & enough)
+            found = _shared_counts(_ordered(met, "x", "nx", "y", "ny").distinct(), members)
         found = found.filter(_long_enough(percent)).select("a", "b")
         if checked is not None:
             found = found.join(checked, ["a", "b"], "left_anti")

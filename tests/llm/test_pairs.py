@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from helpers import components, shingles
+from helpers import components, shingles, words
 from pyspark.sql import functions as F
 
 from sitelode.llm import common, decontaminate, ego_join, ngram_join
@@ -107,6 +107,20 @@ def test_linked_texts_equal_all_pairs(spark):
         assert sorted(map(tuple, got), key=str) == brute_texts(rows)
 
 
+def test_texts_around_a_passage_link_by_their_sizes(spark):
+    """Many texts share a passage; only pairs whose own parts are short enough are linked, whatever list they meet in."""
+    rng = random.Random(6)
+    passage = ["p%d" % i for i in range(70)]
+    rows = []
+    for i in range(90):
+        own = ["u%d_%d" % (i, k) for k in range(rng.randrange(2, 40))]
+        cut = rng.randrange(0, 12)
+        rows.append((i, " ".join(own[: len(own) // 2] + passage[: 70 - cut] + own[len(own) // 2 :])))
+    want = brute_texts(rows)
+    assert 20 < len({c for _, _, c in want}) < 90
+    assert sorted(map(tuple, ngram_join.linked_texts(spark.createDataFrame(rows, DOCS)).collect()), key=str) == want
+
+
 def test_linked_texts_with_all_shingles_hot(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "HOT_COUNT", 2)
     rows = near_copies(5, families=6, members=14)
@@ -124,7 +138,7 @@ def test_light_boundary_follows_the_cost():
 def test_contained_items_equal_a_plain_search(spark):
     rng = random.Random(9)
     vocabulary = ["v%d" % i for i in range(50)]
-    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([5, 8, 14, 30])))) for i in range(20)] + [(90, "x y"), (91, None), (92, ""), (None, "n1 n2 n3 n4 n5 n6"), (3, "again a b c d e f")]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([5, 8, 14, 30])))) for i in range(20)] + [(90, "x y"), (93, "v1"), (94, "v2 v3 v4"), (91, None), (92, ""), (None, "n1 n2 n3 n4 n5 n6"), (3, "again a b c d e f")]
     docs = []
     for k in range(60):
         w = rng.choices(vocabulary, k=rng.choice([0, 3, 50, 400]))
@@ -134,14 +148,17 @@ def test_contained_items_equal_a_plain_search(spark):
             at = rng.randrange(len(w) + 1)
             w[at:at] = part
         docs.append((k, "\n ".join(w)))
-    docs += [(100, "X  y"), (101, None), (None, "n1 n2 n3 n4 n5 n6 n7"), (0, docs[3][1])]
+    docs += [(100, "X  y"), (102, "q " * 50 + "X\ty " + "q " * 50), (103, "a x y"), (104, "x q y"), (105, "v2 v3 v4 v5"), (101, None), (None, "n1 n2 n3 n4 n5 n6 n7"), (0, docs[3][1])]
     per_doc, per_item = {}, {}
     for d, t in docs:
         per_doc.setdefault(d, set()).update(shingles(t))
+        for short in (1, 2, 3):  # the lengths of short items
+            if len(words(t)) > short:
+                per_doc[d].update(shingles(t, short))
     for i, t in items:
         per_item.setdefault(i, set()).update(shingles(t))
     want = {(d, i, len(q), len(s & q)) for d, s in per_doc.items() for i, q in per_item.items() if q and 100 * len(s & q) >= 75 * len(q)}
-    assert len(want) > 10
+    assert len(want) > 10 and {(102, 90, 1, 1), (103, 90, 1, 1), (105, 94, 1, 1)} <= want and not any(d == 104 and i == 90 for d, i, *_ in want)
     a = spark.createDataFrame(docs, DOCS).withColumn("item_id", F.lit(1))
     b = spark.createDataFrame(items, "item_id bigint, text string").withColumn("doc_id", F.lit(1))
     got = decontaminate.contained_items(a, b).collect()
