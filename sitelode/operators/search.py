@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sitelode.functions.layout import spread_small, top_per_group
-from sitelode.session import scratch_path
+from sitelode.session import materialize, scratch_path
 
 GRAM = 3
 PARTS = 64
@@ -42,7 +44,7 @@ def _part(piece: Column) -> Column:
 
 @dataclass(frozen=True)
 class SearchIndex:
-    """A written index: `texts` (row, field, site_id, last_checked, text), `postings` (piece, row, field) by part, `counts` (piece, n)."""
+    """A written index: `texts` (row, field, site_id, last_checked, text), `lists` (piece, field, rows) by part, `counts` (piece, n)."""
 
     spark: SparkSession
     path: str
@@ -51,21 +53,39 @@ class SearchIndex:
     def texts(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/texts")
 
+    @property
+    def lists(self) -> DataFrame:
+        return self.spark.read.schema("piece string, field string, rows array<bigint>, part int").parquet(f"{self.path}/postings")
+
     @property
     def postings(self) -> DataFrame:
-        return self.spark.read.schema("row bigint, field string, piece string, part int").parquet(f"{self.path}/postings")
+        """The lists row by row: (piece, field, part, row)."""
+        return self.lists.select("piece", "field", "part", F.explode("rows").alias("row"))
 
     @property
     def counts(self) -> DataFrame:
         return self.spark.read.schema("piece string, n bigint").parquet(f"{self.path}/counts")
 
 
+def _inverted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per batch of texts the rows that hold each piece of `pieces_of_text`, as one list per piece and field."""
+    for batch in batches:
+        lists: dict[tuple[str, str], list[int]] = {}
+        for row, field, text in zip(*(batch.column(c).to_pylist() for c in ("row", "field", "text"))):
+            pieces = {text[i : i + n] for n in range(1, GRAM + 1) for i in range(len(text) - n + 1)}
+            for piece in ("", *pieces):
+                lists.setdefault((piece, field), []).append(row)
+        columns = [[piece for piece, _ in lists], [field for _, field in lists], list(lists.values())]
+        kinds = (pa.string(), pa.string(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["piece", "field", "rows"])
+
+
 def build_search_index(sites: DataFrame, path: str) -> SearchIndex:
     """Write the index of title, description and address of the sites, in lower case, under `path`.
 
-    Rows get a number of their own, as site ids may be null or repeated. A null field has no rows. Every text is cut in one pass per piece
-    length, its distinct pieces are the postings, dealt to PARTS folders by piece, so that a search reads only
-    the folders of the pieces it probes. `counts` says how many texts hold a piece.
+    Rows get a number of their own, as site ids may be null or repeated. A null field has no rows. Texts are inverted
+    batch by batch where they are read, so what is sorted and written is a number per piece of a text, not a row. The lists are
+    dealt to PARTS folders by piece, so that a search reads only the folders of the pieces it probes. `counts` says how many texts hold a piece.
     """
     spark = sites.sparkSession
     fields = F.array(*[F.struct(F.lit(c).alias("field"), F.lower(c).alias("text")) for c in SEARCHED])
@@ -73,11 +93,11 @@ def build_search_index(sites: DataFrame, path: str) -> SearchIndex:
     texts = rows.select("row", "site_id", "last_checked", F.explode(fields).alias("f")).select("row", "site_id", "last_checked", "f.*")
     texts.filter("text IS NOT NULL").write.parquet(f"{path}/texts")
     index = SearchIndex(spark, path)
-    cut = index.texts.select("row", "field", F.explode(pieces_of_text(F.col("text"))).alias("piece")).withColumn("part", _part(F.col("piece")))
+    lists = index.texts.select("row", "field", "text").mapInArrow(_inverted, "piece string, field string, rows array<bigint>")
     # the empty piece is in every text, and dealt by row so that it is no part's burden
-    dealt = cut.withColumn("part", F.when(F.col("piece") == "", F.pmod(F.col("row"), F.lit(PARTS)).cast("int")).otherwise(F.col("part")))
-    dealt.sortWithinPartitions("part", "piece").write.partitionBy("part").parquet(f"{path}/postings")
-    index.postings.groupBy("piece").agg(F.count("*").alias("n")).write.parquet(f"{path}/counts")
+    part = F.when(F.col("piece") == "", F.pmod(F.xxhash64(F.get("rows", F.lit(0))), F.lit(PARTS)).cast("int")).otherwise(_part(F.col("piece")))
+    lists.withColumn("part", part).sortWithinPartitions("part", "piece").write.partitionBy("part").parquet(f"{path}/postings")
+    index.lists.groupBy("piece").agg(F.sum(F.size("rows")).alias("n")).write.parquet(f"{path}/counts")
     return index
 
 
@@ -100,30 +120,37 @@ def probes(index: SearchIndex, queries: DataFrame) -> DataFrame:
     )
 
 
-def candidates(index: SearchIndex, wanted: DataFrame) -> DataFrame:
-    """(query_id, query, has_wildcard, row, field): texts that hold the rarest piece of a query.
+def _probed(index: SearchIndex, wanted: DataFrame) -> DataFrame:
+    """(piece, row, field): the texts of the pieces that some query probes, each once however many queries do.
 
     The part joins, too, so that only the folders of probed pieces are read. A query of nothing but wildcards meets every text, as it has to.
     """
-    keys = ("query_id", "query", "has_wildcard")
-    pieced = index.postings.join(wanted.filter("part IS NOT NULL"), ["part", "piece"]).select(*keys, "row", "field")
-    every = index.postings.filter("piece = ''").join(wanted.filter("part IS NULL").drop("part"), "piece").select(*keys, "row", "field")
-    return pieced.unionByName(every)
+    probed = wanted.select("part", "piece").distinct()
+    pieced = index.postings.join(probed.filter("part IS NOT NULL"), ["part", "piece"], "left_semi")
+    every = index.postings.filter("piece = ''").join(probed.filter("part IS NULL"), "piece", "left_semi")
+    return pieced.unionByName(every).select("piece", "row", "field")
+
+
+def candidates(index: SearchIndex, wanted: DataFrame) -> DataFrame:
+    """(query_id, query, has_wildcard, row, field): texts that hold the rarest piece of a query."""
+    return _probed(index, wanted).join(wanted, "piece").select("query_id", "query", "has_wildcard", "row", "field")
 
 
 def search_index(index: SearchIndex, queries: DataFrame, limit: int = 100) -> DataFrame:
     """The hits of a whole watch-list (query_id, query): query_id, site_id, last_checked, rank, the top `limit` per query.
 
     A hit is a site one of whose fields is like %query% whatever the case; last checked comes first, null before all, then
-    the site id. Every query meets only the texts with its rarest piece, and the pattern decides. A query with many hits sends
-    `limit` rows per task to the ranking, not all its hits.
+    the site id. Every query meets only the texts with its rarest piece, and the pattern decides where they meet: texts
+    travel once per probed piece, and a text that is no hit leaves no row. A query with many hits sends `limit` rows per task to the ranking, not all its hits.
     """
-    met = candidates(index, probes(index, queries)).join(index.texts, ["row", "field"])
+    wanted = materialize(probes(index, queries), "probes")
+    located = _probed(index, wanted).join(index.texts, ["row", "field"])
     text, like = F.col("text"), F.concat(F.lit("%"), F.col("query"), F.lit("%"))
     # the pattern is compiled per row, so plain containment of its pieces is tested first
     promising = F.forall(literal_runs(F.col("query")), lambda r: F.contains(text, r))
     hit = F.when(~F.col("has_wildcard"), F.contains(text, F.col("query"))).when(promising, F.like(text, like)).otherwise(False)
-    found = met.filter(hit).groupBy("query_id", "row").agg(F.first("site_id").alias("site_id"), F.first("last_checked").alias("last_checked"))
+    met = located.join(wanted.withColumnRenamed("piece", "probe"), (F.col("piece") == F.col("probe")) & hit)
+    found = met.groupBy("query_id", "row").agg(F.first("site_id").alias("site_id"), F.first("last_checked").alias("last_checked"))
     ranked = top_per_group(found, ["query_id"], [F.desc_nulls_first("last_checked"), F.asc("site_id")], limit)
     return ranked.select("query_id", "site_id", "last_checked", "rank")
 

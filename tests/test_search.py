@@ -88,3 +88,11 @@ def test_index_of_nothing(spark, tmp_path):
 def test_pieces(spark, text, pieces):
     frame = spark.createDataFrame([(text,)], "t string")
     assert set(frame.select(search.pieces_of_text(F.col("t"))).first()[0]) == pieces
+
+
+def test_the_index_holds_lists_and_a_probed_text_travels_once(spark, tmp_path):
+    data = [(i, None, "http common title", None, f"http{i:04}.onion", "x") for i in range(400)]
+    index = search.build_search_index(spark.createDataFrame(data, SITES).repartition(2), str(tmp_path / "index"))
+    assert index.lists.count() * 10 < index.postings.count()
+    wanted = search.probes(index, spark.createDataFrame([(i, "common t%e") for i in range(30)], "query_id int, query string"))
+    assert search._probed(index, wanted).count() == 400 and search.candidates(index, wanted).count() == 30 * 400
