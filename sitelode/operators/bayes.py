@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from sitelode.functions.scalars import words
 from sitelode.session import materialize
@@ -37,8 +41,30 @@ class BayesModel:
         return cls(tuple(r.label for r in rows), tuple(r.prior for r in rows), spark.read.parquet(f"{path}/tokens"))
 
 
-def _tokens(text: str) -> Column:
-    return F.explode(words(F.col(text), LETTERS)).alias("token")
+#: Texts whose words are counted in one go.
+SLICE_ROWS = 256
+
+
+def _bags(rows: DataFrame, text: str, *keep: str) -> DataFrame:
+    """(keep ..., token, n): the distinct words of every row and how often it has them, counted inside the row without a shuffle."""
+    listed = rows.select(*keep, words(F.col(text), LETTERS).alias("_words"))
+    out = T.StructType([*listed.schema.fields[:-1], T.StructField("token", T.StringType()), T.StructField("n", T.LongType())])
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                found = part.column("_words")
+                lengths = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False)
+                coded = found.flatten().dictionary_encode()
+                size = max(1, len(coded.dictionary))
+                pairs = np.repeat(np.arange(part.num_rows), lengths) * size + coded.indices.to_numpy()
+                pairs, times = np.unique(pairs, return_counts=True)
+                kept = [part.column(name).take(pa.array(pairs // size)) for name in keep]
+                tokens = coded.dictionary.take(pa.array(pairs % size)).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([*kept, tokens, pa.array(times, pa.int64())], names=[*keep, "token", "n"])
+
+    return listed.mapInArrow(counted, out)
 
 
 def _log_share(part: Column, whole: Column) -> Column:
@@ -51,14 +77,22 @@ def fit_bayes(training: DataFrame, key: str = "doc_id", text: str = "text", labe
     The vocabulary is every lower-case word (run of letters) in at least `min_docs` training documents. The weight of a word in a class is the logarithm
     of (n + 1) / (N + V): n its occurrences there, N those of all vocabulary words, V the size of the vocabulary. A class counts
     beforehand by its share of documents. Rows without label or text are left out; rows that share a key are one
-    document. Counts are summed before each shuffle, so neither a frequent word nor a large class gathers in a task. Only
+    document. Words are counted inside each row and summed per class before the shuffle; only rows that share a key meet by word
+    and key first. So neither a frequent word nor a large class gathers in a task, and a task holds its vocabulary, not its texts. Only
     one row per class reaches the driver. The weights are written once and can be saved and loaded.
     """
     known = training.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).alias("key"), F.col(label).cast("string").alias("label"), F.col(text).alias("text")
     )
-    per_document = known.select("key", "label", _tokens("text")).groupBy("token", "label", "key").agg(F.count("*").alias("n"))
-    per_label = per_document.groupBy("token", "label").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
+    repeated = materialize(known.groupBy("label", "key").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "repeated-keys")
+    bags = _bags(known, "text", "key", "label")
+    if not repeated.isEmpty():
+        same = (F.col("label") == F.col("_label")) & F.col("key").eqNullSafe(F.col("_repeated"))
+        named = repeated.select(F.col("label").alias("_label"), F.col("key").alias("_repeated"))
+        once = _bags(known.join(named, same, "left_anti"), "text", "key", "label")
+        folded = _bags(known.join(named, same, "left_semi"), "text", "key", "label").groupBy("token", "label", "key").agg(F.sum("n").alias("n"))
+        bags = once.unionByName(folded.select("key", "label", "token", "n"))
+    per_label = bags.groupBy("token", "label").agg(F.sum("n").alias("n"), F.count("*").alias("docs"))
     counted = materialize(
         per_label.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("counts"), F.sum("docs").alias("docs"))
         .filter(F.col("docs") >= min_docs).select("token", "counts"),
@@ -83,7 +117,7 @@ def bayes_classify(model: BayesModel, documents: DataFrame, key: str = "doc_id",
     """(key, category, confidence, margin): the likeliest class, its probability, and the lead over the next in natural logarithms.
 
     Words outside the vocabulary count nothing; a text without known words is judged by the class sizes alone. Equal classes
-    go to the first name. Words are counted per document before they meet the weights in a join on the word, which Spark
+    go to the first name. Words are counted inside each row before they meet the weights in a join on the word, which Spark
     broadcasts or splits by the written size of the vocabulary and the frequency of words. Keys should be unique: rows that
     share one are judged by their words together, rows without a key by the class sizes. With one class the margin is null.
     """
@@ -91,8 +125,7 @@ def bayes_classify(model: BayesModel, documents: DataFrame, key: str = "doc_id",
     if not names:
         kind = dict(documents.dtypes)[key]
         return documents.sparkSession.createDataFrame([], f"{key} {kind}, category string, confidence double, margin double")
-    bags = documents.select(F.col(key).alias("_key"), _tokens(text)).groupBy("_key", "token").agg(F.count("*").alias("n"))
-    met = bags.join(model.tokens, "token")
+    met = _bags(documents.withColumn("_key", F.col(key)), text, "_key").join(model.tokens, "token")
     sums = met.groupBy("_key").agg(*[F.sum(F.col("n") * F.get("weights", F.lit(i))).alias(name) for i, name in enumerate(names)])
     joined = documents.select(key).join(sums, F.col(key) == F.col("_key"), "left")
     scores = [

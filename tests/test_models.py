@@ -143,6 +143,23 @@ def test_bayes_equals_the_closed_form(spark, tmp_path, min_docs):
         assert got[i].margin >= 0
 
 
+def test_rows_that_share_a_key_are_one_document(spark):
+    schema = "doc_id bigint, text string, label string"
+    whole = [(1, "cart cart vendor", "market"), (2, "cart book", "library"), (None, "book shelf shelf", "library"), (3, "vendor shelf", "market")]
+    cut = [(i, word, label) for i, text, label in whole for word in text.split()]
+    of = lambda rows: bayes.fit_bayes(spark.createDataFrame(rows, schema))
+    weights = [(m.priors, {r.token: r.weights for r in m.tokens.collect()}) for m in map(of, (whole, cut))]
+    assert weights[0] == weights[1] and set(weights[0][1]) == {"cart", "vendor", "book", "shelf"}
+
+
+def test_words_are_counted_inside_the_row_without_a_shuffle(spark):
+    rows = [(1, "b a b"), (2, None), (None, "A 1 \u00dcber"), (3, ""), (1, "a")]
+    bags = bayes._bags(spark.createDataFrame(rows, "doc_id bigint, text string"), "text", "doc_id")
+    assert sorted(map(tuple, bags.filter("doc_id = 1").collect())) == [(1, "a", 1), (1, "a", 1), (1, "b", 2)]
+    assert {(r.token, r.n) for r in bags.filter("doc_id IS NULL").collect()} == {("a", 1), ("\u00fcber", 1)} and bags.count() == 5
+    assert "Exchange" not in bags._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bayes_of_no_or_one_class(spark):
     schema = "doc_id bigint, text string, label string"
     asked = spark.createDataFrame([(1, "a b", None), (None, "a", None)], schema)
