@@ -127,7 +127,8 @@ def _bucket_pairs(entries: DataFrame, keys: list[str], widths: list[int]) -> Dat
         for i in range(BANDS - 1):
             near = near & ((F.col(f"a.band{level}") <= i) | (_band(diff, i, width) != 0))
     in_order = F.col("a.rep") < F.col("b.rep")
-    return a.join(b, meets & near).select(
+    # the size check sees the groups, not the rows of their bands: a broadcast would take many times what it allows through the driver
+    return a.join(b.hint("merge"), meets & near).select(
         F.least("a.rep", "b.rep").alias("rep_a"),
         F.greatest("a.rep", "b.rep").alias("rep_b"),
         apart.alias("distance"),

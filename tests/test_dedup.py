@@ -6,6 +6,7 @@ from datetime import datetime
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from sitelode.operators import dedup
 
@@ -81,3 +82,10 @@ def test_hash_upsert_newest_wins(spark):
     incoming = spark.createDataFrame([(3, 1, "title", "new", NOW), (4, 1, "document", "d", NOW)], kind)
     got = {(r.site_id, r.hash_type): r.hash_value for r in dedup.hash_upsert(current, incoming).collect()}
     assert got == {(1, "title"): "new", (2, "title"): "keep", (1, "document"): "d"}
+
+
+def test_the_rows_of_the_bands_do_not_pass_through_the_driver(spark, tmp_path):
+    path = str(tmp_path / "groups")
+    spark.range(50).select(F.xxhash64("id").alias("simhash"), F.col("id").alias("rep"), F.lit(1).cast("bigint").alias("n")).write.parquet(path)
+    pairs = dedup.near_dups(spark.read.parquet(path))
+    assert "BroadcastExchange" not in pairs._jdf.queryExecution().executedPlan().toString()
