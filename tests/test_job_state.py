@@ -1,5 +1,6 @@
 """Job state in a stream: order, end of state, application to the job table."""
 
+import pickle
 from datetime import datetime, timedelta
 
 import pytest
@@ -97,3 +98,40 @@ def test_struct_sequences_with_nulls_sort_as_spark_sorts_them():
     ranks = [job_state._rank(v) for v in ((None, 1), (0, None), (0, 1), (1, None))]
     assert job_state._rank({"a": 0, "b": None}) == ranks[1]
     assert ranks == sorted(ranks) and job_state._rank(None) < job_state._rank(-5)
+
+
+def test_state_serves_many_jobs_by_one_key_and_each_leaves_by_itself(spark, tmp_path, catalog):
+    far = 5 + job_state.STATE_KEYS  # shares its key with job 5
+    rows = [(i, "u", None, None, None, None, None) for i in (5, far, None)]
+    catalog_io.write_atomic(spark, catalog, {"crawl_jobs": spark.createDataFrame(rows, JOB)})
+    events, state = Events(spark, tmp_path / "in"), str(tmp_path / "state")
+    events.add((5, 1, NOW, "running", None, None), (far, 2, NOW, "failed", "e", 1), (far, None, NOW - MINUTE, "completed", None, 2), (None, 1, NOW, "failed", "n", 3))
+    job_state.run_job_state(events.stream, catalog, state).awaitTermination()
+
+    def held():
+        blobs = spark.read.format("statestore").option("stateVarName", "fold").load(state).collect()
+        return [(r.key.job_id, set(pickle.loads(r.value.jobs))) for r in blobs if r.key.job_id is not None]
+
+    assert held() == [(5, {5, far})]
+    # job 5 runs on, the other is due at once
+    events.add((5, 0, NOW - MINUTE, "completed", "old", None), (far, 3, NOW + MINUTE, "completed", None, None))
+    job_state.run_job_state(events.stream, catalog, state, keep_seconds=0).awaitTermination()
+    assert held() == [(5, {5})]
+    got = table(spark, catalog)
+    assert tuple(got[5])[2:] == ("running", NOW, NOW - MINUTE, "old", None)
+    assert tuple(got[far])[2:] == ("completed", None, NOW + MINUTE, "e", 1) and got[None].status is None
+
+
+def test_text_ids_are_dealt_to_few_keys(spark, tmp_path):
+    root = str(tmp_path / "catalog")
+    ids = [f"job-{i}" for i in range(job_state.STATE_KEYS)]
+    text_job, text_event = JOB.replace("job_id int", "job_id string"), EVENT.replace("job_id int", "job_id string")
+    catalog_io.write_atomic(spark, root, {"crawl_jobs": spark.createDataFrame([(i, "u", "pending", None, None, None, None) for i in ids], text_job)})
+    events = spark.createDataFrame([(i, n, NOW + n * MINUTE, s, None, n) for i in ids for n, s in enumerate(("running", "completed"))], text_event)
+    events.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(text_event).parquet(str(tmp_path / "in"))
+    job_state.run_job_state(stream, root, str(tmp_path / "state")).awaitTermination()
+    rows = catalog_io.read_current(spark, root, "crawl_jobs").collect()
+    assert {r.job_id for r in rows} == set(ids) and {tuple(r)[2:] for r in rows} == {("completed", NOW, NOW + MINUTE, None, 1)}
+    keys = spark.read.format("statestore").option("stateVarName", "fold").load(str(tmp_path / "state")).count()
+    assert keys < 0.7 * len(ids)  # calls of the state grow to STATE_KEYS and no further
