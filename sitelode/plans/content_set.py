@@ -476,6 +476,9 @@ UNION ALL SELECT 'rejected', address, error, NULL FROM (
 )
 def discovery(fx: Fixture):
     """New sites, and their results and jobs joined to them by their ids."""
+    # the catalog as a stored table: its addresses are computed once, by all tasks, though customers may be one small file
+    dealt = Fixture(fx.spark, fx.folder, {"customer": fx.customer.repartition("c_custkey")})
+    fx = Fixture(fx.spark, fx.folder, {"sites": materialize(dealt.sites, "sites")})
     run = discovery_run(fx.seed_lines, fx.site_links, fx.sites, AS_OF_EVENTS)
     known = materialize(run.sites.join(fx.sites.select("address"), "address", "left_anti"), "new-sites")
     owner = known.select("site_id", "address")

@@ -68,7 +68,8 @@ def discovery_run(
     row, and gets a job for every linked page up to `max_pages`, its root page first. The three
     carry the site's id in the type of `sites.site_id`; `key_type` is that of the new rows' own ids.
     """
-    seeds = seed_parse(seed_lines)
+    # read for the first round and for what is rejected; a list is often one small file, so its lines are dealt to all tasks
+    seeds = materialize(seed_parse(seed_lines.select("value").repartition("value")).drop("line"), "seeds")
     # read once per round and once for the pages, and often parsed out of stored HTML
     targets = materialize(
         links.select(F.col("src_address").alias("src"), host_of("url").alias("dst"), "url").na.drop(), "links"

@@ -135,6 +135,18 @@ def test_discovery_run(spark):
     }
 
 
+def test_discovery_run_parses_the_seeds_once(spark, tmp_path):
+    a, b = address("a"), address("b")
+    folder = str(tmp_path / "seeds")
+    spark.createDataFrame([(f"http://{a}",), ("http://bad.onion",), (None,), ("# note",)], "value string").coalesce(1).write.parquet(folder)
+    links = spark.createDataFrame([(a, f"http://{b}/1")], "src_address string, url string")
+    sites = spark.createDataFrame([("1", b, NOW, "active")], "site_id string, address string, last_checked timestamp_ntz, status string")
+    run = discovery_run(spark.read.parquet(folder), links, sites, NOW)
+    for frame in (run.sites, run.discovery_results, run.crawl_jobs, run.rejected):
+        assert not any(folder in f for f in frame.inputFiles())
+    assert {r.address for r in run.rejected.collect()} == {"bad.onion"} and {r.address for r in run.sites.collect()} == {a, b}
+
+
 def test_append_discoveries_defaults(spark):
     frame = spark.createDataFrame([("s1", "seed")], "site_id string, discovery_method string")
     row = append_discoveries(frame, NOW).first()
