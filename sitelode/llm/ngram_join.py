@@ -215,11 +215,34 @@ def _long_enough(percent: int):
     return (F.least("na", "nb") <= 2 * MOST_LIGHT) | (F.col("shared") + rest >= need)
 
 
-def _shared_counts(pairs: DataFrame, postings: DataFrame) -> DataFrame:
-    """Pairs (a, na, b, nb) with `shared`, the prefix shingles that both have."""
-    keys = postings.select("key", "times", F.col("row").alias("a")), postings.select("key", F.col("row").alias("b"))
-    met = pairs.join(keys[0], "a").join(keys[1], ["key", "b"])
-    return met.groupBy("a", "na", "b", "nb").agg(F.sum("times").alias("shared"))
+def _prefixes(postings: DataFrame) -> DataFrame:
+    """(row, keys, times): the posted keys of every set, ascending, as one list; no longer than the prefix of its text."""
+    listed = postings.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("key", "times"))).alias("_posted"))
+    return materialize(listed.select("row", F.col("_posted.key").alias("keys"), F.col("_posted.times").alias("times")), "prefixes")
+
+
+def _shared_counts(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Pairs (a, na, b, nb) with `shared`, the prefix shingles that both have.
+
+    The two lists of a pair are compared inside its row, so there are never more rows than pairs, whatever the number of keys they share.
+    """
+    left = prefixes.select(F.col("row").alias("a"), F.col("keys").alias("keys_a"), F.col("times").alias("times_a"))
+    right = prefixes.select(F.col("row").alias("b"), F.col("keys").alias("keys_b"))
+    met = pairs.join(left, "a").join(right, "b").select("a", "na", "b", "nb", "keys_a", "times_a", "keys_b")
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [batch.column(name) for name in ("keys_a", "times_a", "keys_b")]
+            keys_a, times_a, keys_b = (c.flatten().to_numpy(zero_copy_only=False) for c in lists)
+            of_a, of_b = (np.concatenate([[0], np.cumsum(c.value_lengths().to_numpy(zero_copy_only=False))]) for c in (lists[0], lists[2]))
+            shared = np.zeros(batch.num_rows, np.int64)
+            for i in range(batch.num_rows):
+                at = slice(of_a[i], of_a[i + 1])
+                shared[i] = times_a[at][_listed(keys_a[at], keys_b[of_b[i] : of_b[i + 1]])].sum()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(shared)], names=["a", "na", "b", "nb", "shared"])
+
+    n = dict(pairs.dtypes)
+    return met.mapInArrow(counted, f"a bigint, na {n['na']}, b bigint, nb {n['nb']}, shared bigint")
 
 
 def _ordered(met: DataFrame, row: str, n: str, other: str, other_n: str, *keep: str) -> DataFrame:
@@ -308,6 +331,7 @@ def linked_texts(
     by_set = raw.join(of_set, "row").select("key", F.col("set").alias("row"), "n", "mark").distinct()
     members = materialize(by_set, "postings")
     members = materialize(_distinct_lists(members), "shared-postings")
+    prefixes = _prefixes(members)
     links, checked = None, None
     component = None
     for number in range(STAR_ROUNDS + 1):
@@ -324,7 +348,7 @@ def linked_texts(
             centre = placed.groupBy("key").agg(F.min_by(F.struct("row", "n", "c"), by).alias("m"))
             met = placed.join(centre, "key").filter((F.col("c") != F.col("m.c")) & _size_fits("n", "m.n", percent))
             pairs = _ordered(met, "row", "n", "m.row", "m.n").distinct()
-            found = _shared_counts(pairs, members)
+            found = _shared_counts(pairs, prefixes)
         else:
             # what a set holds from the place of the shingle on
             rest = (F.col("n") - F.floor(F.col("mark") / KINDS)).alias("rest")
@@ -342,7 +366,7 @@ def linked_texts(
             meet = of_small.join(of_large, "key").filter(apart & can).select("key", "c", "d")
             enough = F.least("rest_x", "rest_y") * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
             met = meet.join(small, ["key", "c"]).join(large, ["key", "d"]).filter((F.col("nx") <= F.col("ny")) & _size_fits("nx", "ny", percent) & enough)
-            found = _shared_counts(_ordered(met, "x", "nx", "y", "ny").distinct(), members)
+            found = _shared_counts(_ordered(met, "x", "nx", "y", "ny").distinct(), prefixes)
         found = found.filter(_long_enough(percent)).select("a", "b")
         if checked is not None:
             found = found.join(checked, ["a", "b"], "left_anti")

@@ -128,6 +128,19 @@ def test_linked_texts_with_all_shingles_hot(spark, monkeypatch):
     assert ngram_join.linked_texts(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_shared_prefixes_are_counted_without_a_row_for_each_key(spark):
+    posted = [(key, row, 1 + key % 3) for row in range(40) for key in range(-30, 30) if (key + row) % 7]
+    pairs = [(i, 60, j, 61) for i in range(0, 40, 3) for j in range(i + 1, 40, 5)]
+    frame = spark.createDataFrame(pairs, "a bigint, na bigint, b bigint, nb bigint")
+    prefixes = ngram_join._prefixes(spark.createDataFrame(posted, "key bigint, row bigint, times bigint"))
+    counted = ngram_join._shared_counts(frame, prefixes)
+    times = {(key, row): n for key, row, n in posted}
+    keys = {row: {k for k, r, _ in posted if r == row} for row in range(40)}
+    assert {tuple(r) for r in counted.collect()} == {(a, na, b, nb, sum(times[k, a] for k in keys[a] & keys[b])) for a, na, b, nb in pairs}
+    joins = [line for line in counted._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert len(joins) == 2 and not any("key#" in line for line in joins)  # one row a pair through both
+
+
 def test_light_boundary_follows_the_cost():
     assert ngram_join.light_boundary(0.0, 75) < ngram_join.light_boundary(50.0, 75)
     for n in range(1, 40):
