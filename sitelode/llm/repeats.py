@@ -38,9 +38,8 @@ class Slice:
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
         self.bytes = np.frombuffer(b"".join(texts) + bytes(16), np.uint8)
-        two = self.bytes[:-1].astype(np.uint64) | self.bytes[1:].astype(np.uint64) << np.uint64(8)
-        four = two[:-2] | two[2:] << np.uint64(16)
-        self.eight = four[:-4] | four[4:] << np.uint64(32)
+        # the eight bytes from each place on, read in place and copied once
+        self.eight = np.ndarray(len(self.bytes) - 7, "<u8", self.bytes, 0, (1,)).copy()
         total = int(sizes.sum())
         n_starts = total - LENGTH + 1
         self.at = self.low = self.high = self.doc = np.empty(0, np.int64)
@@ -54,20 +53,21 @@ class Slice:
             key = np.minimum(key[:-width], key[width:])
             width *= 2
         key = np.minimum(key[: n_starts], key[wanted - width : wanted - width + n_starts])
-        begin = np.arange(n_starts)
-        picked = begin + ((key & np.uint64(0xFFFFFFFF)).astype(np.int64) - begin) % STEP
-        inside = np.zeros(total + 1, np.int32)
-        full = sizes >= LENGTH
-        inside[self.starts[full]] += 1
-        np.add.at(inside, self.ends[full] - LENGTH + 1, -1)
-        begin = np.flatnonzero(np.cumsum(inside)[:n_starts] > 0)
-        if not len(begin):
-            return
-        picked = picked[begin]
-        text = np.searchsorted(self.ends, begin, side="right")
-        new = np.flatnonzero(np.concatenate([[True], (picked[1:] != picked[:-1]) | (text[1:] != text[:-1])]))
-        self.at, self.low, self.doc = picked[new], begin[new], text[new]
-        self.high = begin[np.append(new[1:] - 1, len(begin) - 1)]
+        # how far behind its start each string picks: below 2 * STEP
+        ahead = (key.astype(np.uint32) - np.arange(n_starts, dtype=np.uint32)).astype(np.uint8)
+        ahead -= np.uint8(STEP) * (ahead >= STEP)
+        # the last LENGTH - 1 places of a text start no string, so the starts of two texts are never neighbours
+        inside = np.ones(n_starts + 2, bool)
+        none = (self.ends[:, None] - np.arange(1, LENGTH)).ravel()
+        inside[none[(none >= 0) & (none < n_starts)] + 1] = False
+        inside[0] = inside[-1] = False
+        same = np.zeros(n_starts + 1, bool)
+        same[1:-1] = ahead[1:] + np.uint8(1) == ahead[:-1]
+        begins = inside[1:-1]
+        self.low = np.flatnonzero(begins & ~(inside[:-2] & same[:-1]))
+        self.high = np.flatnonzero(begins & ~(inside[2:] & same[1:]))
+        self.at = self.low + ahead[self.low]
+        self.doc = np.searchsorted(self.ends, self.low, side="right")
 
     def hashed(self, start: np.ndarray, length: int) -> np.ndarray:
         """Hash of `length` bytes from each start."""
@@ -103,10 +103,17 @@ class Slice:
 
 def lowest(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, and the smallest id of each."""
-    order = np.lexsort((ids, key))
+    return _extremes(key, ids, np.minimum)
+
+
+def _extremes(key: np.ndarray, ids: np.ndarray, *kinds: np.ufunc) -> tuple[np.ndarray, ...]:
+    """Distinct keys, ascending, and the smallest or largest id of each."""
+    if not len(key):
+        return key, *(ids for _ in kinds)
+    order = np.argsort(key)
     key, ids = key[order], ids[order]
-    new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.empty(0, bool)
-    return key[new], ids[new]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], *(kind.reduceat(ids, first) for kind in kinds)
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -156,13 +163,10 @@ class Asked:
 
     def shared(self) -> np.ndarray:
         """Positions whose first rank stands in another text, here or elsewhere."""
-        self.first()
-        doc = self.ids[self.slice.doc]
-        key, low = lowest(self.rank, doc)
-        _, high = lowest(self.rank, -doc)
-        here = key[low != -high]
-        elsewhere = self.answered(1, 1)[0]
-        return np.flatnonzero(_within(self.rank, here) | _within(self.rank, elsewhere))
+        self.rank = self.slice.rank_first()
+        key, low, high = _extremes(self.rank, self.ids[self.slice.doc], np.minimum, np.maximum)
+        several = (low != high) | _within(key, self.answered(1, 1)[0])
+        return np.flatnonzero(_within(self.rank, key[several]))
 
     def second(self) -> list[np.ndarray]:
         which = self.which = self.shared()
@@ -251,8 +255,10 @@ def _answers(asked: pa.Table) -> pa.Table:
         if number == 3:
             tell, reply = smallest < ids, [key, smallest.view(np.uint64)]
         else:
-            pairs = np.unique(np.stack([columns[0], key], axis=1), axis=0)
-            ranks, count = np.unique(pairs[:, 0], return_counts=True)
+            order = np.lexsort((key, columns[0]))
+            rank, context = columns[0][order], key[order]
+            new = np.concatenate([[True], (rank[1:] != rank[:-1]) | (context[1:] != context[:-1])])
+            ranks, count = np.unique(rank[new], return_counts=True)
             several = count[np.searchsorted(ranks, columns[0])] > 1
             tell, reply = (smallest < ids) | several, [key, smallest.view(np.uint64), several.astype(np.uint64)]
     out = []

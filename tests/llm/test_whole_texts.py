@@ -1,6 +1,8 @@
 import hashlib
 import random
+import tracemalloc
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,31 @@ def test_one_passage_in_every_text(spark):
     assert sorted(map(tuple, got)) == sorted(t[:5] for t in brute_repeats(rows))
 
 
+def test_every_long_string_picks_one_position_inside_itself():
+    rng = random.Random(8)
+    for _ in range(60):
+        texts = [bytes(rng.choices(b"ab" if rng.random() < 0.5 else range(256), k=rng.choice([0, 1, 48, 49, 50, 51, 99, 100, 300]))) for _ in range(6)]
+        cut = repeats.Slice(texts)
+        picks = defaultdict(set)
+        starts = []
+        for at, low, high, doc in zip(cut.at.tolist(), cut.low.tolist(), cut.high.tolist(), cut.doc.tolist()):
+            for start in range(low, high + 1):
+                starts.append(start)
+                picks[cut.bytes[start : start + 50].tobytes()].add(at - start)
+                assert cut.starts[doc] <= start <= at < start + 50 <= cut.ends[doc]
+        assert starts == [s for a, e in zip(cut.starts.tolist(), cut.ends.tolist()) for s in range(a, e - 49)]
+        assert all(len(places) == 1 for places in picks.values())
+
+
+def test_a_slice_takes_bounded_memory_per_byte():
+    texts = [random.Random(i).randbytes(2000) for i in range(500)]
+    tracemalloc.start()
+    repeats.Slice(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45 * 1_000_000  # 77 bytes a byte of text when every step kept 64-bit numbers for each place
+
+
 @pytest.mark.parametrize("length", [0, 1, 511, 512, 513, 5000])
 def test_wavelet_matrix_round_trip(length):
     ids = (np.random.default_rng(length).zipf(1.3, length) % 1000).astype(np.uint16)
