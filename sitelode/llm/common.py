@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from sitelode.session import materialize
 
@@ -34,36 +34,37 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     ignored. Large-star and small-star rounds alternate until the edges stay the
     same; every round is two aggregates with map-side minima and two joins, and
     its edges are written, so no component meets in one task and lineage ends.
+    Edges are counted as they are written, and met in merge joins: the driver gets two numbers a round.
     """
     a, b = F.col(left), F.col(right)
-    now = materialize(
-        edges.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges"
-    )
+    now, state = _written(edges.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     before = None
-    while True:
-        state = now.agg(
-            F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        ).first()
-        if state == before:
-            break
+    while state != before:
         before = state
-        now = materialize(_small_star(_large_star(now)), "edges")
+        now, state = _written(_small_star(_large_star(now)))
     roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """Written edges, with their number and the sum of their hashes."""
+    state = Observation()
+    counts = F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")
+    return materialize(edges.observe(state, *counts), "edges"), state.get
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Every neighbour above a node is linked to the node's smallest neighbour (or itself)."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = both.filter("v > u").join(lowest, "u")
-    kept = joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
+    """Every neighbour above a node is linked to the node's smallest neighbour (or itself); an edge has its larger end in u."""
+    there, back = F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))
+    lowest = edges.select(F.inline(F.array(there, back))).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    joined = edges.select(F.col("v").alias("u"), F.col("u").alias("above")).join(lowest.hint("merge"), "u")
+    kept = joined.select(F.col("above").alias("u"), F.col("m").alias("v"))
     return kept.distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and the neighbours below it are linked to the smallest of these."""
     lowest = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(lowest, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = edges.join(lowest.hint("merge"), "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     own = lowest.select("u", F.col("m").alias("v"))
     return moved.unionByName(own).distinct()
