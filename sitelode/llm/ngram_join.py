@@ -20,6 +20,8 @@ COUNTED = int(0.3 * 2**64)
 #: A shingle in more sets than this goes to the end of the order. At most HOT_KEYS of the commonest do; only speed depends on both.
 HOT_COUNT, HOT_KEYS = 15, 1 << 19
 MOST_LIGHT = 12
+#: Text that a task holds as shingles at once. Numbers of a place take some 25 times its bytes.
+PIECE_BYTES = 1 << 20
 STAR_ROUNDS = 2
 
 
@@ -119,7 +121,7 @@ def _members(docs: DataFrame, length: int, percent: int) -> tuple[DataFrame, Dat
     """Profiles (row, doc_id, n, print) of all texts, and (key, mark, row, n) where at least two rows share a key."""
     def shingle_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, most=PIECE_BYTES):
                 values, _ = shingle_sets(piece.column("text"), length)
                 keys, n = np.unique(values[values < np.uint64(COUNTED)], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(_signed(keys)), pa.array(n)], names=["key", "n"])
@@ -133,7 +135,7 @@ def _members(docs: DataFrame, length: int, percent: int) -> tuple[DataFrame, Dat
 
     def lacking_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, most=PIECE_BYTES):
                 values, offsets = shingle_sets(piece.column("text"), length)
                 n = np.diff(offsets)
                 owner, counted = np.repeat(np.arange(len(n)), n), values < np.uint64(COUNTED)
@@ -152,7 +154,7 @@ def _members(docs: DataFrame, length: int, percent: int) -> tuple[DataFrame, Dat
 
     def signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, most=PIECE_BYTES):
                 values, offsets = shingle_sets(piece.column("text"), length)
                 prints, (keys, marks, key_counts), (free, free_marks) = _signatures(values, offsets, hot, light, percent)
                 flat_free = np.fromiter((k for f in free for k in f), np.uint64)
@@ -265,7 +267,7 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, length: int, p
     def packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
-            for piece in slices(batch):
+            for piece in slices(batch, most=PIECE_BYTES):
                 values, offsets = shingle_sets(piece.column("text"), length)
                 whole = [values[offsets[i] : offsets[i + 1]].tobytes() for i in range(piece.num_rows)]
                 found = {xxhash.xxh3_128_digest(w): w for w in whole}

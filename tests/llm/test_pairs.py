@@ -1,10 +1,12 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from helpers import components, shingles, words
 from pyspark.sql import functions as F
 
-from sitelode.llm import common, decontaminate, ego_join, ngram_join
+from sitelode.llm import arrowtext, common, decontaminate, ego_join, ngram_join
 
 VECTORS = "vec_id bigint, embedding array<float>, label int"
 DOCS = "doc_id bigint, text string"
@@ -17,6 +19,13 @@ def test_components_of_chains_and_stars(spark):
     assert common.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_send_no_rows_through_the_driver(spark):
+    edges = spark.createDataFrame([(5, 1), (5, 2), (7, 5)], "u bigint, v bigint")
+    star = common._small_star(common._large_star(edges))
+    assert "Broadcast" not in star._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in star.collect()} == {(2, 1), (5, 1), (7, 1)}
+
+
 def brute_vectors(rows):
     usable = {}
     for i, (vec_id, v, label) in enumerate(rows):
@@ -141,6 +150,18 @@ def test_shared_prefixes_are_counted_without_a_row_for_each_key(spark):
     assert len(joins) == 2 and not any("key#" in line for line in joins)  # one row a pair through both
 
 
+def test_a_task_holds_few_texts_as_shingles_at_once():
+    rng = random.Random(3)
+    texts = pa.array([" ".join(rng.choices(["w%d" % i for i in range(3000)], k=300)) for _ in range(2000)])
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    tracemalloc.start()
+    for piece in arrowtext.slices(batch, most=ngram_join.PIECE_BYTES):
+        arrowtext.shingle_sets(piece.column("text"), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * 1_000_000  # 43 MB with pieces of 4 MB
+
+
 def test_light_boundary_follows_the_cost():
     assert ngram_join.light_boundary(0.0, 75) < ngram_join.light_boundary(50.0, 75)
     for n in range(1, 40):
