@@ -22,7 +22,8 @@ HOT_COUNT, HOT_KEYS = 15, 1 << 19
 MOST_LIGHT = 12
 #: Text that a task holds as shingles at once. Numbers of a place take some 25 times its bytes.
 PIECE_BYTES = 1 << 20
-STAR_ROUNDS = 2
+#: Rounds against centres go on while the pairs left would be this many times the postings, up to MOST_STARS; only speed depends on both.
+CROWDED, MOST_STARS = 4, 4
 
 
 def least_overlap(a: int, b: int, percent: int) -> int:
@@ -188,6 +189,33 @@ def _size_fits(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _rests_reach(n: str, rest: str, other_n: str, other_rest: str, percent: int):
+    """Whether what both sets hold from the place of a shingle on reaches the overlap that their sizes need."""
+    return F.least(rest, other_rest) * (100 + percent) >= (F.col(n) + F.col(other_n)) * percent
+
+
+def _crowded(placed: DataFrame, percent: int) -> bool:
+    """Whether sets of one list, in different components, would make many more pairs than there are postings."""
+    able = placed.filter(F.col("rest") * (100 + percent) >= F.col("n") * (2 * percent)).groupBy("key", "c").agg(F.count("*").cast("double").alias("sets"))
+    lists = able.groupBy("key").agg(F.sum("sets").alias("all"), F.sum(F.col("sets") * F.col("sets")).alias("within"))
+    pairs = lists.agg(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2).alias("pairs")).first()["pairs"]
+    return (pairs or 0) > CROWDED * placed.count()
+
+
+def _starred(placed: DataFrame, number: int, percent: int) -> DataFrame:
+    """Postings (key, row, n, c, rest) of sets that can be linked to the centre `m` of their list and are not yet in its component.
+
+    The first centre is the set that holds most of itself from the shingle on. A change in a copy puts shingles
+    before those that all copies have, so this is the least changed copy, which is linked to every copy that any
+    centre could be linked to, or nearly so. Later centres are drawn by hash.
+    """
+    chance = F.xxhash64(F.col("row"), F.lit(number))
+    by = F.struct(-F.col("rest") / F.col("n") if number == 0 else F.lit(0), chance)
+    centre = placed.groupBy("key").agg(F.min_by(F.struct("row", "n", "c", "rest"), by).alias("m"))
+    apart = (F.col("c") != F.col("m.c")) & _size_fits("n", "m.n", percent)
+    return placed.join(centre, "key").filter(apart & _rests_reach("n", "rest", "m.n", "m.rest", percent))
+
+
 def _distinct_lists(postings: DataFrame) -> DataFrame:
     """Postings (key, row, n, mark, times) with one key for all keys that have the same rows; `times` counts them.
 
@@ -316,11 +344,11 @@ def linked_texts(
     Equal sets are folded to one first. A set up to the light boundary posts all
     its subsets of every overlap size that a partner can need; larger sets post
     their prefix shingles to inverted lists, rare ones first. The boundary is
-    where subsets get dearer than lists. Lists are never turned into all pairs: two
+    where subsets get dearer than lists. Lists are never turned into all pairs:
     rounds check every set of a list against one centre of the list; then only
     sets of one list that are still in different components are checked with each other.
     So every link between components is found, and a large group of copies costs as
-    much as it has members. These pairs are made only at a shingle that can be the first they share: what both
+    much as it has members. A centre is the set that has changed least against its list, so few sets are left. These pairs are made only at a shingle that can be the first they share: what both
     sets hold from its place on must reach the overlap that their sizes need. So sets that have a common passage, but too
     much else to be linked, never meet, however many they are.
     """
@@ -336,37 +364,35 @@ def linked_texts(
     prefixes = _prefixes(members)
     links, checked = None, None
     component = None
-    for number in range(STAR_ROUNDS + 1):
+    for number in range(MOST_STARS + 1):
         placed = members if component is None else members.join(
             component.select(F.col("node").alias("row"), "component"), "row", "left"
         )
-        placed = placed.withColumn("c", F.col("row") if component is None else F.coalesce("component", "row")).select("key", "row", "n", "mark", "c")
+        # what a set holds from the place of the shingle on
+        rest = (F.col("n") - F.floor(F.col("mark") / KINDS)).alias("rest")
+        placed = placed.withColumn("c", F.col("row") if component is None else F.coalesce("component", "row")).select("key", "row", "n", "c", rest)
         if component is not None:
             placed = materialize(placed, "placed")
             open_keys = placed.groupBy("key").agg(F.min("c").alias("_a"), F.max("c").alias("_b")).filter("_a < _b").select("key")
             placed = materialize(placed.join(open_keys, "key"), "open-postings")
-        if number < STAR_ROUNDS:
-            by = F.struct(F.xxhash64(F.col("row"), F.lit(number)).alias("h"), "row")
-            centre = placed.groupBy("key").agg(F.min_by(F.struct("row", "n", "c"), by).alias("m"))
-            met = placed.join(centre, "key").filter((F.col("c") != F.col("m.c")) & _size_fits("n", "m.n", percent))
+        last = number == MOST_STARS or number > 0 and not _crowded(placed, percent)
+        if not last:
+            met = _starred(placed, number, percent)
             pairs = _ordered(met, "row", "n", "m.row", "m.n").distinct()
             found = _shared_counts(pairs, prefixes)
         else:
-            # what a set holds from the place of the shingle on
-            rest = (F.col("n") - F.floor(F.col("mark") / KINDS)).alias("rest")
-            after = placed.select("key", "c", "row", "n", rest)
             # the smaller of a pair shares at least this with a partner of its own size
-            small = after.filter(F.col("rest") * (100 + percent) >= F.col("n") * (2 * percent)).select(
+            small = placed.filter(F.col("rest") * (100 + percent) >= F.col("n") * (2 * percent)).select(
                 "key", "c", F.col("row").alias("x"), F.col("n").alias("nx"), F.col("rest").alias("rest_x")
             )
-            large = after.select("key", F.col("c").alias("d"), F.col("row").alias("y"), F.col("n").alias("ny"), F.col("rest").alias("rest_y"))
+            large = placed.select("key", F.col("c").alias("d"), F.col("row").alias("y"), F.col("n").alias("ny"), F.col("rest").alias("rest_y"))
             # first the components whose sizes and rests fit at all, then their sets
             of_small = small.groupBy("key", "c").agg(F.min("nx").alias("least_x"), F.max("nx").alias("most_x"), F.max("rest_x").alias("rest_x"))
             of_large = large.groupBy("key", "d").agg(F.min("ny").alias("least_y"), F.max("ny").alias("most_y"), F.max("rest_y").alias("rest_y"))
             apart = (F.col("c") != F.col("d")) & (F.col("least_x") <= F.col("most_y")) & (F.col("most_x") * 100 >= F.col("least_y") * percent)
             can = F.least("rest_x", "rest_y") * (100 + percent) >= (F.col("least_x") + F.greatest("least_x", "least_y")) * percent
             meet = of_small.join(of_large, "key").filter(apart & can).select("key", "c", "d")
-            enough = F.least("rest_x", "rest_y") * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent
+            enough = _rests_reach("nx", "rest_x", "ny", "rest_y", percent)
             met = meet.join(small, ["key", "c"]).join(large, ["key", "d"]).filter((F.col("nx") <= F.col("ny")) & _size_fits("nx", "ny", percent) & enough)
             found = _shared_counts(_ordered(met, "x", "nx", "y", "ny").distinct(), prefixes)
         found = found.filter(_long_enough(percent)).select("a", "b")
@@ -374,11 +400,15 @@ def linked_texts(
             found = found.join(checked, ["a", "b"], "left_anti")
         found = materialize(found, "candidates")
         if found.isEmpty():
+            if last:
+                break
             continue
         new = materialize(_verified(docs, sets, found, length, percent), "links")
         checked = found if checked is None else checked.unionByName(found)
         links = new if links is None else links.unionByName(new)
         component = components(links)
+        if last:
+            break
     named = profiles.join(of_set, "row", "left")
     if component is None:
         named = named.withColumn("group", F.coalesce("set", "row"))

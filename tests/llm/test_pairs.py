@@ -130,6 +130,44 @@ def test_texts_around_a_passage_link_by_their_sizes(spark):
     assert sorted(map(tuple, ngram_join.linked_texts(spark.createDataFrame(rows, DOCS)).collect()), key=str) == want
 
 
+def test_a_group_of_near_copies_is_checked_against_its_least_changed_text(spark, monkeypatch):
+    rng = random.Random(11)
+    base = ["b%d" % i for i in range(150)]
+    rows = []
+    for i in range(240):
+        text = list(base)
+        for at in rng.sample(range(150), i % 9):
+            text[at] = "own%d_%d" % (i, at)
+        rows.append((1000 - i, " ".join(text)))
+    checked = []
+
+    def noted(docs, sets, pairs, *options):
+        checked.append(pairs.count())
+        return verified(docs, sets, pairs, *options)
+
+    verified = ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", noted)
+    want = brute_texts(rows)
+    assert sorted(map(tuple, ngram_join.linked_texts(spark.createDataFrame(rows, DOCS)).collect()), key=str) == want
+    assert sum(checked) <= 2 * len(rows)
+
+
+def test_groups_without_a_common_centre_take_more_rounds(spark, monkeypatch):
+    """Every text has changes of its own; the first centre reaches only some."""
+    monkeypatch.setattr(ngram_join, "CROWDED", 0)
+    rng = random.Random(12)
+    base = ["b%d" % i for i in range(80)]
+    rows = []
+    for i in range(60):
+        text = list(base)
+        for at in rng.sample(range(10, 30), 1 + i % 3):
+            text[at] = "own%d_%d" % (i, at)
+        rows.append((i, " ".join(text)))
+    want = brute_texts(rows)
+    assert 1 < len({c for _, _, c in want}) < 60
+    assert sorted(map(tuple, ngram_join.linked_texts(spark.createDataFrame(rows, DOCS)).collect()), key=str) == want
+
+
 def test_linked_texts_with_all_shingles_hot(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "HOT_COUNT", 2)
     rows = near_copies(5, families=6, members=14)
