@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from sitelode.session import materialize
 
@@ -31,26 +31,25 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     """Connected components: one row (node, component) for every node of `edges`.
 
     The component is its smallest node. Edges with a null end and loops are
-    ignored. Large-star and small-star rounds alternate until the edges stay the
-    same; every round is two aggregates with map-side minima and two joins, and
-    its edges are written, so no component meets in one task and lineage ends.
-    Edges are counted as they are written, and met in merge joins: the driver gets two numbers a round.
+    ignored. Large-star and small-star steps alternate until the edges are stars
+    around smallest nodes; every step is an aggregate with map-side minima and a merge join, and
+    its edges are written, so no component meets in one task, plans stay short and lineage ends.
     """
     a, b = F.col(left), F.col(right)
-    now, state = _written(edges.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    before = None
-    while state != before:
-        before = state
-        now, state = _written(_small_star(_large_star(now)))
+    now = materialize(edges.filter(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    while not _settled(now):
+        larger = materialize(_large_star(now), "edges")
+        now = materialize(_small_star(larger), "edges")
     roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
-    """Written edges, with their number and the sum of their hashes."""
-    state = Observation()
-    counts = F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")
-    return materialize(edges.observe(state, *counts), "edges"), state.get
+def _settled(edges: DataFrame) -> bool:
+    """Whether every upper end has one edge and is no lower end."""
+    upper = F.struct(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    lower = F.struct(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    ends = edges.select(F.inline(F.array(upper, lower))).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.filter((F.col("up") > 1) | (F.col("up") > 0) & (F.col("down") > 0)).isEmpty()
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -26,6 +26,24 @@ def test_components_send_no_rows_through_the_driver(spark):
     assert {tuple(r) for r in star.collect()} == {(2, 1), (5, 1), (7, 1)}
 
 
+def test_components_write_short_plans_and_stop_at_stars(spark, monkeypatch):
+    written = []
+
+    def noted(df, label="step"):
+        written.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return materialize(df, label)
+
+    materialize = common.materialize
+    monkeypatch.setattr(common, "materialize", noted)
+    stars = spark.createDataFrame([(1, i) for i in range(2, 9)] + [(20, 30), (20, 31)], "a bigint, b bigint")
+    assert {r.node: r.component for r in common.components(stars).collect()} == {**{i: 1 for i in range(1, 9)}, 20: 20, 30: 20, 31: 20}
+    assert len(written) == 1  # stars around their smallest nodes need no round
+    links = [(9, i) for i in range(1, 9)] + [(9, 12), (12, 13), (40, 41)]
+    low = {**{i: 1 for i in (*range(1, 10), 12, 13)}, 40: 40, 41: 40}
+    assert {r.node: r.component for r in common.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()} == low
+    assert max(written) <= 4  # a large star and a small star in one plan had 11
+
+
 def brute_vectors(rows):
     usable = {}
     for i, (vec_id, v, label) in enumerate(rows):
